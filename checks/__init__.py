@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matrices_and_candidates",)
+MODULES = ("matrices_and_candidates", "features")
 
 
 def load_all():
