@@ -54,13 +54,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def write_stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` to the shared folder; returns the table read back and its path."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where one result feeds several consumers: the plan is cut, a lost executor costs a
     re-read instead of a recomputation, and the scan keeps statistics and column pruning.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return write_stage(df, name)[0]
+
+
+def drop_stage(spark: SparkSession, path: str) -> None:
+    """Delete a table written by ``write_stage`` that nothing reads any more."""
+    if "/stage/" not in path:
+        raise ValueError(f"not a staged table: {path}")
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matrices_and_candidates", "features")
+MODULES = ("matrices_and_candidates", "features", "learning")
 
 
 def load_all():
