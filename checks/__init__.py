@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("matrices_and_candidates", "features", "learning")
+MODULES = ("matrices_and_candidates", "features", "primitives", "learning")
 
 
 def load_all():
