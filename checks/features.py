@@ -8,7 +8,7 @@ from basketweave.operators import features as ft
 from basketweave.operators import matrix_features as mx
 from basketweave.operators import vector_features as vec
 from checks import views as fx
-from checks.matrices_and_candidates import candidates, edges
+from checks.matrices_and_candidates import Inputs
 from checks.registry import query, rounded
 from checks.sql import cte, recent_of, sql
 
@@ -153,10 +153,10 @@ cte(
 )
 PAIR_COLUMNS = ["candidates_rank"] + [c.rsplit(" AS ", 1)[-1] for c in _out]
 query("features_session_item", sql(f"SELECT session, aid, candidates_rank, {', '.join(_out)} FROM pair_base"))(
-    lambda s, d: ft.features_session_item(candidates(s, d, "buys"), fx.fx_observed(s, d))
+    lambda s, d: session_item(s, d)
 )
 query("candidate_rank", sql("SELECT session, aid, chris_rank + 1 AS candidates_rank FROM cand_buys"))(
-    lambda s, d: candidates(s, d, "buys").select("session", "aid", (F.col("chris_rank") + 1).alias("candidates_rank"))
+    lambda s, d: Inputs(s, d).merged("buys").select("session", "aid", (F.col("chris_rank") + 1).alias("candidates_rank"))
 )
 
 # --- matrix features ---------------------------------------------------------------------------------------
@@ -164,8 +164,19 @@ query("candidate_rank", sql("SELECT session, aid, chris_rank + 1 AS candidates_r
 EDGE_CTES = {"buys": "ev_typ", "buy2buy": "ev_b2b", "clicks": "ev_clk"}
 
 
-def all_edges(spark, sf):
-    return {k: edges(spark, sf, k) for k in EDGE_CTES}
+def matrix_features(spark, sf):
+    made = Inputs(spark, sf)
+    return mx.features_matrix(made.candidates("buys"), made.observed, made.all_edges())
+
+
+def matrix_last(spark, sf):
+    made = Inputs(spark, sf)
+    return mx.features_matrix_last(made.candidates("buys"), made.observed, made.all_edges())
+
+
+def session_item(spark, sf):
+    made = Inputs(spark, sf)
+    return ft.features_session_item(made.candidates("buys"), made.observed)
 
 
 MATRIX_COLUMNS: dict[str, list[str]] = {}
@@ -196,7 +207,7 @@ query(
     "features_matrix", sql_round_all(MATRIX_COLUMNS["all"] + MATRIX_COLUMNS["5"], ["session", "aid"], "matrix_feats")
 )(
     lambda s, d: round_all(
-        mx.features_matrix(candidates(s, d, "buys"), fx.fx_observed(s, d), all_edges(s, d)), ("session", "aid")
+        matrix_features(s, d), ("session", "aid")
     )
 )
 query(
@@ -209,7 +220,7 @@ query(
 )(
     lambda s, d: round_all(
         mx.scale_columns(
-            mx.features_matrix(candidates(s, d, "buys"), fx.fx_observed(s, d), all_edges(s, d)).select(
+            matrix_features(s, d).select(
                 "session", "aid", *MATRIX_COLUMNS["all"]
             ),
             mx.TEST_PHASE_SCALE,
@@ -226,7 +237,7 @@ cte(
     + " ".join(f"LEFT JOIN {e} {k} ON {k}.aid_x = l.aid_last AND {k}.aid_y = c.aid" for k, e in EDGE_CTES.items()),
 )
 query("features_matrix_last", sql("SELECT * FROM matrix_last"))(
-    lambda s, d: mx.features_matrix_last(candidates(s, d, "buys"), fx.fx_observed(s, d), all_edges(s, d))
+    lambda s, d: matrix_last(s, d)
 )
 
 # --- vectors -----------------------------------------------------------------------------------------------
@@ -270,7 +281,7 @@ for _v in ("last1", "last5", "all"):
     )(
         lambda s, d, v=_v: round_all(
             vec.features_vector_pair(
-                candidates(s, d, "buys"),
+                Inputs(s, d).candidates("buys"),
                 vec.features_vector_item(fx.fx_item_vectors(s, d)),
                 vec.features_vector_session(fx.fx_observed(s, d), fx.fx_item_vectors(s, d)),
                 (v,),

@@ -7,9 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import hash_bucket
+from basketweave.operators import features as ft
 from basketweave.operators import learn, quality, sampling
 from basketweave.operators import recommend as rec
 from basketweave.operators import vectors as vect
+from basketweave.operators.candidates import label_candidates
 from basketweave.plans import phases
 from basketweave.session import shared_dir, stage
 from checks import views as fx
@@ -22,7 +24,7 @@ from checks.features import (
     _out,
     round_all,
 )
-from checks.matrices_and_candidates import candidates, labelled
+from checks.matrices_and_candidates import Inputs, labelled
 from checks.registry import query, rounded
 from checks.sql import cte, sql
 from checks.views import K_EDGES, K_RECALL, N_ADDITIONAL, N_CANDIDATES, T0, T2
@@ -163,19 +165,14 @@ SMALL_RANK = learn.RankerParams(rounds=3, maxDepth=4, minInstancesPerNode=5, fea
 
 
 def small_frame(spark, sf):
-    from basketweave.operators import features as ft
-
-    pairs = stage(candidates(spark, sf, "buys"), "candidates")
-    from basketweave.operators.candidates import label_candidates
-
-    seen = fx.fx_observed(spark, sf)
-    frame = learn.assemble_features(
-        label_candidates(pairs.select("session", "aid"), 2, fx.fx_labels(spark, sf)),
+    made = Inputs(spark, sf)
+    pairs, seen = made.candidates("buys"), made.observed
+    return learn.assemble_features(
+        label_candidates(pairs.select("session", "aid"), 2, made.labels),
         item=[ft.features_item(fx.fx_known(spark, sf), seen)],
         session=[ft.features_session(seen)],
         pair=[ft.features_session_item(pairs, seen)],
     )
-    return frame
 
 
 def small_vectors(spark, sf, folds):
@@ -236,4 +233,4 @@ query(
     sql("""SELECT 'session_score' AS "column", count(*) FILTER (WHERE session_score IS NULL) AS nulls, 0 AS infinite FROM cand_buys
       UNION ALL SELECT 'wgt', count(*) FILTER (WHERE wgt IS NULL), 0 FROM cand_buys
       UNION ALL SELECT 'aid', 0, 0"""),
-)(lambda s, d: quality.quality_report(candidates(s, d, "buys").select("session_score", "wgt", "aid")))
+)(lambda s, d: quality.quality_report(Inputs(s, d).merged("buys").select("session_score", "wgt", "aid")))

@@ -9,6 +9,7 @@ from basketweave.operators import candidates as cand
 from basketweave.operators import covisit as cv
 from basketweave.operators import recommend as rec
 from basketweave.operators.recency import last_event, latest_events, with_positions
+from basketweave.session import stage
 from checks import views as fx
 from checks.registry import query, rounded
 from checks.sql import DAY, define_edges, recent_of, pairs_of, sql
@@ -24,6 +25,62 @@ def edges(spark, sf, kind, k=K_EDGES):
     return cv.covisit_time_weighted(known, T0, T2, k=k)
 
 
+class Inputs:
+    """Inputs of one query. Edges and candidates feed several operators, so each is written once."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf, self.made = spark, sf, {}
+        self.observed = fx.fx_observed(spark, sf)
+        self.labels = fx.fx_labels(spark, sf)
+
+    def _once(self, name, make):
+        if name not in self.made:
+            self.made[name] = stage(make(), name)
+        return self.made[name]
+
+    def edges(self, kind, k=K_EDGES):
+        return self._once(f"{kind}-{k}", lambda: edges(self.spark, self.sf, kind, k))
+
+    def all_edges(self):
+        return {kind: self.edges(kind) for kind in ("buys", "buy2buy", "clicks")}
+
+    def additional(self, family, n=N_ADDITIONAL, k=K_EDGES):
+        if family == "clicks":
+            return cand.additional_clicks(self.observed, self.edges("clicks", k), n)
+        return cand.additional_buys(self.observed, self.edges("buys", k), self.edges("buy2buy", k), n)
+
+    def session_candidates(self, family):
+        if family == "clicks":
+            return cand.session_score_clicks(self.observed)
+        return cand.session_score_buys(self.observed, self.edges("buy2buy"))
+
+    def merged(self, family):
+        own = self._once(f"session-{family}", lambda: self.session_candidates(family))
+        return cand.merge_candidates(own, self.additional(family), N_CANDIDATES)
+
+    def candidates(self, family):
+        return self._once(f"candidates-{family}", lambda: self.merged(family))
+
+    def labelled(self):
+        return cand.label_candidates(
+            self.candidates("buys").select("session", "aid", "chris_rank"), 2, self.labels
+        )
+
+    def ranked(self, family):
+        return self.candidates(family).select("session", "aid", (-F.col("chris_rank")).cast("double").alias("score"))
+
+    def recommendations(self):
+        return [
+            rec.make_recommendations(self.ranked("clicks"), 0),
+            rec.make_recommendations(self.ranked("buys"), 1),
+            rec.make_recommendations(self.ranked("buys"), 2),
+        ]
+
+    def all_recommendations(self):
+        clicks, carts, orders = self.recommendations()
+        return clicks.unionByName(carts).unionByName(orders)
+
+
 # --- edges -------------------------------------------------------------------------------------------------
 
 query("covisit_buy2buy", sql("SELECT aid_x, aid_y, wgt FROM ev_b2b"))(lambda s, d: edges(s, d, "buy2buy"))
@@ -88,7 +145,7 @@ query("score_session_items", sql("SELECT session, aid, round(session_score, 6) A
     )
 )
 query("session_score_buys", sql("SELECT session, aid, round(session_score, 6) AS session_score FROM sc_buys"))(
-    lambda s, d: rounded(cand.session_score_buys(fx.fx_observed(s, d), edges(s, d, "buy2buy")), "session_score")
+    lambda s, d: rounded(Inputs(s, d).session_candidates("buys"), "session_score")
 )
 CLICK_COLUMNS = "session_length, last_event_ts, exists_clicks, exists_carts, exists_orders"
 query(
@@ -125,53 +182,35 @@ query(
     )
 )
 query("additional_clicks", sql("SELECT session, aid, wgt FROM add_clicks"))(
-    lambda s, d: cand.additional_clicks(fx.fx_observed(s, d), edges(s, d, "clicks"), N_ADDITIONAL)
+    lambda s, d: Inputs(s, d).additional("clicks")
 )
 query("additional_buys", sql("SELECT session, aid, wgt FROM add_buys"))(
-    lambda s, d: cand.additional_buys(
-        fx.fx_observed(s, d), edges(s, d, "buys"), edges(s, d, "buy2buy"), N_ADDITIONAL
-    )
+    lambda s, d: Inputs(s, d).additional("buys")
 )
 # Two edges per item and a limit of eight: most sessions need fillers, and some are over the limit.
 query("additional_clicks_fillers", sql("SELECT session, aid, wgt FROM fil_clicks"))(
-    lambda s, d: cand.additional_clicks(fx.fx_observed(s, d), edges(s, d, "clicks", 2), 8)
+    lambda s, d: Inputs(s, d).additional("clicks", 8, 2)
 )
 query("additional_buys_fillers", sql("SELECT session, aid, wgt FROM fil_buys"))(
-    lambda s, d: cand.additional_buys(fx.fx_observed(s, d), edges(s, d, "buys", 2), edges(s, d, "buy2buy", 2), 8)
+    lambda s, d: Inputs(s, d).additional("buys", 8, 2)
 )
 
 
-def additional(spark, sf, family):
-    seen = fx.fx_observed(spark, sf)
-    if family == "clicks":
-        return cand.additional_clicks(seen, edges(spark, sf, "clicks"), N_ADDITIONAL)
-    return cand.additional_buys(seen, edges(spark, sf, "buys"), edges(spark, sf, "buy2buy"), N_ADDITIONAL)
-
-
-def session_candidates(spark, sf, family):
-    seen = fx.fx_observed(spark, sf)
-    if family == "clicks":
-        return cand.session_score_clicks(seen)
-    return cand.session_score_buys(seen, edges(spark, sf, "buy2buy"))
-
-
-def candidates(spark, sf, family):
-    return cand.merge_candidates(
-        session_candidates(spark, sf, family), additional(spark, sf, family), N_CANDIDATES
-    )
+def _anti_existing(inputs):
+    return cand.anti_existing(inputs.additional("clicks"), inputs.session_candidates("clicks"))
 
 
 query(
     "anti_existing",
     sql("""SELECT a.session, a.aid, a.wgt FROM add_clicks a
       WHERE NOT EXISTS (SELECT 1 FROM sc_clicks s WHERE s.session = a.session AND s.aid = a.aid)"""),
-)(lambda s, d: cand.anti_existing(additional(s, d, "clicks"), session_candidates(s, d, "clicks")))
+)(lambda s, d: _anti_existing(Inputs(s, d)))
 CANDIDATE_SQL = "SELECT session, aid, round(session_score, 6) AS session_score, wgt, chris_rank FROM "
 query("merge_candidates_buys", sql(CANDIDATE_SQL + "cand_buys"))(
-    lambda s, d: rounded(candidates(s, d, "buys"), "session_score")
+    lambda s, d: rounded(Inputs(s, d).merged("buys"), "session_score")
 )
 query("merge_candidates_clicks", sql(CANDIDATE_SQL + "cand_clicks"))(
-    lambda s, d: rounded(candidates(s, d, "clicks"), "session_score")
+    lambda s, d: rounded(Inputs(s, d).merged("clicks"), "session_score")
 )
 query(
     "describe_candidates",
@@ -180,7 +219,7 @@ query(
       FROM (SELECT session, count(DISTINCT aid) AS n FROM sc_clicks GROUP BY session)"""),
 )(
     lambda s, d: rounded(
-        cand.candidates_per_session(session_candidates(s, d, "clicks").select("session", "aid")), "mean", "std"
+        cand.candidates_per_session(Inputs(s, d).session_candidates("clicks").select("session", "aid")), "mean", "std"
     )
 )
 query("explode_labels", sql("SELECT session, type, aid, target FROM truth"))(
@@ -189,43 +228,22 @@ query("explode_labels", sql("SELECT session, type, aid, target FROM truth"))(
 
 
 def labelled(spark, sf):
-    return cand.label_candidates(
-        candidates(spark, sf, "buys").select("session", "aid", "chris_rank"), 2, fx.fx_labels(spark, sf)
-    )
+    return Inputs(spark, sf).labelled()
 
 
 query("label_candidates", sql("SELECT session, aid, chris_rank, type, target FROM labelled"))(labelled)
 query(
     "label_candidates_unlabelled", sql("SELECT session, aid, 0 AS type, 0 AS target FROM cand_clicks")
-)(lambda s, d: cand.label_candidates(candidates(s, d, "clicks").select("session", "aid"), 0))
+)(lambda s, d: cand.label_candidates(Inputs(s, d).merged("clicks").select("session", "aid"), 0))
 
 
 # --- recommendation lists and evaluation -------------------------------------------------------------------
 
-def ranked(spark, sf, family):
-    return candidates(spark, sf, family).select("session", "aid", (-F.col("chris_rank")).cast("double").alias("score"))
-
-
-def recommendations(spark, sf):
-    buys = ranked(spark, sf, "buys")
-    parts = [
-        rec.make_recommendations(ranked(spark, sf, "clicks"), 0),
-        rec.make_recommendations(buys, 1),
-        rec.make_recommendations(buys, 2),
-    ]
-    return parts
-
-
-def all_recommendations(spark, sf):
-    clicks, carts, orders = recommendations(spark, sf)
-    return clicks.unionByName(carts).unionByName(orders)
-
-
 query("make_recommendations", sql("SELECT session_type, labels FROM rec_orders"))(
-    lambda s, d: rec.make_recommendations(ranked(s, d, "buys"), 2)
+    lambda s, d: rec.make_recommendations(Inputs(s, d).ranked("buys"), 2)
 )
 query("top_scored", sql("SELECT session, aid, chris_rank + 1 AS n FROM cand_clicks WHERE chris_rank < 5"))(
-    lambda s, d: rec.top_scored(ranked(s, d, "clicks"), 5).select("session", "aid", "n")
+    lambda s, d: rec.top_scored(Inputs(s, d).ranked("clicks"), 5).select("session", "aid", "n")
 )
 
 RECALL = f"""SELECT l.type, CAST(sum(len(list_intersect(l.ground_truth, coalesce(
@@ -235,11 +253,11 @@ RECALL = f"""SELECT l.type, CAST(sum(len(list_intersect(l.ground_truth, coalesce
 query(
     "recall_by_type",
     sql(f"SELECT type, hits, gt_count, hits / gt_count AS recall FROM ({RECALL} GROUP BY l.type)"),
-)(lambda s, d: rec.recall_by_type(all_recommendations(s, d), fx.fx_labels(s, d), K_RECALL))
+)(lambda s, d: rec.recall_by_type(Inputs(s, d).all_recommendations(), fx.fx_labels(s, d), K_RECALL))
 query(
     "recall_at_k",
     sql(f"SELECT type, hits, gt_count, hits / gt_count AS recall FROM ({RECALL} WHERE l.type = 'orders' GROUP BY l.type)"),
-)(lambda s, d: rec.recall_at(all_recommendations(s, d), fx.fx_labels(s, d), 2, K_RECALL))
+)(lambda s, d: rec.recall_at(Inputs(s, d).all_recommendations(), fx.fx_labels(s, d), 2, K_RECALL))
 query(
     "weighted_score",
     sql(f"""SELECT recall_clicks, recall_carts, recall_orders,
@@ -250,7 +268,7 @@ query(
         FROM ({RECALL} GROUP BY l.type))"""),
 )(
     lambda s, d: rounded(
-        rec.weighted_score(all_recommendations(s, d), fx.fx_labels(s, d), K_RECALL), "score", digits=9
+        rec.weighted_score(Inputs(s, d).all_recommendations(), fx.fx_labels(s, d), K_RECALL), "score", digits=9
     )
 )
 query(
@@ -258,4 +276,4 @@ query(
     sql("""SELECT session_type, labels FROM rec_clicks
       UNION ALL SELECT session_type, substring(labels, 1, 30) AS labels FROM rec_carts
       UNION ALL SELECT session_type, substring(labels, 1, 30) AS labels FROM rec_orders"""),
-)(lambda s, d: rec.concat_submissions(*recommendations(s, d), limit=30))
+)(lambda s, d: rec.concat_submissions(*Inputs(s, d).recommendations(), limit=30))

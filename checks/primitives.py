@@ -19,7 +19,7 @@ from basketweave.session import shared_dir
 from basketweave.sources import tables
 from checks import views as fx
 from checks.features import TYPES, rate_sql
-from checks.matrices_and_candidates import all_recommendations, candidates, edges, ranked, recommendations
+from checks.matrices_and_candidates import Inputs, edges
 from checks.registry import query, rounded
 from checks.sql import TYPE_W, sql, weight
 from checks.views import K_RECALL, N_CANDIDATES, T0, T2
@@ -61,7 +61,7 @@ def load_labels(spark, sf):
 @query("load_candidates", sql("SELECT session, aid FROM cand_buys"))
 def load_candidates(spark, sf):
     root = folder(spark)
-    tables.save_parquet(candidates(spark, sf, "buys"), f"{root}/candidates/phase=train/family=buys")
+    tables.save_parquet(Inputs(spark, sf).merged("buys"), f"{root}/candidates/phase=train/family=buys")
     return tables.load_candidates(spark, root, "train", 1)
 
 
@@ -94,7 +94,7 @@ def parquet_sink(spark, sf):
 
 
 query("csv_sink_source", sql("SELECT session_type, labels FROM recs"))(
-    lambda s, d: _csv_round_trip(s, all_recommendations(s, d))
+    lambda s, d: _csv_round_trip(s, Inputs(s, d).all_recommendations())
 )
 
 
@@ -194,7 +194,7 @@ query(
         CAST(string_split(labels, ' ')[1] AS BIGINT) AS first_id, least(len(string_split(labels, ' ')), 20) AS ids
       FROM rec_clicks"""),
 )(
-    lambda s, d: recommendations(s, d)[0]
+    lambda s, d: Inputs(s, d).recommendations()[0]
     .where(F.col("session_type").contains("clicks"))
     .select(parse_session("session_type").alias("session"), parse_ids("labels", 20).alias("ids"))
     .select("session", F.col("ids")[0].alias("first_id"), F.size("ids").alias("ids"))
@@ -205,7 +205,7 @@ query(
           [CAST(x AS INTEGER) FOR x IN string_split(r.labels, ' ')][1:{K_RECALL}], []))) AS hits,
         least(len(l.ground_truth), {K_RECALL}) AS gt_count
       FROM fx_labels l LEFT JOIN recs r ON r.session_type = l.session || '_' || l.type"""),
-)(lambda s, d: rec._hits(all_recommendations(s, d), fx.fx_labels(s, d), K_RECALL))
+)(lambda s, d: rec._hits(Inputs(s, d).all_recommendations(), fx.fx_labels(s, d), K_RECALL))
 query(
     "l1_distance",
     sql("""SELECT vec_id AS aid, round(abs(svd_0 - svd_5) + abs(svd_1 - svd_6) + abs(svd_2 - svd_7), 6) AS distance
@@ -250,7 +250,7 @@ query(
       LEFT JOIN (SELECT aid, count(*) AS n FROM fx_observed GROUP BY aid) i ON c.aid = i.aid"""),
 )(
     lambda s, d: learn.attach(
-        candidates(s, d, "clicks").select("session", "aid"),
+        Inputs(s, d).merged("clicks").select("session", "aid"),
         fx.fx_observed(s, d).groupBy("aid").agg(F.count(F.lit(1)).alias("n")),
         ["aid"],
     )
@@ -262,7 +262,7 @@ query(
       ON c.session = i.session AND c.aid = i.aid"""),
 )(
     lambda s, d: learn.attach(
-        candidates(s, d, "clicks").select("session", "aid"),
+        Inputs(s, d).merged("clicks").select("session", "aid"),
         fx.fx_observed(s, d).groupBy("session", "aid").agg(F.count(F.lit(1)).alias("n")),
         ["session", "aid"],
     )
@@ -291,7 +291,7 @@ query(
 )(
     lambda s, d: fx.fx_labels(s, d)
     .withColumn("session_type", F.concat_ws("_", "session", "type"))
-    .join(all_recommendations(s, d), "session_type", "left")
+    .join(Inputs(s, d).all_recommendations(), "session_type", "left")
     .select("session", "type", "labels")
 )
 
@@ -321,7 +321,7 @@ query(
 
 def _matrix_stats(spark, sf):
     """Statistics of every reached item, that is with the reached items themselves as candidates."""
-    seen, by_kind = fx.fx_observed(spark, sf), {k: edges(spark, sf, k) for k in ("buys",)}
+    seen, by_kind = fx.fx_observed(spark, sf), {"buys": Inputs(spark, sf).edges("buys")}
     reached = (
         cand.expand_by_edges(seen.select("session", "aid").distinct(), by_kind["buys"])
         .select("session", F.col("aid_y").alias("aid"))
@@ -361,8 +361,8 @@ query("mean_importance", sql("SELECT CAST(label AS VARCHAR) AS feature, round(av
     )
 )
 query("sorted_submission", sql("SELECT session_type, labels FROM rec_carts ORDER BY session_type"))(
-    lambda s, d: rec.make_recommendations(ranked(s, d, "buys"), 1).orderBy("session_type")
+    lambda s, d: rec.make_recommendations(Inputs(s, d).ranked("buys"), 1).orderBy("session_type")
 )
 query("union_sources", sql("SELECT session, aid, session_score IS NULL AS added FROM cand_buys"))(
-    lambda s, d: candidates(s, d, "buys").select("session", "aid", F.isnull("session_score").alias("added"))
+    lambda s, d: Inputs(s, d).merged("buys").select("session", "aid", F.isnull("session_score").alias("added"))
 )
