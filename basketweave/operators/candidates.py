@@ -20,6 +20,11 @@ from basketweave.operators.recency import HOT_SESSION_ROWS, with_positions
 BUY2BUY_BONUS = 0.1
 
 
+def _positioned(events: DataFrame, hot_rows: int) -> DataFrame:
+    """Events with positions; a log that has them already is used as it is."""
+    return events if "position" in events.columns else with_positions(events, hot_rows)
+
+
 def expand_by_edges(items: DataFrame, edges: DataFrame) -> DataFrame:
     """Neighbours of each (session, aid): one row per matching edge.
 
@@ -35,7 +40,7 @@ def session_score_buys(events: DataFrame, buy2buy: DataFrame, hot_rows: int = HO
     Type weight times position weight, plus a bonus per buy2buy edge that leads from an item bought in the
     session to an item of the session. Both parts meet in one aggregation, not in a join.
     """
-    weighted = with_positions(events, hot_rows).select(
+    weighted = _positioned(events, hot_rows).select(
         "session",
         "aid",
         (type_weight() * position_weight(F.col("position"), F.col("session_length"), 0.5)).alias("score"),
@@ -59,7 +64,7 @@ def session_score_clicks(events: DataFrame, max_n: int = 50, hot_rows: int = HOT
     """Session items scored for clicks, with presence flags; the ``max_n`` most recently seen are kept."""
     score = type_weight() * position_weight(F.col("position"), F.col("session_length"), 0.1)
     scored = (
-        with_positions(events, hot_rows)
+        _positioned(events, hot_rows)
         .groupBy("session", "aid")
         .agg(
             F.sum(score).alias("session_score"),

@@ -83,6 +83,37 @@ def time_weights(events: DataFrame, t0: int, t1: int, window_seconds: int = DAY,
     )
 
 
+def day_weights(
+    events: DataFrame,
+    t0: int,
+    t1: int,
+    window_seconds: int = DAY,
+    weights: Mapping[int, int] = TYPE_WEIGHTS,
+    recent: int = 30,
+) -> DataFrame:
+    """``type_weights`` and ``time_weights`` from one pass: ``(aid_x, aid_y, wgt_type, wgt_time)``.
+
+    Per session and pair, the distinct types of the second item are kept as bits and the distinct seconds of
+    the first as count and sum. These steps stay in the session's partition, so the log is shuffled once and
+    the pairs once for both weights.
+    """
+    pairs = session_pairs(events, window_seconds, recent)
+    per_second = pairs.groupBy("session", "aid_x", "aid_y", "ts_x").agg(
+        F.bit_or(F.expr("shiftleft(1, type_y)")).alias("types")
+    )
+    per_session = per_second.groupBy("session", "aid_x", "aid_y").agg(
+        F.bit_or("types").alias("types"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("ts_x") - F.lit(t0)).alias("seconds"),
+    )
+    typed = [F.when(F.col("types").bitwiseAND(1 << t) != 0, w).otherwise(0) for t, w in weights.items()]
+    summed = per_session.groupBy("aid_x", "aid_y").agg(
+        F.sum(sum(typed[1:], typed[0])).alias("wgt_type"), F.sum("n").alias("n"), F.sum("seconds").alias("seconds")
+    )
+    time = F.col("n").cast("double") + F.lit(3.0) * F.col("seconds").cast("double") / F.lit(float(t1 - t0))
+    return summed.select("aid_x", "aid_y", "wgt_type", time.alias("wgt_time"))
+
+
 def covisit_buy2buy(events: DataFrame, window_seconds: int = 14 * DAY, recent: int = 30, k: int = 40) -> DataFrame:
     """Carts and orders only: number of (session, type) in which both items were bought."""
     return top_edges(buy2buy_weights(events, window_seconds, recent), k)

@@ -160,24 +160,28 @@ def features_session(events: DataFrame) -> DataFrame:
     return wide.select("*", *changes)
 
 
+def candidates_rank() -> Column:
+    """1-based rank of a merged candidate."""
+    return (F.col("chris_rank") + 1).alias("candidates_rank")
+
+
 def features_session_item(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """34 columns per candidate: rank, counts of the item in the session over all and the last rows, trends.
 
-    ``candidates`` brings ``chris_rank`` from the merge.
+    ``candidates`` brings ``chris_rank`` from the merge; without it the rank column is left out.
     """
     name = {"all": "all", **{str(n): f"last{n}rows" for n in LAST_ROWS}}
     aggs = [count_type(t, cond).alias(f"{t}_count_{name[k]}") for k, cond in _row_sets().items() for t in TYPES]
     counts = with_last_rows(events, max(LAST_ROWS), "session", "aid", "type").groupBy("session", "aid").agg(*aggs)
-    joined = candidates.select("session", "aid", (F.col("chris_rank") + 1).alias("candidates_rank")).join(
-        counts, ["session", "aid"], "left"
-    )
+    rank = [candidates_rank()] if "chris_rank" in candidates.columns else []
+    joined = candidates.select("session", "aid", *rank).join(counts, ["session", "aid"], "left")
     out = []
     for key in name.values():
         count = {t: F.coalesce(f"{t}_count_{key}", F.lit(0)).cast("int") for t in TYPES}
         out += [count[t].alias(f"{t}_count_{key}") for t in TYPES]
         out += [(count[a] - count[b]).alias(f"{a}_count_diff_from_{b}_{key}") for a, b in RATE_PAIRS]
     trend_steps = (("last3rows", "last10rows"), ("last10rows", "last30rows"), ("last30rows", "all"))
-    filled = joined.select("session", "aid", "candidates_rank", *out)
+    filled = joined.select("session", "aid", *(["candidates_rank"] if rank else []), *out)
     trends = [
         (F.col(f"{t}_count_{a}") - F.col(f"{t}_count_{b}")).alias(f"{t}_count_diff_{a}_{b}")
         for t in TYPES

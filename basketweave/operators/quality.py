@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,15 +13,25 @@ _INT_RANGES = (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31))
 _FLOAT32_MAX = 3.4028234663852886e38
 
 
-def quality_report(df: DataFrame) -> DataFrame:
-    """``(column, nulls, infinite)`` for every column, from one aggregation."""
-    fractional = {f.name for f in df.schema if isinstance(f.dataType, _FRACTIONAL)}
+def _fractional(df: DataFrame) -> set[str]:
+    return {f.name for f in df.schema if isinstance(f.dataType, _FRACTIONAL)}
+
+
+def quality_aggregates(df: DataFrame) -> list[Column]:
+    """Counts of null (or NaN) and infinite values of every column."""
+    fractional = _fractional(df)
     aggs = []
     for c in df.columns:
         bad = F.isnull(c) | F.isnan(c) if c in fractional else F.isnull(c)
         aggs.append(F.count(F.when(bad, F.lit(1))).alias(f"null_{c}"))
         if c in fractional:
             aggs.append(F.count(F.when(F.abs(c) == float("inf"), F.lit(1))).alias(f"inf_{c}"))
+    return aggs
+
+
+def quality_report(df: DataFrame) -> DataFrame:
+    """``(column, nulls, infinite)`` for every column, from one aggregation."""
+    fractional = _fractional(df)
     rows = [
         F.struct(
             F.lit(c).alias("column"),
@@ -30,14 +40,19 @@ def quality_report(df: DataFrame) -> DataFrame:
         )
         for c in df.columns
     ]
-    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+    return df.agg(*quality_aggregates(df)).select(F.inline(F.array(*rows)))
+
+
+def raise_if_bad(counts: dict) -> None:
+    """Raise if any count of ``quality_aggregates`` is not zero."""
+    bad = sorted({name.split("_", 1)[1] for name, n in counts.items() if name.startswith(("null_", "inf_")) and n})
+    if bad:
+        raise ValueError("null or infinite features: " + ", ".join(bad))
 
 
 def assert_clean(df: DataFrame) -> DataFrame:
     """Raise if any value is null, NaN or infinite; otherwise return ``df``."""
-    bad = quality_report(df).where((F.col("nulls") > 0) | (F.col("infinite") > 0)).collect()
-    if bad:
-        raise ValueError("null or infinite features: " + ", ".join(r["column"] for r in bad))
+    raise_if_bad(df.agg(*quality_aggregates(df)).first().asDict())
     return df
 
 

@@ -17,13 +17,11 @@ from basketweave.operators import features as ft
 from basketweave.operators import matrix_features as mx
 from basketweave.operators import vector_features as vec
 from basketweave.operators.learn import assemble_features
-from basketweave.operators.quality import assert_clean
-from basketweave.operators.recency import latest_events
+from basketweave.operators.recency import with_positions
 from basketweave.operators.vectors import item_sequences, reduce_vectors, train_item_vectors
 from basketweave.session import stage
 from basketweave.sources.tables import (
     EDGE_KINDS,
-    candidate_family,
     load_candidates,
     load_covisit,
     load_item_vectors,
@@ -31,6 +29,12 @@ from basketweave.sources.tables import (
 )
 
 
+# Feature tables by key.
+ITEM = ("item", "vector_item")
+SESSION = ("session", "vector_session")
+PAIR = ("session_item", "matrix", "matrix_last", "vector_pair")
+
+
 @dataclass(frozen=True)
 class Limits:
     """Cut-offs of the published run."""
@@ -48,14 +52,12 @@ class Limits:
 
 
 def build_edges(events: DataFrame, root: str, phase: str, t0: int, t1: int, limits: Limits = Limits()) -> None:
-    """All three edge tables. The type- and time-weighted ones share one cut of the log."""
-    recent = stage(latest_events(events, limits.recent).drop("recency"), "recent")
+    """All three edge tables. The type- and time-weighted ones come from one pass over the log."""
+    day = stage(cv.day_weights(events, t0, t1, limits.day_window, recent=limits.recent), "day-weights")
     tables = {
         "buy2buy": cv.covisit_buy2buy(events, limits.buy_window, limits.recent, limits.edges_per_item),
-        "buys": cv.covisit_type_weighted(recent, limits.day_window, recent=limits.recent, k=limits.edges_per_item),
-        "clicks": cv.covisit_time_weighted(
-            recent, t0, t1, limits.day_window, limits.recent, limits.edges_per_item
-        ),
+        "buys": cv.top_edges(day.withColumnRenamed("wgt_type", "wgt"), limits.edges_per_item),
+        "clicks": cv.top_edges(day.withColumnRenamed("wgt_time", "wgt"), limits.edges_per_item),
     }
     for kind, df in tables.items():
         save_parquet(df, f"{root}/covisit/phase={phase}/kind={kind}")
@@ -68,13 +70,14 @@ def load_edges(spark: SparkSession, root: str, phase: str) -> dict[str, DataFram
 def build_candidates(events_recent: DataFrame, root: str, phase: str, limits: Limits = Limits()) -> None:
     """The click and the buy candidates."""
     edges = load_edges(events_recent.sparkSession, root, phase)
+    positioned = stage(with_positions(events_recent), "positions")
     families = {
         "clicks": (
-            cand.session_score_clicks(events_recent, limits.session_items_clicks),
+            cand.session_score_clicks(positioned, limits.session_items_clicks),
             cand.additional_clicks(events_recent, edges["clicks"], limits.additional),
         ),
         "buys": (
-            cand.session_score_buys(events_recent, edges["buy2buy"]),
+            cand.session_score_buys(positioned, edges["buy2buy"]),
             cand.additional_buys(events_recent, edges["buys"], edges["buy2buy"], limits.additional),
         ),
     }
@@ -100,48 +103,48 @@ def build_shared_features(events: DataFrame, events_recent: DataFrame, root: str
         "vector_session": vec.features_vector_session(events_recent, vectors),
     }
     for name, df in tables.items():
-        path = f"{root}/features/phase={phase}/table={name}"
-        save_parquet(df, path)
-        assert_clean(spark.read.parquet(path))
+        save_parquet(df, f"{root}/features/phase={phase}/table={name}", checked=True)
 
 
-def build_pair_features(
-    events_recent: DataFrame, root: str, phase: str, type_id: int, limits: Limits = Limits()
-) -> None:
-    """Features of the candidates of one type; carts and orders share theirs."""
+def build_pair_features(events_recent: DataFrame, root: str, phase: str, limits: Limits = Limits()) -> None:
+    """Features of all candidate pairs.
+
+    Click and buy candidates overlap, so a pair's features are computed once for both; only the rank differs
+    and is added by ``load_frame``.
+    """
     spark = events_recent.sparkSession
-    candidates = load_candidates(spark, root, phase, type_id, ("session", "aid", "chris_rank"))
+    clicks, buys = (load_candidates(spark, root, phase, t) for t in (0, 1))
+    pairs = stage(clicks.unionByName(buys).distinct(), "pairs")
     edges = load_edges(spark, root, phase)
     scale = mx.TEST_PHASE_SCALE if phase == "test" else 1.0
-    shared = f"{root}/features/phase={phase}"
+    features = f"{root}/features/phase={phase}"
     tables = {
-        "session_item": ft.features_session_item(candidates, events_recent),
-        "matrix": mx.features_matrix(candidates, events_recent, edges, limits.last_events, scale),
-        "matrix_last": mx.features_matrix_last(candidates, events_recent, edges, scale),
+        "session_item": ft.features_session_item(pairs, events_recent),
+        "matrix": mx.features_matrix(pairs, events_recent, edges, limits.last_events, scale),
+        "matrix_last": mx.features_matrix_last(pairs, events_recent, edges, scale),
         "vector_pair": vec.features_vector_pair(
-            candidates,
-            spark.read.parquet(f"{shared}/table=vector_item"),
-            spark.read.parquet(f"{shared}/table=vector_session"),
+            pairs,
+            spark.read.parquet(f"{features}/table=vector_item"),
+            spark.read.parquet(f"{features}/table=vector_session"),
         ),
     }
     for name, df in tables.items():
-        path = f"{shared}/family={candidate_family(type_id)}/table={name}"
-        save_parquet(df, path)
-        assert_clean(spark.read.parquet(path))
+        save_parquet(df, f"{features}/table={name}", checked=True)
 
 
 def load_frame(
     spark: SparkSession, root: str, phase: str, type_id: int, labels: DataFrame | None = None
 ) -> DataFrame:
     """Candidates of one type with target and all features."""
-    base = load_candidates(spark, root, phase, type_id)
-    shared = f"{root}/features/phase={phase}"
-    pair = f"{shared}/family={candidate_family(type_id)}"
+    base = load_candidates(spark, root, phase, type_id, ("session", "aid", "chris_rank")).select(
+        "session", "aid", ft.candidates_rank()
+    )
+    table = {t: spark.read.parquet(f"{root}/features/phase={phase}/table={t}") for t in ITEM + SESSION + PAIR}
     return assemble_features(
         cand.label_candidates(base, type_id, labels),
-        item=[spark.read.parquet(f"{shared}/table={t}") for t in ("item", "vector_item")],
-        session=[spark.read.parquet(f"{shared}/table={t}") for t in ("session", "vector_session")],
-        pair=[spark.read.parquet(f"{pair}/table={t}") for t in ("session_item", "matrix", "matrix_last", "vector_pair")],
+        item=[table[t] for t in ITEM],
+        session=[table[t] for t in SESSION],
+        pair=[table[t] for t in PAIR],
     )
 
 
@@ -163,5 +166,4 @@ def build_phase(
     else:
         save_parquet(vectors, f"{root}/item_vectors/phase={phase}")
     build_shared_features(events, events_recent, root, phase)
-    for type_id in (0, 1):
-        build_pair_features(events_recent, root, phase, type_id, limits)
+    build_pair_features(events_recent, root, phase, limits)

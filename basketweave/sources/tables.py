@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from basketweave.operators.quality import quality_aggregates, raise_if_bad
+
 EVENT_COLUMNS = ("session", "aid", "ts", "type", "event_id")
 PHASES = ("train", "test")
 EDGE_KINDS = ("buy2buy", "buys", "clicks")
@@ -67,11 +69,16 @@ def load_item_vectors(spark: SparkSession, root: str, phase: str) -> DataFrame:
     return spark.read.parquet(f"{root}/item_vectors/phase={phase}")
 
 
-def save_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> dict:
-    """Write and return ``{"rows": n}``, counted while writing rather than by a second job."""
+def save_parquet(df: DataFrame, path: str, mode: str = "overwrite", checked: bool = False) -> dict:
+    """Write and return ``{"rows": n}``, counted while writing rather than by a second job.
+
+    ``checked`` also counts null and infinite values on the way and raises if there are any.
+    """
     seen = Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
-    return seen.get
+    extra = quality_aggregates(df) if checked else []
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra).write.mode(mode).parquet(path)
+    raise_if_bad(seen.get)
+    return {"rows": seen.get["rows"]}
 
 
 def save_bucketed(df: DataFrame, table: str, buckets: int, *keys: str) -> None:

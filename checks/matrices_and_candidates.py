@@ -111,6 +111,11 @@ query("pair_count", sql("SELECT aid_x, aid_y, wgt FROM ev_b2b_w"))(lambda s, d:
 query("pair_weighted_sum", sql("SELECT aid_x, aid_y, wgt FROM ev_typ_w"))(
     lambda s, d: cv.type_weights(fx.fx_known(s, d))
 )
+query(
+    "pair_weights_one_pass",
+    sql("""SELECT t.aid_x, t.aid_y, t.wgt AS wgt_type, c.wgt AS wgt_time
+      FROM ev_typ_w t JOIN ev_clk_w c ON t.aid_x = c.aid_x AND t.aid_y = c.aid_y"""),
+)(lambda s, d: cv.day_weights(fx.fx_known(s, d), T0, T2))
 query("topk_edges", sql("SELECT aid_x, aid_y, wgt FROM ev2_typ"))(lambda s, d: edges(s, d, "buys", 2))
 
 
