@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressionModel, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, GBTRegressionModel, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,13 +99,17 @@ def save_models(models: Sequence, path: str) -> None:
         model.write().overwrite().save(f"{path}/fold={k}")
 
 
-def load_models(path: str, folds: int = 5) -> list[GBTClassificationModel]:
-    return [GBTClassificationModel.load(f"{path}/fold={k}") for k in range(folds)]
+def load_models(path: str, folds: int = 5, model_class=GBTClassificationModel) -> list:
+    """Classifiers, or rankers with ``model_class=GBTRegressionModel``."""
+    return [model_class.load(f"{path}/fold={k}") for k in range(folds)]
 
 
-def _probability(model: GBTClassificationModel, vectors: DataFrame, name: str) -> DataFrame:
-    scorer = model.copy().setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
-    return scorer.transform(vectors).withColumn(name, vector_to_array("_p")[1]).drop("_p")
+def score_rows(model, vectors: DataFrame, name: str) -> DataFrame:
+    """Adds the score of one model as column ``name``: a classifier's probability, a ranker's margin."""
+    if isinstance(model, GBTClassificationModel):
+        scorer = model.copy().setProbabilityCol("_p").setRawPredictionCol("").setPredictionCol("")
+        return scorer.transform(vectors).withColumn(name, vector_to_array("_p")[1]).drop("_p")
+    return model.copy().setPredictionCol(name).transform(vectors)
 
 
 def predict_oof(vectors: DataFrame, models: Sequence) -> DataFrame:
@@ -119,11 +124,6 @@ def predict_oof(vectors: DataFrame, models: Sequence) -> DataFrame:
     return out
 
 
-def score_rows(model, vectors: DataFrame, name: str) -> DataFrame:
-    """Adds the score of one model, classifier or ranker, as column ``name``."""
-    return model.score(vectors, name) if isinstance(model, PairwiseModel) else _probability(model, vectors, name)
-
-
 def predict_ensemble(vectors: DataFrame, models: Sequence) -> DataFrame:
     """``(session, aid, score)``: mean over all models, one column per model and no shuffle."""
     out = vectors
@@ -165,38 +165,19 @@ class RankerParams:
     seed: int = 3655
 
 
-@dataclass
-class PairwiseModel:
-    """A sum of regression trees, each scaled by the step size."""
-
-    trees: list[DecisionTreeRegressionModel]
-    step: float
-
-    def score(self, vectors: DataFrame, name: str) -> DataFrame:
-        out = vectors.withColumn(name, F.lit(0.0))
-        for tree in self.trees:
-            out = add_tree(out, tree, self.step, name)
-        return out
+def tree_sum(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], step: float) -> GBTRegressionModel:
+    """One ensemble model whose prediction is ``step`` times the sum of the trees.
 
-    def save(self, path: str) -> None:
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/tree={i:05d}")
-
-    @classmethod
-    def load(cls, path: str, trees: int, step: float) -> PairwiseModel:
-        return cls([DecisionTreeRegressionModel.load(f"{path}/tree={i:05d}") for i in range(trees)], step)
-
-    @property
-    def featureImportances(self):
-        from pyspark.ml.linalg import Vectors
-
-        total = sum(tree.featureImportances.toArray() for tree in self.trees)
-        return Vectors.dense(total / max(len(self.trees), 1))
-
-
-def add_tree(vectors: DataFrame, tree: DecisionTreeRegressionModel, step: float, name: str) -> DataFrame:
-    scored = tree.copy().setPredictionCol("_tree").transform(vectors)
-    return scored.withColumn(name, F.col(name) + F.lit(step) * F.col("_tree")).drop("_tree")
+    It scores in a single pass however many trees there are, and saves and loads like any model.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    tree_class = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
+    java_trees = gateway.new_array(tree_class, len(trees))
+    weights = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        java_trees[i], weights[i] = tree._java_obj, float(step)
+    uid = f"PairwiseRanker_{uuid.uuid4().hex[:12]}"
+    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, java_trees, weights))
 
 
 def sample_pairs(scored: DataFrame, pairs_per_positive: int = 1, seed: int = 42) -> DataFrame:
@@ -252,7 +233,7 @@ def pair_gradients(pairs: DataFrame) -> DataFrame:
     return sums.select("session", "aid", (F.col("g") / floor).alias("label"), floor.alias("weight"))
 
 
-def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> PairwiseModel:
+def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> GBTRegressionModel:
     spark = vectors.sparkSession
     base, base_path = write_stage(
         semi_positive_sessions(vectors).select(
@@ -277,9 +258,9 @@ def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> Pairwise
         rows = base.select(*KEYS, "features").join(pair_gradients(pairs), list(KEYS))
         tree = learner.fit(rows.select("features", "label", "weight")).trees[0]
         trees.append(tree)
-        step = add_tree(base.select(*KEYS, "features", F.lit(0.0).alias("step")), tree, params.stepSize, "step")
-        moved = scores.join(step.select(*KEYS, "step"), list(KEYS)).select(
-            *KEYS, "target", "valid", (F.col("score") + F.col("step")).alias("score")
+        step = score_rows(tree, base.select(*KEYS, "features"), "step").select(*KEYS, "step")
+        moved = scores.join(step, list(KEYS)).select(
+            *KEYS, "target", "valid", (F.col("score") + F.lit(params.stepSize) * F.col("step")).alias("score")
         )
         # Only keys and scores are rewritten per round; the features stay where they are.
         old_path = scores_path
@@ -294,10 +275,12 @@ def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> Pairwise
     for path in (base_path, scores_path):
         if path:
             drop_stage(spark, path)
-    return PairwiseModel(trees[: best_at + 1], params.stepSize)
+    return tree_sum(spark, trees[: best_at + 1], params.stepSize)
 
 
-def train_ranker(vectors: DataFrame, folds: int = 5, params: RankerParams = RankerParams()) -> list[PairwiseModel]:
+def train_ranker(
+    vectors: DataFrame, folds: int = 5, params: RankerParams = RankerParams()
+) -> list[GBTRegressionModel]:
     """One pairwise ranker per fold: boosted regression trees on the gradient of the pairwise logistic loss.
 
     Only sessions with a positive take part. Each round samples negatives for the positives, fits one tree to

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import functions as F
 
 from basketweave.operators import learn, sampling
@@ -77,9 +78,19 @@ def test_ranker_finds_the_signal(vectors, frame, tmp_path):
     rankers = learn.train_ranker(vectors, 2, params)
     scores = learn.predict_oof(vectors, rankers)
     assert auc(scores, frame) > 0.85
-    rankers[0].save(str(tmp_path))
-    again = learn.PairwiseModel.load(str(tmp_path), len(rankers[0].trees), rankers[0].step)
-    assert rows(again.score(vectors, "s"), "session", "aid", "s") == rows(rankers[0].score(vectors, "s"), "session", "aid", "s")
+    learn.save_models(rankers, str(tmp_path))
+    again = learn.load_models(str(tmp_path), 2, GBTRegressionModel)
+    assert rows(learn.predict_ensemble(vectors, again)) == rows(learn.predict_ensemble(vectors, rankers))
+    assert rankers[0].featureImportances.toArray().argmax() == 0
+    assert rankers[0].getNumTrees <= params.rounds
+
+
+def test_ranker_stops_early(vectors):
+    """With random targets the validation loss soon stops falling."""
+    noise = vectors.withColumn("target", (F.xxhash64("session", "aid") % 5 == 0).cast("int"))
+    params = learn.RankerParams(rounds=12, maxDepth=2, stepSize=1.0, minInstancesPerNode=5, early_stopping_rounds=2)
+    model = learn.train_ranker(noise, 1, params)[0]
+    assert model.getNumTrees < 12
 
 
 def test_pairs_stay_in_the_session_and_are_distinct(frame):
