@@ -97,19 +97,20 @@ def _ranked_array(top: DataFrame) -> Column:
 
 
 def limited_sessions(events: DataFrame, n: int) -> DataFrame:
-    """Sessions with fewer than ``n`` distinct items, as ``(session, items)``.
+    """Distinct ``(session, aid, bought)`` of sessions with fewer than ``n`` distinct items.
 
-    ``items`` holds ``(aid, bought)`` structs. Each session is first cut to ``n`` distinct items, which is
-    enough to tell that it has too many, so the array is bounded.
+    Each session is first cut to ``n`` distinct items, which is enough to tell that it has too many. Keys are
+    filtered here, so that consumers joining on either of them share one exchange.
     """
-    items = events.groupBy("session", "aid").agg(F.max(F.col("type").isin(*BUY_TYPES)).alias("bought"))
-    by_aid = Window.partitionBy("session").orderBy("aid")
+    known = events.where(F.isnotnull("session") & F.isnotnull("aid"))
+    items = known.groupBy("session", "aid").agg(F.max(F.col("type").isin(*BUY_TYPES)).alias("bought"))
+    by_session = Window.partitionBy("session")
     return (
-        items.withColumn("k", F.row_number().over(by_aid))
+        items.withColumn("k", F.row_number().over(by_session.orderBy("aid")))
         .where(F.col("k") <= n)
-        .groupBy("session")
-        .agg(F.collect_list(F.struct("aid", "bought")).alias("items"))
-        .where(F.size("items") < n)
+        .withColumn("size", F.count(F.lit(1)).over(by_session))
+        .where(F.col("size") < n)
+        .select("session", "aid", "bought")
     )
 
 
@@ -123,54 +124,34 @@ def _top_hits(hits: DataFrame, n: int) -> DataFrame:
     )
 
 
-def _fill_up(sessions: DataFrame, added: DataFrame, top: DataFrame, n: int, first_rank: int) -> DataFrame:
+def _fill_up(own: DataFrame, added: DataFrame, top: DataFrame, n: int, first_rank: int) -> DataFrame:
     """Complete each session to ``n`` rows with top items that are neither in it nor added.
 
     Fillers carry ``wgt = -rank`` so that they sort behind the added items. Own items, added items and the
     top list are bounded arrays, so only the rows that are needed come into being.
     """
+    # The same columns as in the edge join, which lets Spark reuse the exchange.
+    own_lists = own.groupBy("session").agg(F.collect_list(F.struct(*own.columns[1:])).alias("own"))
     added_lists = added.groupBy("session").agg(F.collect_list(F.struct("aid", "wgt")).alias("added"))
     none = F.array().cast(added_lists.schema["added"].dataType)
+    taken = F.array_union(F.transform("own", lambda i: i["aid"]), F.transform("added", lambda a: a["aid"]))
+    filler = lambda a, i: F.struct(a.alias("aid"), (-(i + first_rank)).cast("long").alias("wgt"))
     completed = (
-        sessions.join(added_lists, "session", "left")
-        .select(
-            "session",
-            F.transform("items", lambda i: i["aid"]).alias("own"),
-            F.coalesce("added", none).alias("added"),
-        )
-        .select(
-            "session",
-            "added",
-            F.slice(
-                F.array_except(
-                    _ranked_array(top), F.array_union("own", F.transform("added", lambda a: a["aid"]))
-                ),
-                F.lit(1),
-                F.lit(n) - F.size("added"),
-            ).alias("fill"),
-        )
-        .select(
-            "session",
-            F.explode(
-                F.concat(
-                    "added",
-                    F.transform(
-                        "fill",
-                        lambda a, i: F.struct(a.alias("aid"), (-(i + first_rank)).cast("long").alias("wgt")),
-                    ),
-                )
-            ).alias("c"),
+        own_lists.join(added_lists, "session", "left")
+        .withColumn("added", F.coalesce("added", none))
+        .withColumn(
+            "fill", F.slice(F.array_except(_ranked_array(top), taken), F.lit(1), F.lit(n) - F.size("added"))
         )
+        .select("session", F.explode(F.concat("added", F.transform("fill", filler))).alias("c"))
     )
     return completed.select("session", "c.aid", "c.wgt")
 
 
 def additional_clicks(events: DataFrame, edges: DataFrame, n: int = 120) -> DataFrame:
     """Items from outside the session for clicks: most edge hits first, then the most clicked items."""
-    sessions = limited_sessions(events, n)
-    own = sessions.select("session", F.explode("items.aid").alias("aid"))
+    own = limited_sessions(events, n).drop("bought")
     added = _top_hits(expand_by_edges(own, edges), n)
-    return _fill_up(sessions, added, top_items(events, CLICKS, n), n, first_rank=1)
+    return _fill_up(own, added, top_items(events, CLICKS, n), n, first_rank=1)
 
 
 def additional_buys(events: DataFrame, type_edges: DataFrame, buy_edges: DataFrame, n: int = 120) -> DataFrame:
@@ -179,8 +160,7 @@ def additional_buys(events: DataFrame, type_edges: DataFrame, buy_edges: DataFra
     All session items expand through the type-weighted edges, bought items also through the buy2buy edges
     (one join over both kinds); fillers come from the 1.5 n most ordered items.
     """
-    sessions = limited_sessions(events, n)
-    own = sessions.select("session", F.inline("items"))
+    own = limited_sessions(events, n)
     edges = type_edges.select("aid_x", "aid_y", F.lit(False).alias("buys_only")).unionByName(
         buy_edges.select("aid_x", "aid_y", F.lit(True).alias("buys_only"))
     )
@@ -189,7 +169,7 @@ def additional_buys(events: DataFrame, type_edges: DataFrame, buy_edges: DataFra
         .where(F.col("bought") | ~F.col("buys_only"))
         .select("session", "aid_y")
     )
-    return _fill_up(sessions, _top_hits(hits, n), top_items(events, ORDERS, int(1.5 * n)), n, first_rank=0)
+    return _fill_up(own, _top_hits(hits, n), top_items(events, ORDERS, int(1.5 * n)), n, first_rank=0)
 
 
 def anti_existing(additional: DataFrame, session_candidates: DataFrame) -> DataFrame:
@@ -198,15 +178,24 @@ def anti_existing(additional: DataFrame, session_candidates: DataFrame) -> DataF
 
 
 def merge_candidates(session_candidates: DataFrame, additional: DataFrame, n: int = 100) -> DataFrame:
-    """Session items by score, then additional items by weight; ``chris_rank`` counts from 0."""
+    """Session items by score, then additional items by weight; ``chris_rank`` counts from 0.
+
+    An additional item that is in the session already gives way. Both inputs hold a (session, aid) once, so one
+    aggregation over their union decides that and reads each input once.
+    """
     union = session_candidates.select("session", "aid", "session_score").unionByName(
-        anti_existing(additional.select("session", "aid", "wgt"), session_candidates), allowMissingColumns=True
+        additional.select("session", "aid", "wgt"), allowMissingColumns=True
+    )
+    unique = (
+        union.groupBy("session", "aid")
+        .agg(F.max("session_score").alias("session_score"), F.max("wgt").alias("wgt"))
+        .withColumn("wgt", F.when(F.isnull("session_score"), F.col("wgt")))
     )
     best = Window.partitionBy("session").orderBy(
         F.desc_nulls_last("session_score"), F.desc_nulls_last("wgt"), "aid"
     )
     return (
-        union.withColumn("chris_rank", F.row_number().over(best) - 1)
+        unique.withColumn("chris_rank", F.row_number().over(best) - 1)
         .where(F.col("chris_rank") < n)
         .select("session", "aid", "session_score", "wgt", "chris_rank")
     )

@@ -82,7 +82,6 @@ def build_candidates(events_recent: DataFrame, root: str, phase: str, limits: Li
         ),
     }
     for family, (own, additional) in families.items():
-        own = stage(own, f"session-{family}")
         merged = cand.merge_candidates(own, additional, limits.candidates)
         save_parquet(merged, f"{root}/candidates/phase={phase}/family={family}")
 

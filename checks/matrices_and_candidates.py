@@ -55,8 +55,7 @@ class Inputs:
         return cand.session_score_buys(self.observed, self.edges("buy2buy"))
 
     def merged(self, family):
-        own = self._once(f"session-{family}", lambda: self.session_candidates(family))
-        return cand.merge_candidates(own, self.additional(family), N_CANDIDATES)
+        return cand.merge_candidates(self.session_candidates(family), self.additional(family), N_CANDIDATES)
 
     def candidates(self, family):
         return self._once(f"candidates-{family}", lambda: self.merged(family))
@@ -169,11 +168,9 @@ query(
     "sessions_under_limit",
     sql("SELECT session, count(*) AS n_items, CAST(sum(bought) AS BIGINT) AS n_bought FROM fil_own GROUP BY session"),
 )(
-    lambda s, d: cand.limited_sessions(fx.fx_observed(s, d), 8).select(
-        "session",
-        F.size("items").alias("n_items"),
-        F.size(F.filter("items", lambda i: i["bought"])).alias("n_bought"),
-    )
+    lambda s, d: cand.limited_sessions(fx.fx_observed(s, d), 8)
+    .groupBy("session")
+    .agg(F.count(F.lit(1)).alias("n_items"), F.sum(F.col("bought").cast("int")).alias("n_bought"))
 )
 query(
     "distinct_session_items", sql("SELECT DISTINCT session, aid FROM fx_observed")

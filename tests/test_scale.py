@@ -138,6 +138,14 @@ def test_hot_count_value_is_split_in_popularity(spark, skewed):
     assert "skew=true" in text
 
 
+@pytest.mark.parametrize("kind", ["clicks", "buys"])
+def test_session_items_are_shuffled_once_for_expansion_and_fillers(log, links, kind, tmp_path, spark):
+    log.write.parquet(f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log")
+    out = cand.additional_clicks(stored, links, 20) if kind == "clicks" else cand.additional_buys(stored, links, links, 20)
+    assert "ReusedExchange" in plan(out)
+
+
 def test_log_is_pruned_and_filtered_in_the_scan(log, tmp_path, spark):
     log.withColumn("unused", F.lit("x")).write.parquet(f"{tmp_path}/log")
     stored = spark.read.parquet(f"{tmp_path}/log")
