@@ -14,7 +14,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import hash_bucket
-from basketweave.operators.sampling import HASH_RANGE, downsample_negatives, group_kfold, semi_positive_sessions
+from basketweave.operators.sampling import (
+    HASH_RANGE,
+    downsample_negatives,
+    group_kfold,
+    negative_share,
+    semi_positive_sessions,
+)
 from basketweave.session import drop_stage, ensure_checkpoint_dir, stage, write_stage
 
 KEYS = ("session", "aid")
@@ -84,16 +90,33 @@ def train_classifier(
     longer improves.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
-    learner = GBTClassifier(labelCol="label", validationIndicatorCol="valid", cacheNodeIds=True, **asdict(params))
+    counts = fold_counts(vectors)
     models = []
     for k in range(folds):
-        train = downsample_negatives(vectors.where(F.col("fold") != k), negative_rate)
-        valid = downsample_negatives(vectors.where(F.col("fold") == k), negative_rate)
-        rows = train.withColumn("valid", F.lit(False)).unionByName(valid.withColumn("valid", F.lit(True)))
-        models.append(learner.fit(rows.select("features", F.col("target").cast("double").alias("label"), "valid")))
+        parts = []
+        for is_valid in (False, True):
+            mine = [c for f, c in counts.items() if (f == k) == is_valid]
+            pos, n = sum(c[0] for c in mine), sum(c[1] for c in mine)
+            share = negative_share(pos, n, negative_rate)
+            rows = vectors.where(F.col("fold") == k if is_valid else F.col("fold") != k)
+            parts.append((pos, downsample_negatives(rows, share=share).withColumn("valid", F.lit(is_valid))))
+        (train_pos, train), (valid_pos, valid) = parts
+        if not train_pos:
+            raise ValueError(f"no positives outside fold {k}")
+        learner = GBTClassifier(labelCol="label", cacheNodeIds=True, **asdict(params))
+        if valid_pos:  # a fold without positives cannot tell when to stop
+            learner.setValidationIndicatorCol("valid")
+            train = train.unionByName(valid)
+        models.append(learner.fit(train.select("features", F.col("target").cast("double").alias("label"), "valid")))
     return models
 
 
+def fold_counts(vectors: DataFrame) -> dict[int, tuple[int, int]]:
+    """Positives and rows of each fold."""
+    counted = vectors.groupBy("fold").agg(F.sum(F.col("target").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    return {r["fold"]: (r["pos"], r["n"]) for r in counted.collect()}
+
+
 def save_models(models: Sequence, path: str) -> None:
     for k, model in enumerate(models):
         model.write().overwrite().save(f"{path}/fold={k}")
@@ -211,9 +234,9 @@ def sample_pairs(scored: DataFrame, pairs_per_positive: int = 1, seed: int = 42)
     )
 
 
-def pair_loss(pairs: DataFrame) -> float:
-    """Mean logistic loss of the margins."""
-    return pairs.agg(F.avg(F.log1p(F.exp(-F.col("margin"))))).first()[0] or 0.0
+def pair_loss(pairs: DataFrame) -> float | None:
+    """Mean logistic loss of the margins, or None without pairs."""
+    return pairs.agg(F.avg(F.log1p(F.exp(-F.col("margin"))))).first()[0]
 
 
 def pair_gradients(pairs: DataFrame) -> DataFrame:
@@ -241,6 +264,8 @@ def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> GBTRegre
         ),
         "rank-rows",
     )
+    if base.where((F.col("target") == 1) & ~F.col("valid")).isEmpty():
+        raise ValueError(f"no positives outside fold {fold}")
     scores, scores_path = base.select(*KEYS, "target", "valid", F.lit(0.0).alias("score")), None
     trees, best, best_at = [], float("inf"), -1
     for r in range(params.rounds):
@@ -268,8 +293,8 @@ def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> GBTRegre
         if old_path:
             drop_stage(spark, old_path)
         loss = pair_loss(sample_pairs(scores.where("valid"), params.pairs_per_positive, params.seed))
-        if loss < best:
-            best, best_at = loss, r
+        if loss is None or loss < best:  # without validation pairs every round is kept
+            best, best_at = best if loss is None else loss, r
         elif r - best_at >= params.early_stopping_rounds:
             break
     for path in (base_path, scores_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import hash_bucket
@@ -15,16 +15,27 @@ def group_kfold(df: DataFrame, folds: int = 5, seed: int = 42) -> DataFrame:
     return df.withColumn("fold", hash_bucket(seed, folds).cast("int"))
 
 
-def downsample_negatives(df: DataFrame, rate: float = 20, seed: int = 42) -> DataFrame:
-    """All positives and about ``rate`` negatives per positive, chosen by key hash without a shuffle."""
-    counts = df.agg(F.sum(F.col("target").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    share = counts.select(
-        F.when(
-            F.col("n") > F.col("pos"),
-            F.least(F.lit(1.0), F.lit(float(rate)) * F.col("pos") / (F.col("n") - F.col("pos"))),
-        ).otherwise(F.lit(1.0))
-    ).scalar()
-    kept = hash_bucket(seed, HASH_RANGE, aid="aid") < share * HASH_RANGE
+def negative_share(pos, n, rate: float):
+    """Share of the negatives to keep for ``rate`` negatives per positive; numbers or columns."""
+    if isinstance(pos, Column):
+        kept = F.least(F.lit(1.0), F.lit(float(rate)) * pos / (n - pos))
+        return F.when(n > pos, kept).otherwise(F.lit(1.0))
+    return min(1.0, float(rate) * pos / (n - pos)) if n > pos else 1.0
+
+
+def downsample_negatives(
+    df: DataFrame, rate: float = 20, seed: int = 42, share: float | None = None
+) -> DataFrame:
+    """All positives and about ``rate`` negatives per positive, chosen by key hash without a shuffle.
+
+    A caller that knows the counts passes ``share``, which saves counting.
+    """
+    if share is None:
+        counts = df.agg(F.sum(F.col("target").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+        keep = counts.select(negative_share(F.col("pos"), F.col("n"), rate)).scalar()
+    else:
+        keep = F.lit(share)
+    kept = hash_bucket(seed, HASH_RANGE, aid="aid") < keep * HASH_RANGE
     return df.where((F.col("target") == 1) | kept)
 
 

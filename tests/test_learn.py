@@ -93,6 +93,13 @@ def test_ranker_stops_early(vectors):
     assert model.getNumTrees < 12
 
 
+def test_fold_without_positives(vectors):
+    one_sided = vectors.withColumn("target", F.when(F.col("fold") == 0, 0).otherwise(F.col("target")))
+    with pytest.raises(ValueError, match="no positives outside fold 1"):
+        learn.train_classifier(one_sided, 2, params=PARAMS)
+    assert len(learn.train_classifier(one_sided, 1, params=PARAMS)) == 1
+
+
 def test_pairs_stay_in_the_session_and_are_distinct(frame):
     scored = frame.withColumn("score", F.col("signal"))
     pairs = learn.sample_pairs(scored, pairs_per_positive=3)
