@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +30,23 @@ def salt(column: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
+_SHIPPED: set[str] = set()
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow``, after this package was given to the session's Python workers (once)."""
+    context = rows.sparkSession.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent.parent
+        path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
+        with zipfile.ZipFile(path, "w") as z:
+            for f in package.rglob("*.py"):
+                z.write(f, f.relative_to(package.parent))
+        context.addPyFile(str(path))  # the driver serves it to the executors
+        _SHIPPED.add(context.applicationId)
+    return rows.mapInArrow(run, schema)
+
+
 class Scratch:
     """Tables in the shared folder that one operator writes and deletes when it is done with them."""
 
