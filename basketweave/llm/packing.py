@@ -106,7 +106,7 @@ class Mixture:
     """Deficit round-robin over the queues in closed form, so that any task can take it up at any window.
 
     Token i of a queue with weight w is due at (2 i + 1) / (2 w); the windows take the tokens in the order in
-    which they are due (ties: by queue). After any number of windows each queue is thus served to within a
+    which they are due (ties: by queue). After any number of windows each queue is thus served to within about a
     token of its share, what it lacks is carried to the next window, and when a queue is empty the others
     share its slots by their weights. Weights and comparisons are exact integers.
     """

@@ -21,7 +21,7 @@ PARTITION_CHUNKS, PARTITION_COUNTED = 8_192, 400_000
 #: Texts handled together.
 TEXTS = 256
 #: White space other than what both Python and the tokenizer split at; such texts are encoded whole.
-ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -     　]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def _tokenizer(path: str):
