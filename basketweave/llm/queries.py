@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import dedup, packing, pii, secrets, sharding, tokens
+from . import decontaminate, dedup, neardup, packing, pii, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Pseudonyms of the test tables only; callers pass a secret of their own.
@@ -35,10 +36,24 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_copies")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "cosine", "lcs_share", F.lit(True).alias("contaminated"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -47,7 +62,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_secret_scan,
         op4_pii,
         op5_exact_dedup,
+        op6_near_duplicates,
         op7_sharding,
+        op9_decontamination,
+        op10_toxicity,
     )
 }
 
