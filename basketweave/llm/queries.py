@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, neardup, packing, pii, secrets, sharding, tokens, toxicity
+from . import decontaminate, dedup, html, neardup, packing, pii, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Pseudonyms of the test tables only; callers pass a secret of their own.
@@ -45,6 +45,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(table(spark, sf_dir, "documents").select("doc_id"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "cosine", "lcs_share", F.lit(True).alias("contaminated"))
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_exact_dedup,
         op6_near_duplicates,
         op7_sharding,
+        op8_html,
         op9_decontamination,
         op10_toxicity,
     )
