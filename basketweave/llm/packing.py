@@ -14,9 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, worker_value
+from .chunks import worker_value
 from .common import Scratch, map_arrow, text_or_empty
-from .tokens import TEXTS
 
 WINDOW = 2048
 END_ID = 1
@@ -26,16 +25,11 @@ REST = "\0rest"
 
 
 class Encoder:
-    """Token ids as little-endian bytes, by chunks between single spaces that a bounded worker cache holds.
-
-    A chunk with its leading space is encoded alone, which gives the ids it has in the text unless white space
-    stands on both sides of a space; such texts, and texts with special strings, are encoded whole.
-    """
+    """Token ids of whole texts as little-endian bytes; ``ranks_path`` names the same vocabulary as ranks, which encodes faster."""
 
     def __init__(self, json_path: str, ranks_path: str | None):
         import base64
         import os
-        import re
 
         import tiktoken
         from tokenizers import Tokenizer
@@ -44,39 +38,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(json_path)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.wide = "I" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), END_ID) > 65_536 else "H"
-        self.whole = self._library
+        self.plain = self._library
         if ranks_path:
             import public_tokenizers
 
             with open(ranks_path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             own = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.whole = lambda text: array(self.wide, own.encode_ordinary(text)).tobytes()
-        self.apart = re.compile(r"\s (?:\s|\Z)")
-        self.cache = ChunkCache(lambda chunks: [self.whole(" " + c) for c in chunks])
+            self.plain = own.encode_ordinary
 
-    def _library(self, text: str) -> bytes:
-        return array(self.wide, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    def _library(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, then END_ID."""
-        out: list[bytes] = [b""] * len(texts)
-        end = array(self.wide, [END_ID]).tobytes()
-        for at in range(0, len(texts), TEXTS):
-            split, seen = {}, set()
-            for i in range(at, min(at + TEXTS, len(texts))):
-                t = texts[i]
-                if any(s in t for s in self.specials):
-                    out[i] = self._library(t) + end
-                elif self.apart.search(t):
-                    out[i] = self.whole(t) + end
-                else:
-                    first, *rest = t.split(" ")
-                    split[i] = first, rest
-                    seen.update(rest)
-            known = self.cache.lookup(seen).__getitem__
-            for i, (first, rest) in split.items():
-                out[i] = self.whole(first) + b"".join(map(known, rest)) + end
+        """The ids of each text, then END_ID. Texts with special strings go to the library, which knows them."""
+        out = []
+        for t in texts:
+            ids = self._library(t) if any(s in t for s in self.specials) else self.plain(t)
+            out.append(array(self.wide, [*ids, END_ID]).tobytes())
         return out
 
 
