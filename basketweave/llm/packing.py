@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import itertools
 import zlib
 from array import array
 from collections import OrderedDict
 from collections.abc import Iterator
-from fractions import Fraction
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -55,7 +56,8 @@ class Encoder:
         out = []
         for t in texts:
             ids = self._library(t) if any(s in t for s in self.specials) else self.plain(t)
-            out.append(array(self.wide, [*ids, END_ID]).tobytes())
+            ids.append(END_ID)
+            out.append(array(self.wide, ids).tobytes())
         return out
 
 
@@ -86,8 +88,8 @@ class Mixture:
 
     Token i of a queue with weight w is due at (2 i + 1) / (2 w); the windows take the tokens in the order in
     which they are due (ties: by queue). After any number of windows each queue is thus served to within about a
-    token of its share, what it lacks is carried to the next window, and when a queue is empty the others
-    share its slots by their weights. Weights and comparisons are exact integers.
+    token of its share, what it lacks is carried to the next window, and when a queue is empty the others share
+    its slots by their weights. Which tokens a window takes depends on this order alone, not on how it is found.
     """
 
     def __init__(self, totals: list[int], weights: list[int], window: int = WINDOW):
@@ -99,79 +101,79 @@ class Mixture:
         while self.tail[-1] < self.total:
             self.tail.append(self.tail[-1] + (1 << ((self.total - self.tail[-1]).bit_length() - 1)))
         self.windows = self.full + len(self.tail) - 1
-        self.ends = sorted((Fraction(t, w), i) for i, (t, w) in enumerate(zip(totals, weights)))
-        self.made: OrderedDict[int, list[int]] = OrderedDict()
+        # When queues end: (slots used by then, time, weight of the queues that go on).
+        self.phases, weight, clock, used = [(0.0, 0.0, float(sum(weights)))], sum(weights), 0.0, 0.0
+        for end, w in sorted((t / w, w) for t, w in zip(totals, weights)):
+            used, clock, weight = used + weight * (end - clock), end, weight - w
+            self.phases.append((used, clock, float(weight)))
+        self.made: OrderedDict[int, tuple[list[int], list[int]]] = OrderedDict()
 
     def slots_before(self, k: int) -> int:
         return k * self.window if k <= self.full else self.tail[k - self.full]
 
     def _served(self, slots: int) -> list[int]:
-        """Tokens of each queue among the first ``slots`` in due order."""
-        left, weight, clock = slots, sum(self.weights), Fraction(0)
-        for end, i in self.ends:  # the time at which about ``slots`` tokens are due
-            if left <= 0 or weight * (end - clock) >= left:
-                break
-            left -= weight * (end - clock)
-            weight, clock = weight - self.weights[i], end
-        if weight and left > 0:
-            clock += Fraction(left) / weight
-        p, q = clock.numerator, clock.denominator
-        got = [min(t, (2 * w * p + q) // (2 * q)) for t, w in zip(self.totals, self.weights)]
-        gap = slots - sum(got)
-        if gap > 0:
-            heap = [(Fraction(2 * g + 1, 2 * w), i) for i, (g, w, t) in enumerate(zip(got, self.weights, self.totals)) if g < t]
-            heapq.heapify(heap)
-            for _ in range(gap):
-                i = heap[0][1]
-                got[i] += 1
-                if got[i] < self.totals[i]:
-                    heapq.heapreplace(heap, (Fraction(2 * got[i] + 1, 2 * self.weights[i]), i))
-                else:
-                    heapq.heappop(heap)
-        elif gap < 0:
-            heap = [(-Fraction(2 * g - 1, 2 * w), -i) for i, (g, w) in enumerate(zip(got, self.weights)) if g]
-            heapq.heapify(heap)
-            for _ in range(-gap):
-                i = -heap[0][1]
-                got[i] -= 1
-                if got[i]:
-                    heapq.heapreplace(heap, (-Fraction(2 * got[i] - 1, 2 * self.weights[i]), -i))
-                else:
-                    heapq.heappop(heap)
+        """Tokens of each queue among the first ``slots`` in due order: surely fewer at first, then one by one."""
+        if slots >= self.total:
+            return list(self.totals)
+        used, clock, weight = self.phases[max(0, bisect.bisect_right(self.phases, (float(slots), float("inf"), 0.0)) - 1)]
+        if weight > 0:
+            clock += max(0.0, slots - used) / weight
+        queues, got, heap = len(self.totals), [], []
+        for i, (t, w) in enumerate(zip(self.totals, self.weights)):
+            unsure = 2 + queues * w / weight if weight > 0 else t
+            g = max(0, min(t, int(w * clock + 0.5 - unsure)))
+            got.append(g)
+            if g < t:
+                heap.append(((2 * g + 1) / (2 * w), i))
+        heapq.heapify(heap)
+        for _ in range(slots - sum(got)):
+            i = heap[0][1]
+            got[i] += 1
+            if got[i] < self.totals[i]:
+                heapq.heapreplace(heap, ((2 * got[i] + 1) / (2 * self.weights[i]), i))
+            else:
+                heapq.heappop(heap)
         return got
 
-    def before(self, k: int) -> list[int]:
-        """Tokens of each queue in the first k windows."""
+    def before(self, k: int) -> tuple[list[int], list[int]]:
+        """Tokens of each queue in the first k windows, and their running sums over the queues before."""
         if k not in self.made:
-            self.made[k] = self._served(self.slots_before(k))
+            got = self._served(self.slots_before(k))
+            self.made[k] = got, [0, *itertools.accumulate(got)]
             if len(self.made) > 4096:
                 self.made.popitem(last=False)
         return self.made[k]
 
-    def window_of(self, queue: int, token: int, near: int) -> int:
-        """The window that takes a token of a queue; ``near`` is tried first."""
-        if 0 <= near < self.windows and self.before(near)[queue] <= token:
-            for k in range(near, min(near + 4, self.windows)):
-                if token < self.before(k + 1)[queue]:
-                    return k
+    def window_of(self, queue: int, token: int) -> int:
+        """The window that takes a token of a queue."""
         low, high = 0, self.windows
         while high - low > 1:
             mid = (low + high) // 2
-            if self.before(mid)[queue] <= token:
+            if self.before(mid)[0][queue] <= token:
                 low = mid
             else:
                 high = mid
         return low
 
     def pieces(self, queue: int, first: int, n: int, near: int) -> Iterator[tuple[int, int, int, int]]:
-        """(window, offset in it, start in the document, length) of a document's tokens first, ..., first + n - 1."""
-        done, k = 0, near
+        """(window, offset in it, start in the document, length) of a document's tokens first, ..., first + n - 1.
+
+        ``near`` is the window where the search begins, that of the document before as a rule.
+        """
+        k, done = near, 0
+        served, sums = self.before(k)
+        then, after = self.before(k + 1)
+        if served[queue] > first or first - then[queue] > self.window:
+            k = self.window_of(queue, first)
+            served, sums = self.before(k)
+            then, after = self.before(k + 1)
         while done < n:
-            k = self.window_of(queue, first + done, k)
-            a, b = self.before(k), self.before(k + 1)
-            offset = sum(b[:queue]) - sum(a[:queue]) + first + done - a[queue]
-            length = min(n - done, b[queue] - first - done)
-            yield k, offset, done, length
+            while then[queue] <= first + done:
+                k += 1
+                served, sums = then, after
+                then, after = self.before(k + 1)
+            length = min(n - done, then[queue] - first - done)
+            yield k, after[queue] - sums[queue] + first + done - served[queue], done, length
             done += length
 
 
@@ -218,16 +220,19 @@ def pack(
 
         mixture, place, near = Mixture(counts, weights, window), {q: i for i, q in enumerate(names)}, {}
         for b in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for doc, source, name, ids, n, first in zip(*(b.column(i).to_pylist() for i in range(6))):
-                wide = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes()
+            found, crcs, row = [], [], []
+            for r, (name, ids, n, first) in enumerate(zip(*(b.column(c).to_pylist() for c in ("queue", "ids", "n", "first")))):
+                wide = memoryview(np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4").tobytes())
                 q = place[name]
-                for k, offset, start, length in mixture.pieces(q, first, n, near.get(q, 0)):
-                    near[q] = k
-                    for column, v in zip(out, (doc, start, length, zlib.crc32(wide[4 * start : 4 * (start + length)]), n, k, offset, source)):
-                        column.append(v)
-            kinds = [b.schema.field("doc_id").type, *[pa.int64()] * 6, pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
+                own = list(mixture.pieces(q, first, n, near.get(q, 0)))
+                near[q] = own[-1][0]
+                found += own
+                crcs += [zlib.crc32(wide[4 * start : 4 * (start + length)]) for _, _, start, length in own]
+                row += [r] * len(own)
+            window_id, offset, start, length = (pa.array(v, pa.int64()) for v in np.array(found, np.int64).reshape(-1, 4).T)
+            doc, n, source = (b.column(c).take(pa.array(row, pa.int64())) for c in ("doc_id", "n", "source"))
+            columns = [doc, start, length, pa.array(crcs, pa.int64()), n, window_id, offset, source]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return map_arrow(placed, run, f"doc_id {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, source string")
