@@ -72,9 +72,9 @@ def safe_rate(num: str | Column, den: str | Column) -> Column:
 def hash_bucket(seed: int, buckets: int, session: str = "session", aid: str | None = None) -> Column:
     """A reproducible pseudo-random bucket of a session or (session, aid) key.
 
-    Plain integer arithmetic, so any SQL engine gives the same bucket.
+    Plain integer arithmetic, so any SQL engine gives the same bucket. Ids are reduced first, so that no id overflows.
     """
-    mixed = F.col(session).cast("long") * F.lit(7919)
+    mixed = F.pmod(F.col(session).cast("long"), F.lit(buckets)) * F.lit(7919)
     if aid is not None:
-        mixed = mixed + F.col(aid).cast("long") * F.lit(104_729)
+        mixed = mixed + F.pmod(F.col(aid).cast("long"), F.lit(buckets)) * F.lit(104_729)
     return F.pmod(mixed + F.lit(seed), F.lit(buckets))

@@ -21,6 +21,6 @@ def parse_session(session_type_col: str | Column) -> Column:
 
 
 def parse_ids(labels: str | Column, k: int) -> Column:
-    """The first ``k`` ids of a space-joined list. A last id cut by a text limit still parses."""
+    """The first ``k`` ids of a space-joined list."""
     words = F.filter(F.split(labels, " "), lambda w: w != "")
     return F.transform(F.slice(words, 1, k), lambda w: w.cast("long"))

@@ -15,14 +15,17 @@ from basketweave.functions.events import (
     type_id,
     type_weight,
 )
-from basketweave.operators.recency import HOT_SESSION_ROWS, with_positions
+from basketweave.operators.recency import with_positions
 
 BUY2BUY_BONUS = 0.1
 
+#: Decimals of a session score that decide its place.
+SCORE_DIGITS = 9
 
-def _positioned(events: DataFrame, hot_rows: int) -> DataFrame:
+
+def _positioned(events: DataFrame) -> DataFrame:
     """Events with positions; a log that has them already is used as it is."""
-    return events if "position" in events.columns else with_positions(events, hot_rows)
+    return events if "position" in events.columns else with_positions(events)
 
 
 def expand_by_edges(items: DataFrame, edges: DataFrame) -> DataFrame:
@@ -34,13 +37,13 @@ def expand_by_edges(items: DataFrame, edges: DataFrame) -> DataFrame:
     return items.join(edges, items["aid"] == edges["aid_x"]).select("session", "aid_y", "wgt")
 
 
-def session_score_buys(events: DataFrame, buy2buy: DataFrame, hot_rows: int = HOT_SESSION_ROWS) -> DataFrame:
+def session_score_buys(events: DataFrame, buy2buy: DataFrame) -> DataFrame:
     """Session items scored for carts and orders.
 
     Type weight times position weight, plus a bonus per buy2buy edge that leads from an item bought in the
     session to an item of the session. Both parts meet in one aggregation, not in a join.
     """
-    weighted = _positioned(events, hot_rows).select(
+    weighted = _positioned(events).select(
         "session",
         "aid",
         (type_weight() * position_weight(F.col("position"), F.col("session_length"), 0.5)).alias("score"),
@@ -60,11 +63,11 @@ def session_score_buys(events: DataFrame, buy2buy: DataFrame, hot_rows: int = HO
     )
 
 
-def session_score_clicks(events: DataFrame, max_n: int = 50, hot_rows: int = HOT_SESSION_ROWS) -> DataFrame:
+def session_score_clicks(events: DataFrame, max_n: int = 50) -> DataFrame:
     """Session items scored for clicks, with presence flags; the ``max_n`` most recently seen are kept."""
     score = type_weight() * position_weight(F.col("position"), F.col("session_length"), 0.1)
     scored = (
-        _positioned(events, hot_rows)
+        _positioned(events)
         .groupBy("session", "aid")
         .agg(
             F.sum(score).alias("session_score"),
@@ -177,8 +180,8 @@ def anti_existing(additional: DataFrame, session_candidates: DataFrame) -> DataF
     return additional.join(session_candidates.select("session", "aid"), ["session", "aid"], "left_anti")
 
 
-def merge_candidates(session_candidates: DataFrame, additional: DataFrame, n: int = 100) -> DataFrame:
-    """Session items by score, then additional items by weight; ``chris_rank`` counts from 0.
+def merge_candidates(session_candidates: DataFrame, additional: DataFrame, n: int | None = 100) -> DataFrame:
+    """Session items by score, then additional items by weight; ``candidate_pos`` counts from 0. ``n=None`` keeps all.
 
     An additional item that is in the session already gives way. Both inputs hold a (session, aid) once, so one
     aggregation over their union decides that and reads each input once.
@@ -191,14 +194,14 @@ def merge_candidates(session_candidates: DataFrame, additional: DataFrame, n: in
         .agg(F.max("session_score").alias("session_score"), F.max("wgt").alias("wgt"))
         .withColumn("wgt", F.when(F.isnull("session_score"), F.col("wgt")))
     )
+    # Scores are sums of doubles in shuffle order; rounding keeps their last bits out of the order.
     best = Window.partitionBy("session").orderBy(
-        F.desc_nulls_last("session_score"), F.desc_nulls_last("wgt"), "aid"
-    )
-    return (
-        unique.withColumn("chris_rank", F.row_number().over(best) - 1)
-        .where(F.col("chris_rank") < n)
-        .select("session", "aid", "session_score", "wgt", "chris_rank")
+        F.round("session_score", SCORE_DIGITS).desc_nulls_last(), F.desc_nulls_last("wgt"), "aid"
     )
+    cut = unique.withColumn("place", F.row_number().over(best))
+    if n is not None:
+        cut = cut.where(F.col("place") <= n)
+    return cut.select("session", "aid", "session_score", "wgt", (F.col("place") - 1).alias("candidate_pos"))
 
 
 def candidates_per_session(candidates: DataFrame) -> DataFrame:

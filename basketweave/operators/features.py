@@ -162,18 +162,18 @@ def features_session(events: DataFrame) -> DataFrame:
 
 def candidates_rank() -> Column:
     """1-based rank of a merged candidate."""
-    return (F.col("chris_rank") + 1).alias("candidates_rank")
+    return (F.col("candidate_pos") + 1).alias("candidates_rank")
 
 
 def features_session_item(candidates: DataFrame, events: DataFrame) -> DataFrame:
     """34 columns per candidate: rank, counts of the item in the session over all and the last rows, trends.
 
-    ``candidates`` brings ``chris_rank`` from the merge; without it the rank column is left out.
+    ``candidates`` brings ``candidate_pos`` from the merge; without it the rank column is left out.
     """
     name = {"all": "all", **{str(n): f"last{n}rows" for n in LAST_ROWS}}
     aggs = [count_type(t, cond).alias(f"{t}_count_{name[k]}") for k, cond in _row_sets().items() for t in TYPES]
     counts = with_last_rows(events, max(LAST_ROWS), "session", "aid", "type").groupBy("session", "aid").agg(*aggs)
-    rank = [candidates_rank()] if "chris_rank" in candidates.columns else []
+    rank = [candidates_rank()] if "candidate_pos" in candidates.columns else []
     joined = candidates.select("session", "aid", *rank).join(counts, ["session", "aid"], "left")
     out = []
     for key in name.values():

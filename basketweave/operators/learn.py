@@ -24,7 +24,7 @@ from basketweave.operators.sampling import (
 from basketweave.session import drop_stage, ensure_checkpoint_dir, stage, write_stage
 
 KEYS = ("session", "aid")
-NOT_FEATURES = (*KEYS, "type", "target", "fold", "chris_rank")
+NOT_FEATURES = (*KEYS, "type", "target", "fold", "candidate_pos")
 
 
 def feature_columns(frame: DataFrame) -> list[str]:
@@ -60,34 +60,67 @@ def assemble_features(
     return out
 
 
+def assemble_vectors(frame: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``(session, aid, target if there is one, features)``."""
+    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(frame)
+    return assembled.select(*KEYS, *[c for c in ("target",) if c in frame.columns], "features")
+
+
 def to_vectors(frame: DataFrame, features: Sequence[str], folds: int, seed: int = 42) -> DataFrame:
     """``(session, aid, target, fold, features)``, written once because every fold reads it."""
-    assembled = VectorAssembler(inputCols=list(features), outputCol="features").transform(frame)
-    columns = [*KEYS, "target", "features"] if "target" in frame.columns else [*KEYS, "features"]
-    return stage(group_kfold(assembled.select(*columns), folds, seed), "frame")
+    return stage(group_kfold(assemble_vectors(frame, features), folds, seed), "frame")
 
 
 @dataclass(frozen=True)
 class BoostedParams:
-    """Defaults follow the classifier settings being reproduced; ``maxIter`` caps the number of trees."""
+    """The defaults follow the classifier settings being reproduced.
 
-    maxIter: int = 100
+    Boosting goes on until ``early_stopping_rounds`` trees in a row brought no gain on the validation part. The
+    number of trees has no bound unless the caller sets ``max_trees``. Without positives in the validation part
+    nothing tells when to stop, and ``max_trees`` (or else ``early_stopping_rounds``) trees are grown.
+    """
+
+    early_stopping_rounds: int = 100
+    max_trees: int | None = None
     stepSize: float = 0.01
     maxDepth: int = 10
     subsamplingRate: float = 0.8
     featureSubsetStrategy: str = "0.2"
     minInstancesPerNode: int = 20
-    validationTol: float = 0.0
     seed: int = 3655
 
+    def learner(self) -> GBTClassifier:
+        own = asdict(self)
+        del own["early_stopping_rounds"], own["max_trees"]
+        return GBTClassifier(labelCol="label", cacheNodeIds=True, **own)
+
+
+def boost(train: DataFrame, valid: DataFrame | None, params: BoostedParams) -> GBTClassificationModel:
+    """The trees up to the best round on ``valid``, after which ``early_stopping_rounds`` rounds were no better.
+
+    The learner grows tree k alike whatever the number of trees, so the number is doubled until the best round
+    lies far enough back; the best beginning is then grown once more. The work is a small multiple of the last fit.
+    """
+    learner, most = params.learner(), params.max_trees
+    if valid is None:
+        return learner.setMaxIter(most or params.early_stopping_rounds).fit(train)
+    n = 2 * params.early_stopping_rounds
+    while True:
+        n = n if most is None else min(n, most)
+        model = learner.setMaxIter(n).fit(train)
+        losses = model.evaluateEachIteration(valid)
+        best = min(range(len(losses)), key=losses.__getitem__)
+        if len(losses) - 1 - best >= params.early_stopping_rounds or n == most:
+            return model if best + 1 == len(losses) else learner.setMaxIter(best + 1).fit(train)
+        n *= 2
+
 
 def train_classifier(
     vectors: DataFrame, folds: int = 5, negative_rate: float = 20, params: BoostedParams = BoostedParams()
 ) -> list[GBTClassificationModel]:
     """One boosted-tree classifier per fold of ``to_vectors``.
 
-    Train and validation parts are down-sampled separately; boosting stops when the validation part no
-    longer improves.
+    Train and validation parts are down-sampled separately; ``boost`` decides on the number of trees.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     counts = fold_counts(vectors)
@@ -99,15 +132,12 @@ def train_classifier(
             pos, n = sum(c[0] for c in mine), sum(c[1] for c in mine)
             share = negative_share(pos, n, negative_rate)
             rows = vectors.where(F.col("fold") == k if is_valid else F.col("fold") != k)
-            parts.append((pos, downsample_negatives(rows, share=share).withColumn("valid", F.lit(is_valid))))
+            parts.append((pos, downsample_negatives(rows, share=share)))
         (train_pos, train), (valid_pos, valid) = parts
         if not train_pos:
             raise ValueError(f"no positives outside fold {k}")
-        learner = GBTClassifier(labelCol="label", cacheNodeIds=True, **asdict(params))
-        if valid_pos:  # a fold without positives cannot tell when to stop
-            learner.setValidationIndicatorCol("valid")
-            train = train.unionByName(valid)
-        models.append(learner.fit(train.select("features", F.col("target").cast("double").alias("label"), "valid")))
+        label = F.col("target").cast("double").alias("label")
+        models.append(boost(train.select("features", label), valid.select("features", label) if valid_pos else None, params))
     return models
 
 
@@ -177,6 +207,12 @@ def mean_importance(importance: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RankerParams:
+    """The defaults follow the ranker settings being reproduced.
+
+    ``pairs_per_positive`` bounds the pairs that a round is fitted on, drawn anew each round. Validation looks at
+    all pairs of a session (a session has a bounded number of candidates).
+    """
+
     rounds: int = 1000
     stepSize: float = 0.05
     maxDepth: int = 6
@@ -234,6 +270,14 @@ def sample_pairs(scored: DataFrame, pairs_per_positive: int = 1, seed: int = 42)
     )
 
 
+def all_pairs(scored: DataFrame) -> DataFrame:
+    """``(session, margin)`` of every positive with every negative of its session."""
+    side = lambda t, name: scored.where(F.col("target") == t).groupBy("session").agg(F.collect_list("score").alias(name))
+    met = side(1, "up").join(side(0, "down"), "session")
+    met = met.select("session", "down", F.explode("up").alias("up")).select("session", "up", F.explode("down").alias("down"))
+    return met.select("session", (F.col("up") - F.col("down")).alias("margin"))
+
+
 def pair_loss(pairs: DataFrame) -> float | None:
     """Mean logistic loss of the margins, or None without pairs."""
     return pairs.agg(F.avg(F.log1p(F.exp(-F.col("margin"))))).first()[0]
@@ -287,12 +331,12 @@ def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> GBTRegre
         moved = scores.join(step, list(KEYS)).select(
             *KEYS, "target", "valid", (F.col("score") + F.lit(params.stepSize) * F.col("step")).alias("score")
         )
-        # Only keys and scores are rewritten per round; the features stay where they are.
+        # Keys and scores are rewritten per round; rows that took part in a pair are joined with their gradient.
         old_path = scores_path
         scores, scores_path = write_stage(moved, "rank-scores")
         if old_path:
             drop_stage(spark, old_path)
-        loss = pair_loss(sample_pairs(scores.where("valid"), params.pairs_per_positive, params.seed))
+        loss = pair_loss(all_pairs(scores.where("valid")))
         if loss is None or loss < best:  # without validation pairs every round is kept
             best, best_at = best if loss is None else loss, r
         elif r - best_at >= params.early_stopping_rounds:

@@ -38,9 +38,14 @@ def item_repeats(events: DataFrame, last: int) -> DataFrame:
 
 
 def edge_hits(candidates: DataFrame, events: DataFrame, edges: DataFrame, last: int) -> DataFrame:
-    """Every candidate with the edges from session items to it, and how often the source item occurs."""
-    repeats = item_repeats(events, last)
-    reached = repeats.join(edges, repeats["aid"] == edges["aid_x"]).select(
+    """Every candidate with the edges from session items to it, and how often the source item occurs.
+
+    The list of a session's candidates (at most as many as a merge keeps) travels with its items, so edges to
+    anything else are dropped where they are found and never shuffled.
+    """
+    wanted = candidates.groupBy("session").agg(F.collect_set("aid").alias("wanted"))
+    repeats = item_repeats(events, last).join(wanted, "session")
+    reached = repeats.join(edges, (repeats["aid"] == edges["aid_x"]) & F.array_contains("wanted", F.col("aid_y"))).select(
         "session", F.col("aid_y").alias("aid"), "kind", "wgt", "n_all", "n_last"
     )
     return candidates.select("session", "aid").join(reached, ["session", "aid"], "left")
@@ -101,16 +106,15 @@ def features_matrix_last(
     candidates: DataFrame, events: DataFrame, edges: Mapping[str, DataFrame], scale: float = 1.0
 ) -> DataFrame:
     """Integer part of the weight of the edge from the session's last item to the candidate, per edge kind."""
-    wide = (
-        tag_edges(edges)
-        .groupBy("aid_x", "aid_y")
+    # One row per session meets the edges of its last item (a bounded list), by item alone: both sides have an
+    # exchange, so Spark can split the sessions that end on a popular item. Candidates are met by session after that.
+    tagged = tag_edges(edges)
+    ends = last_event(events).select("session", "aid_last")
+    reached = (
+        ends.join(tagged, ends["aid_last"] == tagged["aid_x"])
+        .groupBy("session", F.col("aid_y").alias("aid"))
         .agg(*[F.max(F.when(F.col("kind") == k, F.col("wgt"))).alias(k) for k in KINDS])
-        .select(F.col("aid_x").alias("aid_last"), F.col("aid_y").alias("aid"), *KINDS)
-    )
-    joined = (
-        candidates.select("session", "aid")
-        .join(last_event(events).select("session", "aid_last"), "session", "left")
-        .join(wide, ["aid_last", "aid"], "left")
     )
+    joined = candidates.select("session", "aid").join(reached, ["session", "aid"], "left")
     weights = [F.coalesce(F.col(k), F.lit(0.0)).cast("long").alias(f"cvm_weight_{k}_last1") for k in KINDS]
     return scale_columns(joined.select("session", "aid", *weights), scale)

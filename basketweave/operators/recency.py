@@ -2,7 +2,7 @@
 
 One session may hold a large part of the log. ``latest_events`` relies on the partial group limit that
 Spark runs before the shuffle, so a session contributes at most n rows per input partition. Positions
-need every row, so ``with_positions`` splits oversized sessions by time.
+need every row, so ``with_positions`` deals the log by ranges, which split any session.
 """
 
 from __future__ import annotations
@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SESSION_ROWS = 1_000_000
-MAX_HOT_SESSIONS = 10_000
+from basketweave.session import stage
 
 
 def latest_events(events: DataFrame, n: int) -> DataFrame:
@@ -25,37 +24,32 @@ def last_event(events: DataFrame) -> DataFrame:
     return latest_events(events, 1).select("session", F.col("aid").alias("aid_last"), F.col("type").alias("type_last"))
 
 
-def with_positions(events: DataFrame, hot_rows: int = HOT_SESSION_ROWS) -> DataFrame:
+def ranked_runs(events: DataFrame) -> DataFrame:
+    """The log dealt by sampled ranges of (session, ts, event_id), with ``run`` (the range) and ``place`` in it.
+
+    A session of any size, also within one second, is spread over as many ranges as it needs. The table is
+    written, because the offsets of the runs must come from the very same ranges.
+    """
+    dealt = events.repartitionByRange("session", "ts", "event_id").withColumn("run", F.spark_partition_id())
+    in_run = Window.partitionBy("session", "run").orderBy("ts", "event_id")
+    return stage(dealt.withColumn("place", F.row_number().over(in_run)), "runs")
+
+
+def with_positions(events: DataFrame) -> DataFrame:
     """Adds ``position`` (0-based, in time order) and ``session_length``.
 
-    Sessions of more than ``hot_rows`` events are split into one group per second; a running sum over the
-    group sizes gives the offset of each group. All other sessions are one group. At most
-    ``MAX_HOT_SESSIONS`` ids are broadcast to mark the largest ones; leaving a session unmarked changes
-    only its grouping, not its positions.
+    A running sum over the sizes of a session's runs gives the offset of each run: as many rows as the session
+    has ranges.
     """
-    hot = (
-        events.groupBy("session")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > hot_rows)
-        .orderBy(F.desc("n"), "session")
-        .limit(MAX_HOT_SESSIONS)
-        .select("session", F.lit(True).alias("hot"))
-    )
-    grouped = events.join(F.broadcast(hot), "session", "left").select(
-        *events.columns, F.when(F.col("hot"), F.col("ts")).otherwise(F.lit(0)).alias("slot")
-    )
-    sizes = grouped.groupBy("session", "slot").agg(F.count(F.lit(1)).alias("n"))
+    runs = ranked_runs(events)
+    sizes = runs.groupBy("session", "run").agg(F.max("place").alias("n"))
     by_session = Window.partitionBy("session")
-    before = by_session.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_session.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "session",
-        "slot",
+        "run",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"),
-        F.sum("n").over(by_session).alias("session_length"),
-    )
-    in_slot = Window.partitionBy("session", "slot").orderBy("ts", "event_id")
-    return (
-        grouped.withColumn("rank_in_slot", F.row_number().over(in_slot))
-        .join(offsets, ["session", "slot"])
-        .select(*events.columns, (F.col("offset") + F.col("rank_in_slot") - 1).alias("position"), "session_length")
+        F.sum("n").over(by_session).cast("long").alias("session_length"),
     )
+    position = (F.col("offset") + F.col("place") - 1).cast("long").alias("position")
+    return runs.join(offsets, ["session", "run"]).select(*events.columns, position, "session_length")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import TYPE_IDS, TYPE_NAMES
@@ -77,10 +77,16 @@ def weighted_score(
     return per_type.select(*[F.col(t).alias(f"recall_{t}") for t in TYPE_IDS], total.alias("score"))
 
 
+def whole_ids(labels: Column, limit: int) -> Column:
+    """As many whole ids of a space-joined list as fit in ``limit`` characters."""
+    cut = F.regexp_replace(F.substring(F.concat(labels, F.lit(" ")), 1, limit + 1), " [^ ]*$", "")
+    return F.when(F.length(labels) <= limit, labels).otherwise(cut)
+
+
 def concat_submissions(clicks: DataFrame, carts: DataFrame, orders: DataFrame, limit: int = TEXT_LIMIT) -> DataFrame:
-    """One sorted submission; cart and order lists are cut at ``limit`` characters."""
+    """One sorted submission; cart and order lists are cut at ``limit`` characters, between ids."""
     parts = []
     for df, name in ((clicks, "clicks"), (carts, "carts"), (orders, "orders")):
-        labels = F.col("labels") if name == "clicks" else F.substring("labels", 1, limit)
+        labels = F.col("labels") if name == "clicks" else whole_ids(F.col("labels"), limit)
         parts.append(df.where(F.col("session_type").contains(name)).select("session_type", labels.alias("labels")))
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).orderBy("session_type")

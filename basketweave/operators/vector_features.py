@@ -1,4 +1,4 @@
-"""Features from reduced item vectors ``(aid, svd_0 .. svd_9)``."""
+"""Features from reduced item vectors ``(aid, svd_0, svd_1, ...)``, over as many dimensions as they have."""
 
 from __future__ import annotations
 
@@ -7,23 +7,30 @@ from pyspark.sql import functions as F
 
 from basketweave.operators.recency import latest_events
 
-DIMS = 10
 LAST = 5
 VARIANTS = ("last1", "last5", "all")
 
 
-def features_vector_item(vectors: DataFrame, dims: int = DIMS) -> DataFrame:
-    return vectors.select("aid", *[F.col(f"svd_{i}").alias(f"svd_{i}_candidates") for i in range(dims)])
+def dimensions(vectors: DataFrame, suffix: str = "") -> int:
+    """How many columns ``svd_0<suffix>``, ``svd_1<suffix>``, ... there are."""
+    n = 0
+    while f"svd_{n}{suffix}" in vectors.columns:
+        n += 1
+    return n
 
 
-def features_vector_session(events: DataFrame, vectors: DataFrame, dims: int = DIMS) -> DataFrame:
+def features_vector_item(vectors: DataFrame) -> DataFrame:
+    return vectors.select("aid", *[F.col(f"svd_{i}").alias(f"svd_{i}_candidates") for i in range(dimensions(vectors))])
+
+
+def features_vector_session(events: DataFrame, vectors: DataFrame) -> DataFrame:
     """Vector of the last item, mean over the last five events and mean over all events of a session.
 
     Events are first counted per (session, aid), so an item's vector is joined once however often it occurs.
     Means skip events without a vector; the last vector is that of the newest of the last five events that
     has one. A session without any vector gets zeros.
     """
-    none = F.lit(None).cast("int")
+    dims, none = dimensions(vectors), F.lit(None).cast("int")
     tagged = events.select("session", "aid", F.lit(1).alias("n_all"), F.lit(0).alias("n_last"), none.alias("recency"))
     last = latest_events(events, LAST).select(
         "session", "aid", F.lit(0).alias("n_all"), F.lit(1).alias("n_last"), "recency"
@@ -63,7 +70,6 @@ def features_vector_pair(
     item_vectors: DataFrame,
     session_vectors: DataFrame,
     variants: tuple[str, ...] = VARIANTS,
-    dims: int = DIMS,
 ) -> DataFrame:
     """Per variant, the difference between candidate and session vector in each dimension and their L1 total.
 
@@ -76,6 +82,7 @@ def features_vector_pair(
         .join(session_vectors, "session", "left")
     )
     filled = joined.select("session", "aid", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in joined.columns if c not in ("session", "aid")])
+    dims = dimensions(item_vectors, "_candidates")
     item = [f"svd_{i}_candidates" for i in range(dims)]
     out = []
     for v in variants:

@@ -9,19 +9,19 @@ from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketweave.operators.recency import HOT_SESSION_ROWS, with_positions
+from basketweave.operators.recency import with_positions
 
 # The learner keeps the vocabulary and two matrices of this many floats on the driver and on every executor.
 MAX_MODEL_FLOATS = 500_000_000
 
 
-def item_sequences(events: DataFrame, max_length: int = 1000, hot_rows: int = HOT_SESSION_ROWS) -> DataFrame:
+def item_sequences(events: DataFrame, max_length: int = 1000) -> DataFrame:
     """Items of each session in time order, as ``(session, chunk, sentence)``.
 
     A session longer than ``max_length`` gives several chunks: the learner cuts sentences there anyway, and
     no array grows with a session.
     """
-    positioned = with_positions(events, hot_rows)
+    positioned = with_positions(events)
     return (
         positioned.withColumn("chunk", F.floor(F.col("position") / max_length))
         .groupBy("session", "chunk")

@@ -51,10 +51,16 @@ def train_and_evaluate(
     return rec.recall_at(lists, labels, type_id, recall_k)
 
 
+def local_score(spark: SparkSession, root: str, labels: DataFrame, learner: str = CLASSIFIER, recall_k: int = 20) -> DataFrame:
+    """Recall of each type and their weighted sum, from the saved out-of-fold lists of all types."""
+    lists = load_submission(spark, *[f"{root}/oof/{name}-{learner}" for name in TYPE_IDS])
+    return rec.weighted_score(lists, labels, recall_k)
+
+
 def predict(spark: SparkSession, root: str, type_id: int, learner: str = CLASSIFIER, folds: int = 5) -> dict:
     """Score the test-phase candidates with the mean of the saved models and write the lists as CSV."""
     frame = load_frame(spark, root, "test", type_id)
-    vectors = learn.to_vectors(frame, learn.feature_columns(frame), folds)
+    vectors = learn.assemble_vectors(frame, learn.feature_columns(frame))  # read once, so not written
     models = learn.load_models(_model_path(root, type_id, learner), folds, _MODEL_CLASS[learner])
     scores = learn.predict_ensemble(vectors, models)
     save_parquet(scores, f"{root}/scores/{TYPE_NAMES[type_id]}")

@@ -25,6 +25,7 @@ from basketweave.sources.tables import (
     load_candidates,
     load_covisit,
     load_item_vectors,
+    save_csv,
     save_parquet,
 )
 
@@ -83,7 +84,10 @@ def build_candidates(events_recent: DataFrame, root: str, phase: str, limits: Li
     }
     for family, (own, additional) in families.items():
         merged = cand.merge_candidates(own, additional, limits.candidates)
-        save_parquet(merged, f"{root}/candidates/phase={phase}/family={family}")
+        path = f"{root}/candidates/phase={phase}/family={family}"
+        save_parquet(merged, path)
+        stored = events_recent.sparkSession.read.parquet(path).select("session", "aid")
+        save_csv(cand.candidates_per_session(stored), f"{root}/reports/candidates-{phase}-{family}")
 
 
 def build_item_vectors(events: DataFrame, root: str, phase: str, limits: Limits = Limits()) -> None:
@@ -135,7 +139,7 @@ def load_frame(
     spark: SparkSession, root: str, phase: str, type_id: int, labels: DataFrame | None = None
 ) -> DataFrame:
     """Candidates of one type with target and all features."""
-    base = load_candidates(spark, root, phase, type_id, ("session", "aid", "chris_rank")).select(
+    base = load_candidates(spark, root, phase, type_id, ("session", "aid", "candidate_pos")).select(
         "session", "aid", ft.candidates_rank()
     )
     table = {t: spark.read.parquet(f"{root}/features/phase={phase}/table={t}") for t in ITEM + SESSION + PAIR}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +30,17 @@ def build_session(app_name: str = "basketweave", master: str | None = None, **co
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else the one the application set for checkpoints.
 
-    On a cluster every executor must reach it, so an unset folder is an error there; a local
-    session (tests) gets a temporary one.
+    On a cluster every executor must reach it, so an unset folder is an error there; a local session gets one
+    beside its warehouse.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="basketweave-"))
+        context.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir', 'spark-warehouse').rstrip('/')}/shared-{uuid.uuid4().hex[:12]}")
     return context.getCheckpointDir()
 
 
@@ -68,9 +68,26 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return write_stage(df, name)[0]
 
 
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Put the finished folder ``new`` in the place of ``path``."""
+    fs, to = _folder(spark, path)
+    fs.delete(to, True)
+    if not fs.rename(_folder(spark, new)[1], to):
+        raise OSError(f"{new} could not be moved to {path}")
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, there = _folder(spark, path)
+    fs.delete(there, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
+
+
 def drop_stage(spark: SparkSession, path: str) -> None:
     """Delete a table written by ``write_stage`` that nothing reads any more."""
     if "/stage/" not in path:
         raise ValueError(f"not a staged table: {path}")
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+    delete_folder(spark, path)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from basketweave.operators.quality import quality_aggregates, raise_if_bad
+from basketweave.session import delete_folder, replace_folder
 
 EVENT_COLUMNS = ("session", "aid", "ts", "type", "event_id")
 PHASES = ("train", "test")
@@ -72,12 +73,23 @@ def load_item_vectors(spark: SparkSession, root: str, phase: str) -> DataFrame:
 def save_parquet(df: DataFrame, path: str, mode: str = "overwrite", checked: bool = False) -> dict:
     """Write and return ``{"rows": n}``, counted while writing rather than by a second job.
 
-    ``checked`` also counts null and infinite values on the way and raises if there are any.
+    ``checked`` also counts null and infinite values on the way and raises if there are any. The rows are then
+    written beside ``path`` first, so that a bad table never takes the place of a good one.
     """
-    seen = Observation()
-    extra = quality_aggregates(df) if checked else []
-    df.observe(seen, F.count(F.lit(1)).alias("rows"), *extra).write.mode(mode).parquet(path)
-    raise_if_bad(seen.get)
+    seen, spark = Observation(), df.sparkSession
+    if not checked:
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+        return {"rows": seen.get["rows"]}
+    if mode != "overwrite":
+        raise ValueError("a checked table replaces what was there: mode must be overwrite")
+    new = f"{path.rstrip('/')}__new"
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *quality_aggregates(df)).write.mode("overwrite").parquet(new)
+    try:
+        raise_if_bad(seen.get)
+    except ValueError:
+        delete_folder(spark, new)
+        raise
+    replace_folder(spark, new, path)
     return {"rows": seen.get["rows"]}
 
 

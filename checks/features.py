@@ -11,6 +11,7 @@ from checks import views as fx
 from checks.matrices_and_candidates import Inputs
 from checks.registry import query, rounded
 from checks.sql import cte, recent_of, sql
+from checks.views import VECTOR_DIMS
 
 TYPES = {"clicks": 0, "carts": 1, "orders": 2}
 PAIRS = (("carts", "clicks"), ("orders", "clicks"), ("orders", "carts"))
@@ -148,15 +149,15 @@ for _t in TYPES:
         _out.append(f"{_t}_count_{_a} - {_t}_count_{_b} AS {_t}_count_diff_{_a}_{_b}")
 cte(
     "pair_base",
-    f"""SELECT c.session, c.aid, c.chris_rank + 1 AS candidates_rank, {', '.join(_base)}
+    f"""SELECT c.session, c.aid, c.candidate_pos + 1 AS candidates_rank, {', '.join(_base)}
       FROM cand_buys c LEFT JOIN pair_counts p ON c.session = p.session AND c.aid = p.aid""",
 )
 PAIR_COLUMNS = ["candidates_rank"] + [c.rsplit(" AS ", 1)[-1] for c in _out]
 query("features_session_item", sql(f"SELECT session, aid, candidates_rank, {', '.join(_out)} FROM pair_base"))(
     lambda s, d: session_item(s, d)
 )
-query("candidate_rank", sql("SELECT session, aid, chris_rank + 1 AS candidates_rank FROM cand_buys"))(
-    lambda s, d: Inputs(s, d).merged("buys").select("session", "aid", (F.col("chris_rank") + 1).alias("candidates_rank"))
+query("candidate_rank", sql("SELECT session, aid, candidate_pos + 1 AS candidates_rank FROM cand_buys"))(
+    lambda s, d: Inputs(s, d).merged("buys").select("session", "aid", (F.col("candidate_pos") + 1).alias("candidates_rank"))
 )
 
 # --- matrix features ---------------------------------------------------------------------------------------
@@ -242,7 +243,7 @@ query("features_matrix_last", sql("SELECT * FROM matrix_last"))(
 
 # --- vectors -----------------------------------------------------------------------------------------------
 
-DIM = range(10)
+DIM = range(VECTOR_DIMS)
 query(
     "features_vector_item",
     sql("SELECT aid, " + ", ".join(f"svd_{i} AS svd_{i}_candidates" for i in DIM) + " FROM fx_item_vectors"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import hash_bucket
@@ -27,7 +28,7 @@ from checks.features import (
 from checks.matrices_and_candidates import Inputs, labelled
 from checks.registry import query, rounded
 from checks.sql import cte, sql
-from checks.views import K_EDGES, K_RECALL, N_ADDITIONAL, N_CANDIDATES, T0, T2
+from checks.views import K_EDGES, K_RECALL, N_ADDITIONAL, N_CANDIDATES, T0, T2, VECTOR_DIMS
 
 LIMITS = phases.Limits(
     edges_per_item=K_EDGES, additional=N_ADDITIONAL, candidates=N_CANDIDATES, vector_size=8, vector_dims=4
@@ -36,8 +37,12 @@ EXACT_LIMITS = phases.Limits(edges_per_item=K_EDGES, additional=N_ADDITIONAL, ca
 
 # --- folds and sampling ------------------------------------------------------------------------------------
 
-FOLD = "CAST(((session * 7919 + 42) % 5 + 5) % 5 AS INTEGER)"
-HASH = "(((session * 7919 + aid * 104729 + 42) % 1000003 + 1000003) % 1000003)"
+def _pmod(x, n):
+    return f"((({x}) % {n} + {n}) % {n})"
+
+
+FOLD = f"CAST({_pmod(_pmod('session', 5) + ' * 7919 + 42', 5)} AS INTEGER)"
+HASH = _pmod(f"{_pmod('session', 1000003)} * 7919 + {_pmod('aid', 1000003)} * 104729 + 42", 1000003)
 query("group_kfold", sql(f"SELECT session, aid, target, {FOLD} AS fold FROM labelled"))(
     lambda s, d: sampling.group_kfold(labelled(s, d).select("session", "aid", "target"))
 )
@@ -88,42 +93,59 @@ query(
         "session", F.array_join("sentence", " ").alias("sentence")
     )
 )
-# The same cut into chunks of seven items, every session of more than twenty events split by second.
+# The same cut into chunks of seven items.
 query(
     "item_sequences_chunked",
     sql("""SELECT session, CAST((k - 1) // 7 AS BIGINT) AS chunk, string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY k) AS sentence
       FROM (SELECT session, aid, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS k FROM fx_known)
       GROUP BY session, (k - 1) // 7"""),
 )(
-    lambda s, d: vect.item_sequences(fx.fx_known(s, d), max_length=7, hot_rows=20).select(
+    lambda s, d: vect.item_sequences(fx.fx_known(s, d), max_length=7).select(
         "session", "chunk", F.array_join("sentence", " ").alias("sentence")
     )
 )
 
 
-@query("train_item_vectors")
+# What SQL can know of trained vectors: an item each, all dimensions, finite.
+@query("train_item_vectors", sql("SELECT DISTINCT aid, 50 AS dimensions, true AS finite FROM fx_known"))
 def train_item_vectors(spark, sf):
     sequences = stage(vect.item_sequences(fx.fx_known(spark, sf)), "sequences")
-    return vect.flatten_vectors(vect.train_item_vectors(sequences, partitions=4))
+    flat = vect.flatten_vectors(vect.train_item_vectors(sequences, partitions=4))
+    total = sum((F.col(c) for c in flat.columns[1:]), F.lit(0.0))
+    finite = total.isNotNull() & ~F.isnan(total) & (F.abs(total) < 1e300)
+    return flat.select("aid", F.lit(len(flat.columns) - 1).alias("dimensions"), finite.alias("finite"))
 
 
-@query("reduce_vectors")
+# The reduction is a projection: no vector gets longer, the columns are orthogonal and fall in length.
+@query("reduce_vectors", sql("SELECT vec_id AS aid, true AS no_longer, true AS orthogonal, true AS descending FROM embeddings"))
 def reduce_vectors(spark, sf):
     vectors = fx.table(spark, sf, "embeddings").select(
         F.col("vec_id").alias("aid"), F.col("embedding").cast("array<double>").alias("vector")
     )
-    return rounded(vect.reduce_vectors(vectors), *[f"svd_{i}" for i in range(10)])
+    flat = stage(vect.reduce_vectors(vectors).join(vectors, "aid"), "reduced")
+    names = [f"svd_{i}" for i in range(10)]
+    products = flat.agg(*[F.abs(F.sum(F.col(a) * F.col(b))).alias(f"{a}_{b}") for i, a in enumerate(names) for b in names[:i]])
+    squares = flat.agg(*[F.sum(F.col(c) * F.col(c)).alias(c) for c in names])
+    falls = [F.col(a) >= F.col(b) for a, b in zip(names, names[1:])]
+    length = sum((F.col(c) * F.col(c) for c in names), F.lit(0.0))
+    whole = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
+    return flat.select(
+        "aid",
+        (length <= whole + 1e-6).alias("no_longer"),
+        products.select(F.greatest(*products.columns) < 1e-6).scalar().alias("orthogonal"),
+        squares.select(F.forall(F.array(*falls), lambda x: x)).scalar().alias("descending"),
+    )
 
 
 # --- training frame ----------------------------------------------------------------------------------------
 
 VECTOR_PAIR_COLUMNS = {
-    v: [f"svd_{i}_diff_candidates_{v}" for i in range(10)] + [f"svd_total_diff_candidates_{v}"]
+    v: [f"svd_{i}_diff_candidates_{v}" for i in range(VECTOR_DIMS)] + [f"svd_total_diff_candidates_{v}"]
     for v in ("last1", "last5", "all")
 }
 MATRIX_LAST = [f"cvm_weight_{k}_last1" for k in ("buys", "buy2buy", "clicks")]
-VECTOR_ITEM = [f"svd_{i}_candidates" for i in range(10)]
-cte("vector_item", "SELECT aid, " + ", ".join(f"svd_{i} AS svd_{i}_candidates" for i in range(10)) + " FROM fx_item_vectors")
+VECTOR_ITEM = [f"svd_{i}_candidates" for i in range(VECTOR_DIMS)]
+cte("vector_item", "SELECT aid, " + ", ".join(f"svd_{i} AS svd_{i}_candidates" for i in range(VECTOR_DIMS)) + " FROM fx_item_vectors")
 cte("pair_feats", f"SELECT session, aid, candidates_rank, {', '.join(_out)} FROM pair_base")
 FRAME_COLUMNS = [
     *ITEM_COLUMNS, *SESSION_COLUMNS, *PAIR_COLUMNS, *MATRIX_COLUMNS["all"], *MATRIX_COLUMNS["5"], *MATRIX_LAST,
@@ -160,7 +182,7 @@ def assemble_features(spark, sf):
 
 # --- models: a small frame of item, pair and rank features --------------------------------------------------
 
-SMALL = learn.BoostedParams(maxIter=5, maxDepth=4, stepSize=0.1, minInstancesPerNode=5, featureSubsetStrategy="0.5")
+SMALL = learn.BoostedParams(max_trees=5, early_stopping_rounds=2, maxDepth=4, stepSize=0.1, minInstancesPerNode=5, featureSubsetStrategy="0.5")
 SMALL_RANK = learn.RankerParams(rounds=3, maxDepth=4, minInstancesPerNode=5, featureSubsetStrategy="0.5", stepSize=0.1)
 
 
@@ -181,53 +203,98 @@ def small_vectors(spark, sf, folds):
     return learn.to_vectors(frame, names, folds), names
 
 
-@query("train_classifier")
+FEATURES_SQL = "(VALUES " + ", ".join(f"('{c}')" for c in [*ITEM_COLUMNS, *SESSION_COLUMNS, *PAIR_COLUMNS]) + ") f(feature)"
+
+
+@query("train_classifier", sql(f"SELECT feature, CAST(fold AS INTEGER) AS fold, true AS valid, true AS whole FROM {FEATURES_SQL}, range(2) t(fold)"))
 def train_classifier(spark, sf):
     vectors, names = small_vectors(spark, sf, 2)
     models = learn.train_classifier(vectors, 2, params=SMALL)
-    return learn.feature_importance(spark, models, names)
+    importance = learn.feature_importance(spark, models, names)
+    total = F.sum("importance").over(Window.partitionBy("fold"))
+    return importance.select("feature", "fold", (F.col("importance") >= 0).alias("valid"), (F.abs(total - 1) < 1e-6).alias("whole"))
 
 
-@query("feature_importance")
+@query("feature_importance", sql(f"SELECT feature, true AS valid FROM {FEATURES_SQL}"))
 def feature_importance(spark, sf):
     vectors, names = small_vectors(spark, sf, 2)
-    return learn.mean_importance(
-        learn.feature_importance(spark, learn.train_classifier(vectors, 2, params=SMALL), names)
-    )
+    models = learn.train_classifier(vectors, 2, params=SMALL)
+    mean = learn.mean_importance(learn.feature_importance(spark, models, names))
+    return mean.select("feature", F.col("importance").between(0, 1).alias("valid"))
+
+
+@query("mean_importance", sql(f"SELECT feature, true AS mean FROM {FEATURES_SQL}"))
+def mean_importance(spark, sf):
+    """Against the importances of two models, averaged by hand."""
+    vectors, names = small_vectors(spark, sf, 2)
+    models = learn.train_classifier(vectors, 2, params=SMALL)
+    one, two = (m.featureImportances.toArray() for m in models)
+    by_hand = spark.createDataFrame([(n, float(a + b) / 2) for n, a, b in zip(names, one, two)], "feature STRING, value DOUBLE")
+    mean = learn.mean_importance(learn.feature_importance(spark, models, names))
+    return mean.join(by_hand, "feature").select("feature", (F.abs(F.col("importance") - F.col("value")) < 1e-9).alias("mean"))
+
+
+FOLD_OF_TWO = f"CAST({_pmod(_pmod('session', 2) + ' * 7919 + 42', 2)} AS INTEGER)"
 
 
-@query("predict_oof")
+@query("predict_oof", sql(f"SELECT session, aid, {FOLD_OF_TWO} AS fold, true AS is_probability, true AS by_other_fold FROM labelled"))
 def predict_oof(spark, sf):
     vectors, _ = small_vectors(spark, sf, 2)
-    return rounded(learn.predict_oof(vectors, learn.train_classifier(vectors, 2, params=SMALL)), "score")
+    models = learn.train_classifier(vectors, 2, params=SMALL)
+    both = learn.score_rows(models[1], learn.score_rows(models[0], vectors, "s0"), "s1").select("session", "aid", "fold", "s0", "s1")
+    own = F.when(F.col("fold") == 0, F.col("s0")).otherwise(F.col("s1"))
+    return learn.predict_oof(vectors, models).join(both, ["session", "aid"]).select(
+        "session", "aid", "fold", F.col("score").between(0, 1).alias("is_probability"), (F.abs(F.col("score") - own) < 1e-9).alias("by_other_fold")
+    )
 
 
-@query("predict_ensemble")
+@query("predict_ensemble", sql("SELECT session, aid, true AS is_mean FROM labelled"))
 def predict_ensemble(spark, sf):
     vectors, _ = small_vectors(spark, sf, 2)
     path = f"{shared_dir(spark)}/models-{uuid.uuid4().hex}"
-    learn.save_models(learn.train_classifier(vectors, 2, params=SMALL), path)
-    return rounded(learn.predict_ensemble(vectors, learn.load_models(path, 2)), "score")
+    models = learn.train_classifier(vectors, 2, params=SMALL)
+    learn.save_models(models, path)
+    both = learn.score_rows(models[1], learn.score_rows(models[0], vectors, "s0"), "s1").select("session", "aid", "s0", "s1")
+    scores = learn.predict_ensemble(vectors, learn.load_models(path, 2))
+    mean = (F.col("s0") + F.col("s1")) / 2
+    return scores.join(both, ["session", "aid"]).select("session", "aid", (F.abs(F.col("score") - mean) < 1e-9).alias("is_mean"))
 
 
-@query("train_ranker")
+@query("train_ranker", sql("SELECT session, aid, true AS finite FROM labelled"))
 def train_ranker(spark, sf):
     vectors, _ = small_vectors(spark, sf, 2)
-    return rounded(learn.predict_oof(vectors, learn.train_ranker(vectors, 2, SMALL_RANK)), "score")
+    scores = learn.predict_oof(vectors, learn.train_ranker(vectors, 2, SMALL_RANK))
+    return scores.select("session", "aid", (F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < 1e300)).alias("finite"))
 
 
-@query("recall_of_oof_scores")
+@query(
+    "recall_of_oof_scores",
+    sql(f"SELECT sum(least(len(ground_truth), {K_RECALL})) AS gt_count, true AS hits_fit FROM fx_labels WHERE type = 'orders'"),
+)
 def recall_of_oof_scores(spark, sf):
     vectors, _ = small_vectors(spark, sf, 2)
     scores = learn.predict_oof(vectors, learn.train_classifier(vectors, 2, params=SMALL))
-    return rec.recall_at(rec.make_recommendations(scores, 2), fx.fx_labels(spark, sf), 2, K_RECALL)
+    found = rec.recall_at(rec.make_recommendations(scores, 2), fx.fx_labels(spark, sf), 2, K_RECALL)
+    return found.select("gt_count", F.col("hits").between(0, F.col("gt_count")).alias("hits_fit"))
 
 
 # --- data quality ------------------------------------------------------------------------------------------
 
-query("narrow_types", sql("SELECT session, aid, ts, type FROM fx_events"))(
-    lambda s, d: quality.narrow_types(fx.fx_events(s, d).select("session", "aid", "ts", "type"))
-)
+def _narrow(c):
+    """The smallest type whose open range holds the column, in SQL."""
+    fits = " ".join(f"WHEN min({c}) OVER () > -{top} AND max({c}) OVER () < {top} - 1 THEN '{name}'" for name, top in (("tinyint", 128), ("smallint", 32768), ("int", 2147483648)))
+    return f"CASE {fits} ELSE 'bigint' END"
+
+
+query(
+    "narrow_types",
+    sql("SELECT session, aid, ts, type, " + ", ".join(f"{_narrow(c)} AS {c}_type" for c in ("session", "aid", "ts", "type")) + " FROM fx_events"),
+)(lambda s, d: _with_types(quality.narrow_types(fx.fx_events(s, d).select("session", "aid", "ts", "type"))))
+
+
+def _with_types(df):
+    return df.select("*", *[F.typeof(c).alias(f"{c}_type") for c in df.columns])
+
 query(
     "quality_report",
     sql("""SELECT 'session_score' AS "column", count(*) FILTER (WHERE session_score IS NULL) AS nulls, 0 AS infinite FROM cand_buys

@@ -62,11 +62,11 @@ class Inputs:
 
     def labelled(self):
         return cand.label_candidates(
-            self.candidates("buys").select("session", "aid", "chris_rank"), 2, self.labels
+            self.candidates("buys").select("session", "aid", "candidate_pos"), 2, self.labels
         )
 
     def ranked(self, family):
-        return self.candidates(family).select("session", "aid", (-F.col("chris_rank")).cast("double").alias("score"))
+        return self.candidates(family).select("session", "aid", (-F.col("candidate_pos")).cast("double").alias("score"))
 
     def recommendations(self):
         return [
@@ -137,7 +137,7 @@ query("session_positions", sql("SELECT session, aid, ts, event_id, position, ses
 )
 # The same with every session of more than five events split by second.
 query("session_positions_split", sql("SELECT session, aid, ts, event_id, position, session_length FROM pos"))(
-    lambda s, d: with_positions(fx.fx_observed(s, d), hot_rows=5).drop("type")
+    lambda s, d: with_positions(fx.fx_observed(s, d)).drop("type")
 )
 
 # --- candidates --------------------------------------------------------------------------------------------
@@ -207,7 +207,7 @@ query(
     sql("""SELECT a.session, a.aid, a.wgt FROM add_clicks a
       WHERE NOT EXISTS (SELECT 1 FROM sc_clicks s WHERE s.session = a.session AND s.aid = a.aid)"""),
 )(lambda s, d: _anti_existing(Inputs(s, d)))
-CANDIDATE_SQL = "SELECT session, aid, round(session_score, 6) AS session_score, wgt, chris_rank FROM "
+CANDIDATE_SQL = "SELECT session, aid, round(session_score, 6) AS session_score, wgt, candidate_pos FROM "
 query("merge_candidates_buys", sql(CANDIDATE_SQL + "cand_buys"))(
     lambda s, d: rounded(Inputs(s, d).merged("buys"), "session_score")
 )
@@ -233,7 +233,7 @@ def labelled(spark, sf):
     return Inputs(spark, sf).labelled()
 
 
-query("label_candidates", sql("SELECT session, aid, chris_rank, type, target FROM labelled"))(labelled)
+query("label_candidates", sql("SELECT session, aid, candidate_pos, type, target FROM labelled"))(labelled)
 query(
     "label_candidates_unlabelled", sql("SELECT session, aid, 0 AS type, 0 AS target FROM cand_clicks")
 )(lambda s, d: cand.label_candidates(Inputs(s, d).merged("clicks").select("session", "aid"), 0))
@@ -244,7 +244,7 @@ query(
 query("make_recommendations", sql("SELECT session_type, labels FROM rec_orders"))(
     lambda s, d: rec.make_recommendations(Inputs(s, d).ranked("buys"), 2)
 )
-query("top_scored", sql("SELECT session, aid, chris_rank + 1 AS n FROM cand_clicks WHERE chris_rank < 5"))(
+query("top_scored", sql("SELECT session, aid, candidate_pos + 1 AS n FROM cand_clicks WHERE candidate_pos < 5"))(
     lambda s, d: rec.top_scored(Inputs(s, d).ranked("clicks"), 5).select("session", "aid", "n")
 )
 
@@ -273,9 +273,10 @@ query(
         rec.weighted_score(Inputs(s, d).all_recommendations(), fx.fx_labels(s, d), K_RECALL), "score", digits=9
     )
 )
+_CUT = "CASE WHEN length(labels) <= 30 THEN labels ELSE regexp_replace(substring(labels || ' ', 1, 31), ' [^ ]*$', '') END"
 query(
     "concat_submissions",
-    sql("""SELECT session_type, labels FROM rec_clicks
-      UNION ALL SELECT session_type, substring(labels, 1, 30) AS labels FROM rec_carts
-      UNION ALL SELECT session_type, substring(labels, 1, 30) AS labels FROM rec_orders"""),
+    sql(f"""SELECT session_type, labels FROM rec_clicks
+      UNION ALL SELECT session_type, {_CUT} AS labels FROM rec_carts
+      UNION ALL SELECT session_type, {_CUT} AS labels FROM rec_orders"""),
 )(lambda s, d: rec.concat_submissions(*Inputs(s, d).recommendations(), limit=30))

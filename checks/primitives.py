@@ -350,16 +350,6 @@ query("session_length", sql("SELECT session, count(*) AS session_length FROM fx_
 query("unique_items", sql("SELECT DISTINCT aid FROM fx_baskets"))(
     lambda s, d: fx.fx_baskets(s, d).select("aid").distinct()
 )
-query("mean_importance", sql("SELECT CAST(label AS VARCHAR) AS feature, round(avg(embedding[1]), 6) AS importance FROM embeddings GROUP BY label"))(
-    lambda s, d: rounded(
-        learn.mean_importance(
-            fx.table(s, d, "embeddings").select(
-                F.col("label").cast("string").alias("feature"), F.col("embedding")[0].cast("double").alias("importance")
-            )
-        ),
-        "importance",
-    )
-)
 query("sorted_submission", sql("SELECT session_type, labels FROM rec_carts ORDER BY session_type"))(
     lambda s, d: rec.make_recommendations(Inputs(s, d).ranked("buys"), 1).orderBy("session_type")
 )

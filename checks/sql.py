@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from checks.views import K_EDGES, N_ADDITIONAL, N_CANDIDATES, T0, T1, T2
+from checks.views import K_EDGES, N_ADDITIONAL, N_CANDIDATES, T0, T1, T2, VECTOR_DIMS
 
 DAY = 86_400
 CTES: dict[str, str] = {}
@@ -48,7 +48,7 @@ cte("fx_baskets", """
          row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS event_id
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey""")
 cte("fx_item_vectors", "SELECT vec_id AS aid, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS svd_{i}" for i in range(10)) + " FROM embeddings")
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS svd_{i}" for i in range(VECTOR_DIMS)) + " FROM embeddings")
 
 
 def recent_of(src: str, n: int) -> str:
@@ -150,23 +150,23 @@ define_additional("fil", 8, "ev2_clk", "ev2_typ", "ev2_b2b")
 
 
 def merged_of(session_cands: str, additional: str, n: int) -> str:
-    return f"""SELECT session, aid, session_score, wgt, chris_rank FROM (
-      SELECT *, row_number() OVER (PARTITION BY session ORDER BY session_score DESC NULLS LAST, wgt DESC NULLS LAST, aid) - 1 AS chris_rank
+    return f"""SELECT session, aid, session_score, wgt, candidate_pos FROM (
+      SELECT *, row_number() OVER (PARTITION BY session ORDER BY round(session_score, 9) DESC NULLS LAST, wgt DESC NULLS LAST, aid) - 1 AS candidate_pos
       FROM (SELECT session, aid, session_score, CAST(NULL AS BIGINT) AS wgt FROM {session_cands}
         UNION ALL SELECT session, aid, NULL, wgt FROM {additional} a
           WHERE NOT EXISTS (SELECT 1 FROM {session_cands} s WHERE s.session = a.session AND s.aid = a.aid)))
-    WHERE chris_rank < {n}"""
+    WHERE candidate_pos < {n}"""
 
 
 cte("cand_buys", merged_of("sc_buys", "add_buys", N_CANDIDATES))
 cte("cand_clicks", merged_of("sc_clicks", "add_clicks", N_CANDIDATES))
 cte("truth", """SELECT DISTINCT session, CASE type WHEN 'clicks' THEN 0 WHEN 'carts' THEN 1 ELSE 2 END AS type, aid, 1 AS target
   FROM (SELECT session, type, unnest(ground_truth) AS aid FROM fx_labels)""")
-cte("labelled", """SELECT c.session, c.aid, c.chris_rank, 2 AS type, coalesce(t.target, 0) AS target
+cte("labelled", """SELECT c.session, c.aid, c.candidate_pos, 2 AS type, coalesce(t.target, 0) AS target
   FROM cand_buys c LEFT JOIN truth t ON c.session = t.session AND c.aid = t.aid AND t.type = 2""")
 
 # Recommendation lists straight from the merged candidate order, which needs no model.
 for _name, _src in (("clicks", "cand_clicks"), ("carts", "cand_buys"), ("orders", "cand_buys")):
     cte(f"rec_{_name}", f"""SELECT session || '_{_name}' AS session_type,
-        string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY chris_rank) AS labels FROM {_src} WHERE chris_rank < 40 GROUP BY session""")
+        string_agg(CAST(aid AS VARCHAR), ' ' ORDER BY candidate_pos) AS labels FROM {_src} WHERE candidate_pos < 40 GROUP BY session""")
 cte("recs", "SELECT * FROM rec_clicks UNION ALL SELECT * FROM rec_carts UNION ALL SELECT * FROM rec_orders")

@@ -9,6 +9,7 @@ from basketweave.functions.events import type_name
 
 # Start of the recent window and of the label window, epoch seconds; the time-weighted matrix runs from T0 to T2.
 T0, T1, T2 = 1_704_067_200, 1_706_054_400, 1_706_400_000
+VECTOR_DIMS = 64  # of the embeddings
 # The catalogue of the event log has 100 items, so the limits are smaller than the defaults.
 K_EDGES, N_CANDIDATES, N_ADDITIONAL, K_RECALL = 10, 20, 24, 5
 
@@ -84,7 +85,7 @@ def fx_baskets(spark, sf_dir):
 
 
 def fx_item_vectors(spark, sf_dir):
-    """The first ten dimensions of the given embeddings, standing in for trained and reduced vectors."""
+    """The given embeddings, standing in for trained and reduced vectors."""
     return table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("aid"), *[F.col("embedding")[i].cast("double").alias(f"svd_{i}") for i in range(10)]
+        F.col("vec_id").alias("aid"), *[F.col("embedding")[i].cast("double").alias(f"svd_{i}") for i in range(VECTOR_DIMS)]
     )

@@ -73,7 +73,7 @@ def test_merge_order_puts_missing_scores_last(spark):
     own = spark.createDataFrame([(1, 10, 0.5), (1, 11, 2.0)], "session BIGINT, aid INT, session_score DOUBLE")
     more = spark.createDataFrame([(1, 10, 9), (1, 12, 3), (1, 13, -1), (2, 14, 1)], "session BIGINT, aid INT, wgt BIGINT")
     merged = cand.merge_candidates(own, more, 3)
-    assert rows(merged, "session", "chris_rank", "aid") == [(1, 0, 11), (1, 1, 10), (1, 2, 12), (2, 0, 14)]
+    assert rows(merged, "session", "candidate_pos", "aid") == [(1, 0, 11), (1, 1, 10), (1, 2, 12), (2, 0, 14)]
 
 
 def test_labels_may_be_empty_or_missing(spark):
@@ -120,5 +120,5 @@ def test_submission_text_is_cut_and_sorted(spark):
     out = rec.concat_submissions(make("clicks"), make("carts"), make("orders"), limit=6).collect()
     assert [tuple(r) for r in out] == [
         ("1_carts", "9"), ("1_clicks", "9"), ("1_orders", "9"),
-        ("2_carts", "1234 5"), ("2_clicks", "1234 5678"), ("2_orders", "1234 5"),
+        ("2_carts", "1234"), ("2_clicks", "1234 5678"), ("2_orders", "1234"),
     ]

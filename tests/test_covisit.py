@@ -75,12 +75,13 @@ def test_ties_are_broken_by_event_id(events):
     assert rows(with_positions(df), "aid", "position", "session_length") == [(5, 1, 3), (6, 2, 3), (7, 0, 3)]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 3, 10_000])
-def test_positions_do_not_depend_on_the_split(events, hot_rows):
+@pytest.mark.parametrize("partitions", ["1", "3", "64"])
+def test_positions_do_not_depend_on_the_split(events, conf, partitions):
+    conf(spark__sql__shuffle__partitions=partitions)
     log = random_log(3, sessions=6)
     expected = []
     for s in {r[0] for r in log}:
         mine = sorted((ts, i) for i, (x, _, ts, _) in enumerate(log) if x == s)
         expected += [(i, p, len(mine)) for p, (_, i) in enumerate(mine)]
-    got = rows(with_positions(events(log), hot_rows), "event_id", "position", "session_length")
+    got = rows(with_positions(events(log)), "event_id", "position", "session_length")
     assert got == sorted(expected)

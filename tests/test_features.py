@@ -30,7 +30,7 @@ def test_popularity_is_the_average_rank(spark, events):
 def test_feature_counts_and_no_missing_values(events, edges, spark):
     log = random_log(2)
     df = events(log)
-    candidates = df.select("session", "aid").distinct().withColumn("chris_rank", F.col("aid") % 5)
+    candidates = df.select("session", "aid").distinct().withColumn("candidate_pos", F.col("aid") % 5)
     links = edges([(x, y, x + y) for x in range(9) for y in range(9) if x != y])
     vectors = spark.createDataFrame(
         [(a, *[float((a * i) % 7) for i in range(10)]) for a in range(9)],
@@ -80,7 +80,7 @@ def test_last_item_edge_is_cut_to_an_integer_and_scaled(events, spark):
 def test_session_vectors_skip_items_without_a_vector(events, spark):
     df = events([(1, 1, 0, 0), (1, 2, 1, 0), (1, 99, 2, 0)])
     vectors = spark.createDataFrame([(1, 2.0), (2, 6.0)], "aid INT, svd_0 DOUBLE")
-    out = vec.features_vector_session(df, vectors, dims=1)
+    out = vec.features_vector_session(df, vectors)
     assert rows(out) == [(1, 6.0, 4.0, 4.0)]
 
 

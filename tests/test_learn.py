@@ -32,7 +32,7 @@ def vectors(frame):
     return learn.to_vectors(frame, FEATURES, folds=2)
 
 
-PARAMS = learn.BoostedParams(maxIter=5, maxDepth=3, stepSize=0.3, minInstancesPerNode=5, featureSubsetStrategy="all")
+PARAMS = learn.BoostedParams(max_trees=5, early_stopping_rounds=3, maxDepth=3, stepSize=0.3, minInstancesPerNode=5, featureSubsetStrategy="all")
 
 
 @pytest.fixture(scope="module")
@@ -93,6 +93,36 @@ def test_ranker_stops_early(vectors):
     assert model.getNumTrees < 12
 
 
+def test_boosting_waits_for_a_later_gain(vectors):
+    """The best round is kept, also where an earlier round was worse than the one before it."""
+    noisy = vectors.withColumn("label", F.when(F.xxhash64("session", "aid") % 4 == 0, 1.0 - F.col("target")).otherwise(F.col("target").cast("double")))
+    train, valid = (noisy.where(F.col("fold") == k).select("features", "label") for k in (0, 1))
+    params = learn.BoostedParams(early_stopping_rounds=12, stepSize=0.6, maxDepth=3, minInstancesPerNode=2, subsamplingRate=0.3, featureSubsetStrategy="all")
+    losses = params.learner().setMaxIter(24).fit(train).evaluateEachIteration(valid)
+    best = min(range(24), key=losses.__getitem__)
+    model = learn.boost(train, valid, params)
+    kept = model.evaluateEachIteration(valid)
+    assert len(kept) >= best + 1 and kept[: best + 1] == pytest.approx(losses[: best + 1])
+    assert kept[-1] == min(kept)
+    first_worse = next(i for i in range(1, 24) if losses[i] > losses[i - 1])
+    assert first_worse < 23 and (best > first_worse or best + 1 == len(kept))
+
+
+def test_all_pairs_of_a_session(spark):
+    scored = spark.createDataFrame([(1, 1, 0.5), (1, 0, 0.1), (1, 0, 0.2), (2, 1, 1.0), (3, 0, 1.0)], "session BIGINT, target INT, score DOUBLE")
+    assert [(s, round(m, 6)) for s, m in rows(learn.all_pairs(scored))] == [(1, 0.3), (1, 0.4)]
+    assert learn.pair_loss(learn.all_pairs(scored.where("session > 1"))) is None
+
+
+def test_folds_of_ids_near_the_end_of_the_range(spark):
+    ids = [0, 1, 2**63 - 1, -(2**63), 2 * 10**15]
+    log = spark.createDataFrame([(s, a, 0) for s in ids for a in ids], "session BIGINT, aid BIGINT, target INT")
+    got = {(r[0], r[1]): r[2] for r in rows(sampling.group_kfold(log), "session", "aid", "fold")}
+    assert got == {(s, a): (s * 7919 + 42) % 5 for s in ids for a in ids}
+    sampling.downsample_negatives(log, 2, share=0.5).count()
+    sampling.downsample_negatives_exact(log.withColumn("target", (F.col("aid") == 1).cast("int")), 1).count()
+
+
 def test_fold_without_positives(vectors):
     one_sided = vectors.withColumn("target", F.when(F.col("fold") == 0, 0).otherwise(F.col("target")))
     with pytest.raises(ValueError, match="no positives outside fold 1"):

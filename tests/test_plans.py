@@ -1,12 +1,12 @@
 """A phase, three models and the submission, end to end."""
 
 import os
-import shutil
 
 import pytest
 
 from basketweave.operators import learn
 from basketweave.plans import models, phases
+from basketweave.session import stage
 from basketweave.sources import tables
 from checks import views as fx
 
@@ -14,7 +14,7 @@ DATA = "/root/testdata/sf0.01"
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test data not present")
 LIMITS = phases.Limits(edges_per_item=10, additional=24, candidates=20, vector_size=12, vector_dims=10)
-PARAMS = learn.BoostedParams(maxIter=1, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, featureSubsetStrategy="all")
+PARAMS = learn.BoostedParams(max_trees=1, early_stopping_rounds=1, maxDepth=3, stepSize=0.3, minInstancesPerNode=2, featureSubsetStrategy="all")
 
 
 def test_whole_run(spark, tmp_path):
@@ -23,8 +23,13 @@ def test_whole_run(spark, tmp_path):
     phases.build_phase(known, seen, root, "train", fx.T0, fx.T2, LIMITS)
     vectors = tables.load_item_vectors(spark, root, "train")
     assert vectors.count() == known.select("aid").distinct().count()
-    for folder in ("candidates", "features"):  # the same log stands in for the test phase
-        shutil.copytree(f"{root}/{folder}/phase=train", f"{root}/{folder}/phase=test")
+    assert tables.load_item_vectors(spark, root, "train").columns == ["aid", *[f"svd_{i}" for i in range(10)]]
+    # The same log stands in for the test phase, with its scaled matrix features.
+    phases.build_phase(known, seen, root, "test", fx.T0, fx.T2, LIMITS, vectors=stage(vectors, "vectors"))
+    scaled, plain = (spark.read.parquet(f"{root}/features/phase={p}/table=matrix").select("session", "aid", "wgt_buys_sum_lastall") for p in ("test", "train"))
+    both = scaled.join(plain.withColumnRenamed("wgt_buys_sum_lastall", "whole"), ["session", "aid"])
+    assert both.where("abs(wgt_buys_sum_lastall - whole * 7 / 9) > 1e-6").count() == 0
+    assert spark.read.csv(f"{root}/reports/candidates-train-buys", header=True).count() == 1
 
     frame = phases.load_frame(spark, root, "train", 2, labels)
     assert len(learn.feature_columns(frame)) == 223
@@ -34,6 +39,8 @@ def test_whole_run(spark, tmp_path):
         recall = models.train_and_evaluate(spark, root, type_id, labels, folds=2, params=PARAMS, recall_k=5).first()
         assert 0 < recall["hits"] <= recall["gt_count"]
         models.predict(spark, root, type_id, folds=2)
+    score = models.local_score(spark, root, labels, recall_k=5).first()
+    assert 0 < score["score"] <= 1 and score["recall_orders"] > 0
     sessions = seen.select("session").distinct().count()
     assert models.make_submission(spark, root) == {"rows": 3 * sessions}
     combined = tables.load_submission(spark, f"{root}/submissions/combined")
@@ -41,6 +48,28 @@ def test_whole_run(spark, tmp_path):
     assert os.path.isdir(f"{root}/models/orders-classifier/importance")
 
 
+@pytest.mark.parametrize("dims", [4, 16])
+def test_vector_dimensions_reach_every_table(spark, dims):
+    from basketweave.operators import vector_features as vec
+
+    seen = fx.fx_observed(spark, DATA)
+    vectors = fx.fx_item_vectors(spark, DATA).select("aid", *[f"svd_{i}" for i in range(dims)])
+    item, session = vec.features_vector_item(vectors), vec.features_vector_session(seen, vectors)
+    pair = vec.features_vector_pair(seen.select("session", "aid").distinct(), item, session)
+    assert (len(item.columns), len(session.columns), len(pair.columns)) == (1 + dims, 1 + 3 * dims, 2 + 3 * (dims + 1))
+    assert pair.count() == seen.select("session", "aid").distinct().count()
+
+
+def test_a_bad_table_does_not_replace_a_good_one(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    tables.save_parquet(spark.range(5), path, checked=True)
+    with pytest.raises(ValueError, match="null"):
+        tables.save_parquet(spark.range(3).selectExpr("nullif(id, 1) AS id"), path, checked=True)
+    assert spark.read.parquet(path).count() == 5 and os.listdir(tmp_path) == ["t"]
+    tables.save_parquet(spark.range(7), path, checked=True)
+    assert spark.read.parquet(path).count() == 7
+
+
 def test_arguments_are_checked(spark):
     with pytest.raises(ValueError, match="phase"):
         tables.load_covisit(spark, "x", "dev", "buys")

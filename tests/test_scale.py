@@ -11,7 +11,7 @@ from basketweave.operators import features as ft
 from basketweave.operators import matrix_features as mx
 from basketweave.operators import vector_features as vec
 from basketweave.operators.learn import attach
-from basketweave.operators.recency import latest_events, with_positions
+from basketweave.operators.recency import latest_events, ranked_runs, with_positions
 from basketweave.session import build_session, drop_stage, shared_dir, stage, write_stage
 from tests.conftest import rows
 
@@ -49,7 +49,7 @@ def links(spark):
 
 
 def operators(log, links):
-    cands = log.select("session", "aid").distinct().withColumn("chris_rank", F.lit(0))
+    cands = log.select("session", "aid").distinct().withColumn("candidate_pos", F.lit(0))
     kinds = {k: links for k in mx.KINDS}
     return {
         "buy2buy": cv.covisit_buy2buy(log),
@@ -91,12 +91,32 @@ def test_newest_rows_are_cut_before_the_shuffle(log, n):
     assert exchange < partial  # plans read bottom up
 
 
-def test_hot_session_is_split_by_second(log):
-    whole = rows(with_positions(log, hot_rows=10**9), "event_id", "position", "session_length")
-    split = with_positions(log, hot_rows=1000)
-    assert rows(split, "event_id", "position", "session_length") == whole
-    spread = split.where("session = 0").select("ts").distinct().count()
-    assert spread > 10_000
+@pytest.mark.parametrize("seconds", [1, 1_000_000])
+def test_hot_session_is_split_by_ranges(log, conf, seconds):
+    """No range holds much of the hot session, even where all its events carry the same second."""
+    conf(spark__sql__adaptive__coalescePartitions__enabled="false")
+    same = log.withColumn("ts", F.col("ts") % seconds)
+    mine = same.where("session = 0").select("ts", "event_id").toPandas().sort_values(["ts", "event_id"])
+    got = with_positions(same).where("session = 0").select("event_id", "position", "session_length").toPandas().sort_values("position")
+    assert got.event_id.tolist() == mine.event_id.tolist() and got.position.tolist() == list(range(len(mine)))
+    assert set(got.session_length) == {len(mine)}
+    sizes = ranked_runs(same).where("session = 0").groupBy("run").count().toPandas()["count"]
+    assert sizes.max() < 0.6 * sizes.sum()
+
+
+def test_last_matrix_and_merge_bound_hot_keys(log, links, skewed, tmp_path, spark):
+    """Sessions that end on a popular item are split; candidates are cut before the session shuffle."""
+    i = F.col("id")
+    ends = spark.range(60_000).select(i.alias("session"), F.when(i % 3 > 0, 0).otherwise(i % 997).cast("int").alias("aid"), i.alias("ts"), F.lit(0).alias("type"), i.alias("event_id"))
+    ends.write.parquet(f"{tmp_path}/log")
+    stored = spark.read.parquet(f"{tmp_path}/log").repartition(16)
+    kinds = {k: stage(links, "links") for k in mx.KINDS}
+    cands = stored.select("session", "aid")
+    assert "skew=true" in plan(mx.features_matrix_last(cands, stored, kinds))
+    own = log.select("session", "aid").distinct().withColumn("session_score", F.lit(1.0))
+    more = log.select("session", (F.col("aid") + 1).alias("aid")).distinct().withColumn("wgt", F.lit(1))
+    text = initial_plan(cand.merge_candidates(own, more, 10))
+    assert "WindowGroupLimit" in text[text.index("== Physical Plan =="):]
 
 
 @pytest.fixture()
@@ -192,9 +212,10 @@ class FakeSession:
 
 
 def test_unset_folder_is_an_error_on_a_cluster_only():
-    assert "basketweave-" in shared_dir(FakeSession("local[4]"))
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(FakeSession("yarn"))
+    assert shared_dir(FakeSession("local[4]")).startswith("spark-warehouse/shared-")
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(FakeSession(master))
 
 
 def test_session_defaults_do_not_override_the_caller(spark):
