@@ -33,7 +33,7 @@ ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß",
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t"}
 WILD = "*"
 # Costs of the noisy channel, in nats.
-SIGN_COST, DROP_COST, WILD_COST, RUN_COST, PAIR_COST, JOIN_COST, SPLIT_COST = 1.0, 3.0, 3.0, 0.5, 5.0, 0.2, 1.5
+SIGN_COST, DROP_COST, WILD_COST, RUN_COST, PAIR_COST, JOIN_COST, SPLIT_COST = 1.0, 3.0, 3.0, 0.5, 9.0, 0.2, 1.5
 BEAM = 48
 
 
@@ -305,6 +305,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 def _regress(sample: DataFrame, model: Model, scratch: Scratch) -> tuple[float, list[float]]:
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.linalg import Matrices
 
     shared, size = sample.sparkSession.sparkContext.broadcast(model), len(model.places)
 
@@ -319,7 +320,9 @@ def _regress(sample: DataFrame, model: Model, scratch: Scratch) -> tuple[float,
             yield pa.RecordBatch.from_arrays([labels, pa.array(list(out), pa.list_(pa.float64()))], ["label", "values"])
 
     rows = scratch.put(map_arrow(sample.select("text", "toxic"), vectors, "label double, values array<double>"), "toxicity-vectors")
-    fitted = LogisticRegression(regParam=REGULARISATION, standardization=False, maxIter=100, tol=1e-5).fit(rows.select("label", array_to_vector("values").alias("features")))
+    learner = LogisticRegression(regParam=REGULARISATION, standardization=False, maxIter=100, tol=1e-5)
+    learner.setLowerBoundsOnCoefficients(Matrices.dense(1, size, [0.0] * size))  # no telling feature speaks for a text
+    fitted = learner.fit(rows.select("label", array_to_vector("values").alias("features")))
     scratch.drop("toxicity-vectors")
     return float(fitted.intercept), [float(w) for w in fitted.coefficients.toArray()]
 
