@@ -38,30 +38,27 @@ def runs_needed(recall: float, threshold: float, levels: int = LEVELS, chosen: f
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alive)))
 
 
-def chosen_paths(shingles: np.ndarray, runs: int, levels: int = LEVELS, chosen: float = CHOSEN) -> list[list[int]]:
-    """The branches of the recursion tree that the set takes, each as its nodes from the top, cut off where they end.
+def chosen_nodes(shingles: np.ndarray, runs: int, levels: int = LEVELS, chosen: float = CHOSEN) -> tuple[list[list[int]], list[list[int]]]:
+    """The nodes of the recursion tree that the set reaches, per level: their parents, and themselves.
 
     At a node the set takes the shingles whose hash, keyed by the node, is among the lowest chosen / size part
     of all hashes. Two sets of like size thus take the same shared shingles.
     """
     if not len(shingles):
-        return []
+        return [[] for _ in range(levels)], [[] for _ in range(levels)]
     most = _U(min((1 << 64) - 1, int(chosen / len(shingles) * 2.0**64)))
-    out, stack = [], [(mix(np.array([r + 1], _U))[0], []) for r in range(runs)]
-    while stack:
-        node, path = stack.pop()
-        if len(path) == levels:
-            out.append(path)
-            continue
-        h = mix(shingles ^ node)
-        taken = h[h <= most]
-        if not len(taken):
-            if path:
-                out.append(path)
-            continue
-        for child in mix(taken + _U(int(node) * 3 & MASK)):
-            stack.append((child, path + [int(child.astype(np.int64))]))
-    return out
+    above, parents, nodes = list(mix(np.arange(1, runs + 1, dtype=_U))), [], []
+    for _ in range(levels):
+        up, at = [], []
+        for node in above:
+            h = mix(shingles ^ node)
+            children = mix(h[h <= most] + _U(int(node) * 3 & MASK))
+            up += [node] * len(children)
+            at += list(children)
+        parents.append(np.array(up, _U).astype(np.int64).tolist())
+        nodes.append(np.array(at, _U).astype(np.int64).tolist())
+        above = at
+    return parents, nodes
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -76,7 +73,7 @@ def sketch(shingles: np.ndarray) -> bytes:
 
 
 def _describe(docs: DataFrame, runs: int, words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_key, node (names the shingle set), n, sketch, paths: one pass over the whole texts."""
+    """doc_id, text_key, node (names the shingle set), n, sketch, parents and branches per level: one pass over the whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.list_(pa.int64()))
@@ -84,19 +81,21 @@ def _describe(docs: DataFrame, runs: int, words: int, id_col: str, text_col: str
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
                 sets = shingle_sets(part.column("text").to_pylist(), words)
+                reached = [chosen_nodes(s, runs) for s in sets]
                 columns = [
                     part.column("doc_id"),
                     part.column("text_key"),
                     pa.array([set_key(s) for s in sets], pa.int64()),
                     pa.array([len(s) for s in sets], pa.int32()),
                     pa.array([sketch(s) for s in sets], pa.binary()),
-                    pa.array([chosen_paths(s, runs) for s in sets], kind),
+                    pa.array([up for up, _ in reached], kind),
+                    pa.array([at for _, at in reached], kind),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "sketch", "paths"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "node", "n", "sketch", "parents", "branches"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_key"), text_or_empty(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return map_arrow(rows, run, f"doc_id {kind}, text_key bigint, node bigint, n int, sketch binary, paths array<array<bigint>>")
+    return map_arrow(rows, run, f"doc_id {kind}, text_key bigint, node bigint, n int, sketch binary, parents array<array<bigint>>, branches array<array<bigint>>")
 
 
 def _cells(rows: DataFrame, key: str, size: Column, limit: int) -> DataFrame:
@@ -237,18 +236,16 @@ def _sets_of(rows: DataFrame, words: int, columns: list[str]) -> DataFrame:
 
 def _buckets(leaders: DataFrame, levels: int, limit: int, scratch: Scratch) -> DataFrame:
     """bucket, node, size: each branch is followed until its bucket is small, or to its end."""
-    paths = leaders.select("node", F.explode("paths").alias("path"))
-    paths = scratch.put(paths.select("node", *[F.get("path", F.lit(k)).alias(f"p{k}") for k in range(levels)]), "paths")
-    parts, open_paths = [], paths
+    parts, large = [], None
     for k in range(levels):
-        p = f"p{k}"
-        members = open_paths.filter(F.col(p).isNotNull()).select(F.col(p).alias("bucket"), "node").distinct()
+        zipped = F.arrays_zip(F.get("parents", F.lit(k)).alias("parent"), F.get("branches", F.lit(k)).alias("bucket"))
+        members = leaders.select("node", F.inline(zipped))
+        if large is not None:  # only what lies below a large bucket
+            members = scratch.put(members.join(large, "parent").select("node", "bucket"), f"below-{k}")
         sizes = scratch.put(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), f"sizes-{k}")
         small = sizes if k == levels - 1 else sizes.filter(F.col("size") <= limit)
-        parts.append(members.join(small, "bucket"))
-        if k < levels - 1:
-            large = sizes.filter(F.col("size") > limit).select(F.col("bucket").alias(p))
-            open_paths = scratch.put(open_paths.join(large, p), f"large-{k}")
+        parts.append(members.select("bucket", "node").join(small, "bucket"))
+        large = sizes.filter(F.col("size") > limit).select(F.col("bucket").alias("parent"))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -296,7 +293,7 @@ def near_duplicates(
     lead = runs.select("node", "run", F.col("first.doc_id").alias("lead_id"), F.col("first.text_key").alias("lead_key"))
     mine = rows.withColumn("run", salt("doc_id", salts)).join(lead, ["node", "run"])
     mine = mine.filter(F.col("doc_id").eqNullSafe(F.col("lead_id")) & (F.col("text_key") == F.col("lead_key")))
-    leaders = scratch.put(mine.select("lead_id", "lead_key", "node", "n", "sketch", "paths").dropDuplicates(["node"]), "leaders")
+    leaders = scratch.put(mine.select("lead_id", "lead_key", "node", "n", "sketch", "parents", "branches").dropDuplicates(["node"]), "leaders")
 
     buckets = _buckets(leaders, LEVELS, BUCKET, scratch)
     cells = _cells(buckets, "bucket", F.col("size"), BUCKET).join(leaders.select("node", "n", "sketch"), "node")
