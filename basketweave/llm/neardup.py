@@ -19,8 +19,9 @@ THRESHOLD = 0.8
 RECALL = 0.995
 #: Depth of the recursion, and shingles that a set samples at each step on average.
 LEVELS, CHOSEN = 3, 1.4
-#: A bucket of at most so many sets is compared at once; a larger one is split deeper, then cut into blocks.
-BUCKET = 256
+#: A bucket of at most so many sets is compared at once; a larger one is split deeper, then cut into blocks. Blocks of
+#: sketches are larger than blocks of whole sets: a group is copied once for each of its blocks.
+BUCKET, SKETCH_BLOCK = 256, 1024
 #: Bins of a set's sketch. A pair is kept for the exact comparison unless its sketches disagree by five deviations.
 BINS, DEVIATIONS = 64, 5.0
 _U = np.uint64
@@ -296,7 +297,7 @@ def near_duplicates(
     leaders = scratch.put(mine.select("lead_id", "lead_key", "node", "n", "sketch", "parents", "branches").dropDuplicates(["node"]), "leaders")
 
     buckets = _buckets(leaders, LEVELS, BUCKET, scratch)
-    cells = _cells(buckets, "bucket", F.col("size"), BUCKET).join(leaders.select("node", "n", "sketch"), "node")
+    cells = _cells(buckets, "bucket", F.col("size"), SKETCH_BLOCK).join(leaders.select("node", "n", "sketch"), "node")
     likely = _each_cell(cells, "bucket", ["node", "n", "sketch"], like_sketches(threshold), "a bigint, b bigint")
     groups = components(likely.distinct(), scratch, "likely")
     groups = scratch.put(groups, "groups")

@@ -61,6 +61,7 @@ def test_copies_edits_and_shared_passages(spark):
 
 def test_a_group_larger_than_a_bucket(spark, monkeypatch):
     monkeypatch.setattr(neardup, "BUCKET", 16)
+    monkeypatch.setattr(neardup, "SKETCH_BLOCK", 32)
     base = " ".join(words(120, 5, 5000))
     texts = [edited(base, 0.01, k) for k in range(90)] + [" ".join(words(50, 100 + k, 5000)) for k in range(30)]
     check(spark, list(enumerate(texts)))
