@@ -207,9 +207,9 @@ def symbol_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def language_model(grams: DataFrame) -> array:
     """-log P(symbol | three before), each order smoothed by the next lower one. At most 2^20 counts reach the driver."""
-    table = grams.toPandas()
+    table = grams.toArrow()
     n = np.zeros(1 << BITS * ORDER)
-    n[table["gram"].to_numpy(np.int64)] = table["n"].to_numpy(np.float64)
+    n[table["gram"].to_numpy()] = table["n"].to_numpy()
     k = 1 << BITS
     lower = np.full(k, 1 / 27)
     lower[27:] = 1e-9
