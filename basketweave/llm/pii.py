@@ -18,7 +18,17 @@ DATE = r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([/.])\d{2}\2\d{4})(?![\w-]|[/.]\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\w-])"
 CARD = r"\d(?:[ -]?\d){12,18}(?![\w-])"
 PHONE = r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\w-])|\+\d{11,15}(?!\w)"
-SHAPES = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL}|{IPV4}|{DATE}|{SSN}|{CARD}|{PHONE})"
+# Groups of digits in a row, 13 digits or more unless something else begins inside. What they hold is decided by ``_parts``.
+ELSE = rf"{EMAIL}|{IPV4}|\d{{4}}([/.])\d{{2}}\3\d{{2}}(?!\w)|\d{{2}}([/.])\d{{2}}\4\d{{4}}(?!\w)|\d{{3}}[ .-]\d{{3}}\.\d{{4}}(?!\w)|\d{{3}}\.\d{{3}}[ -]\d{{4}}(?!\w)"
+GROUP = r"\d++(?!\w|-(?!\d))"
+RUN = rf"(?=\d(?:[ -]?\d){{12}}){GROUP}(?:[ -](?!{ELSE}){GROUP})*+(?!-\d*+\w)"
+SHAPES = rf"(?<![A-Za-z0-9._%+-])(?:{EMAIL}|{IPV4}|{DATE}|{SSN}|{RUN}|{PHONE})"
+#: How cards are mostly grouped; four by four and more, which may be a card and its check number; groups of three digits or more.
+USUAL = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{1,3})?|\d{4}([ -])\d{6}\2\d{4,5}|\d{4}([ -])\d{4}\3\d{4}\3\d|\d{4}([ -])\d{3}\4\d{3}\4\d{3})$"
+LONGER = r"^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]"
+WIDE = r"^\d{3,}+(?:[ -]\d{3,}+)*+$"
+#: Most digits of a value inside a run.
+MOST_DIGITS = 19
 
 KINDS = ("email", "ip", "date", "ssn", "card", "phone")
 
@@ -125,6 +135,61 @@ def _kind(raw: Column, digits: Column) -> Column:
     )
 
 
+def _parts(run: Column) -> Column:
+    """The run of digit groups in parts (raw, digits, kind), in order; those without kind stay as they are.
+
+    Every stretch of whole groups is tried, so a valid value is found whatever numbers stand beside it. Where valid
+    stretches overlap, these go first: cards in their usual groups (first those of 16 digits or fewer groups that begin with 3 to 6), the run as
+    a whole, other kinds, cards in groups of three digits or more, cards in any groups at an end of the run.
+    """
+    groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
+    none = "array<struct<rank:int,start:int,size:int,raw:string,digits:string,kind:string>>"
+
+    def stretches(g: Column) -> Column:
+        n = F.size(g)
+
+        def tried(i: Column) -> Column:
+            most = F.least(n - i + 1, F.lit(MOST_DIGITS))
+            return F.transform(F.sequence(F.lit(1), most), lambda k: F.struct(i.alias("start"), k.alias("size"), F.array_join(F.slice(g, i, k), "").alias("text")))
+
+        bare = lambda x: F.regexp_replace(x["text"], "^[ -]", "")
+        each = F.flatten(F.transform(F.sequence(F.lit(1), n), tried))
+        each = F.transform(each, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), bare(x).alias("raw"), _digits(x["text"]).alias("digits")))
+        each = F.filter(each, lambda x: F.length(x["digits"]).between(8, MOST_DIGITS))
+        each = F.transform(each, lambda x: F.struct(x["start"].alias("start"), x["size"].alias("size"), x["raw"].alias("raw"), x["digits"].alias("digits"), _kind(x["raw"], x["digits"]).alias("kind")))
+        each = F.filter(each, lambda x: x["kind"].isNotNull())
+
+        def rank(x: Column) -> Column:
+            usual, whole = x["raw"].rlike(USUAL), x["size"] == n
+            at_end = (x["start"] == 1) | (x["start"] + x["size"] - 1 == n)
+            card = F.when(usual & x["digits"].rlike("^[3-6]") & ~x["raw"].rlike(LONGER), 0).when(usual, 1).when(whole, 2).when(x["raw"].rlike(WIDE), 4).when(at_end, 5)
+            return F.when(x["kind"] == "card", card).when(whole, 2).otherwise(3)
+
+        # Longest first among those of one rank and start.
+        ranked = F.transform(each, lambda x: F.struct(rank(x).alias("rank"), x["start"].alias("start"), (-x["size"]).alias("size"), x["raw"].alias("raw"), x["digits"].alias("digits"), x["kind"].alias("kind")))
+        return F.array_sort(F.filter(ranked, lambda x: x["rank"].isNotNull())).cast(none)
+
+    def chosen(g: Column) -> Column:
+        apart = lambda a, b: (a["start"] >= b["start"] - b["size"]) | (b["start"] >= a["start"] - a["size"])
+        best = F.aggregate(stretches(g), F.array().cast(none), lambda got, x: F.when(F.forall(got, lambda y: apart(x, y)), F.concat(got, F.array(x))).otherwise(got))
+        return F.transform(F.array(best), lambda b: pieces(g, b))[0]
+
+    def pieces(g: Column, best: Column) -> Column:
+        """Each group that no value covers, and each value where it begins, with the separator before it on its own."""
+
+        def at(i: Column) -> Column:
+            text = g[i - 1]
+            lead = F.struct(F.regexp_extract(text, "^[ -]?", 0).alias("raw"), F.lit("").alias("digits"), F.lit(None).cast("string").alias("kind"))
+            plain = F.struct(text.alias("raw"), F.lit("").alias("digits"), F.lit(None).cast("string").alias("kind"))
+            here = F.filter(best, lambda y: (y["start"] <= i) & (i < y["start"] - y["size"]))
+            value = F.struct(here[0]["raw"].alias("raw"), here[0]["digits"].alias("digits"), here[0]["kind"].alias("kind"))
+            return F.when(F.size(here) == 0, F.array(plain)).when(here[0]["start"] == i, F.array(lead, value)).otherwise(F.array().cast("array<struct<raw:string,digits:string,kind:string>>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(1), F.size(g)), at))
+
+    return F.transform(F.array(groups), chosen)[0]
+
+
 def _refill(raw: Column, digits: Column) -> Column:
     """``raw`` with its digits replaced, in order, by ``digits``."""
     place = lambda i: F.length(_digits(raw.substr(F.lit(1), i)))
@@ -195,7 +260,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
 
     E-mail addresses (their local part), IPv4 addresses, dates, social security numbers, Luhn-valid card numbers
     and telephone numbers are replaced by values of the same format, the same everywhere for one key, so equal
-    values stay linked. Numbers that fail their check (Luhn, octets, calendar) stay as they are. Each row is
+    values stay linked. Numbers that fail their check (Luhn, octets, calendar) stay as they are; digit
+    groups beside each other are tried in all stretches, so a valid value is found next to other numbers. Each row is
     handled alone: nothing is shuffled, and a frequent value costs no more than others. A null text counts as
     empty; an empty table gives no rows. The key is a secret that the caller passes.
     """
@@ -204,11 +270,15 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     # The array of matches is cut off from the text in steps, so that each expression is evaluated once per match.
     found = F.when(F.col("text").rlike("[0-9@]"), F.regexp_extract_all("text", F.lit(SHAPES), F.lit(0))).otherwise(F.array().cast("array<string>"))
     split = F.transform(found, lambda m: F.struct(m.alias("raw"), _digits(m).alias("digits")))
-    kinds = F.transform(split, lambda x: F.struct(x["raw"].alias("raw"), x["digits"].alias("digits"), _kind(x["raw"], x["digits"]).alias("kind")))
-    done = F.transform(kinds, lambda x: F.struct(x["kind"].alias("kind"), _pseudonym(x, key).alias("new")))
-    rows = rows.withColumn("found", done)
+    # Runs that aren't valid as they stand are cut in parts; all else is one part.
+    whole = lambda x: F.array(F.struct(x["raw"].alias("raw"), x["digits"].alias("digits"), _kind(x["raw"], x["digits"]).alias("kind")))
+    mixed = lambda x: x["raw"].rlike(r"^[\d -]++$") & x["raw"].rlike("[ -]") & (F.length(x["digits"]) > 10) & ~(x["raw"].rlike(USUAL) & (luhn_sum(x["digits"], False) % 10 == 0))
+    kinds = F.transform(split, lambda x: F.when(mixed(x), _parts(x["raw"])).otherwise(whole(x)))
+    done = F.transform(kinds, lambda parts: F.transform(parts, lambda x: F.struct(x["kind"].alias("kind"), _pseudonym(x, key).alias("new"))))
+    rows = rows.withColumn("places", done).withColumn("found", F.flatten("places"))
     gaps = F.split("text", SHAPES, -1)
-    joined = F.array_join(F.zip_with(gaps, F.col("found"), lambda g, x: F.concat(g, F.coalesce(x["new"], F.lit("")))), "")
+    filled = lambda g, parts: F.concat(g, F.coalesce(F.array_join(F.transform(parts, lambda x: x["new"]), ""), F.lit("")))
+    joined = F.array_join(F.zip_with(gaps, F.col("places"), filled), "")
     return rows.select(
         "doc_id",
         F.when(F.size("found") == 0, F.col("text")).otherwise(joined).alias("text"),

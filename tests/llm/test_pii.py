@@ -44,6 +44,31 @@ def test_invalid_values_stay(spark):
     assert changed(spark, *texts) == texts
 
 
+def test_valid_values_next_to_other_numbers_change(spark):
+    card, amex = "4111 1111 1111 1111", "3400 000000 00009"
+    new_card, new_amex, new_phone, new_ssn, new_date = changed(spark, card, amex, "555-123-4567", "078-05-1120", "1984-02-29")
+    forms = {card: new_card, "4111111111111111": new_card.replace(" ", ""), amex: new_amex, "555-123-4567": new_phone, "078-05-1120": new_ssn, "1984-02-29": new_date}
+    texts = [
+        "{0} 123", "4111111111111111 12/26", "12 {0}", "2024 {0}", "{0} 2024 {0}", "12-31 {0} 7 {0} 5", "555-123-4567 1234", "12345678 555-123-4567", "{0} 555-123-4567",
+        "078-05-1120 {0}", "1 2 3 {0} 078-05-1120 99", "{0} 1984-02-29 5", "{1} 1234", "99 {1} 555-123-4567 7", "{0} 2nd", "1234 4111111111111111, 5", "5 {0} 6 {1} 7",
+    ]
+    texts = [t.format(card, amex) for t in texts]
+    want = []
+    for t in texts:
+        for i, old in enumerate(forms):
+            t = t.replace(old, f"<{i}>")
+        for i, new in enumerate(forms.values()):
+            t = t.replace(f"<{i}>", new)
+        want.append(t)
+    assert changed(spark, *texts) == want
+    mail, dotted = changed(spark, f"{card} 55@example.org", f"{card} 555.123.4567")
+    assert mail.startswith(new_card + " ") and mail.endswith("@example.org") and dotted.startswith(new_card + " ") and "123.4567" not in dotted
+    row = pii.pseudonymise(make_docs(spark, [f"12 {card} 555-123-4567 9"]), "k").first()
+    assert (row["n_card"], row["n_phone"]) == (1, 1)
+    left = ["12345678-1234-1234-1234-123456789abc", " ".join("1234" for _ in range(3000)), "4111 1111 1111 1112 123 7"]
+    assert changed(spark, *left) == left
+
+
 def test_equal_values_stay_linked_and_keys_differ(spark):
     a, b = changed(spark, "x 4111111111111111 y 4111-1111-1111-1111", "z 4111111111111111")
     assert re.findall(r"\d{16}", a) == re.findall(r"\d{16}", b)
