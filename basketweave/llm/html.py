@@ -1,10 +1,11 @@
-"""Main text of web pages: structure marks what is an article, a suffix array per host finds what repeats outside it."""
+"""Main text of web pages: structure marks what is an article, hashed runs of tokens per host tell what repeats outside it."""
 
 from __future__ import annotations
 
 import html as entities
 import re
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,6 @@ from .shingles import combine, hashed_words
 
 #: Tokens of the shortest repeated substring, and distinct pages of the host that must hold it.
 LONG, LEAST_PAGES = 8, 3
-#: A page whose open text repeats to this share is a copy of other pages, not boilerplate: its text stays.
-COPY_SHARE = 0.8
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|</?[a-zA-Z][^>]*$""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -131,15 +130,23 @@ def blocks(page: str) -> list[tuple[str, list[str]]]:
     return out
 
 
-def suffixes(page: str) -> tuple[np.ndarray, np.ndarray]:
-    """For each token outside the article, hash of the LONG tokens from there on, and whether one of them is open text."""
-    stream = [(z, t) for z, tokens in blocks(page) if z != "main" for t in tokens]
+def runs(page: str) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """For each token outside the article, hash of the LONG tokens from there on, and whether one of them is open text.
+
+    Then a hash of all tokens that hold a letter, which copies of a page share; None where the page has an article.
+    """
+    found = blocks(page)
+    stream = [(z, t) for z, tokens in found if z != "main" for t in tokens]
     if len(stream) < LONG:
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.int64), np.zeros(0, bool), None
     ((_, words, _),) = list(hashed_words([" ".join(t for _, t in stream)]))
     is_open = np.array([z == "open" for z, _ in stream])
     near = np.convolve(is_open, np.ones(LONG, int))[LONG - 1 : len(stream)] > 0
-    return combine(words, LONG).astype(np.int64), near
+    content = None
+    if len(stream) == sum(len(tokens) for _, tokens in found):
+        told = " ".join(t for _, t in stream if any(map(str.isalpha, t)))
+        content = int.from_bytes(blake2b(told.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+    return combine(words, LONG).astype(np.int64), near, content
 
 
 def main_text(page: str, repeated: list[int]) -> str:
@@ -151,9 +158,6 @@ def main_text(page: str, repeated: list[int]) -> str:
         covered[p] += 1
         covered[min(p + LONG, len(stream))] -= 1
     covered = np.cumsum(covered)[:-1] > 0
-    is_open = np.array([z == "open" for z in stream], bool)
-    if is_open.any() and (covered & is_open).sum() >= COPY_SHARE * is_open.sum() and not any(z == "main" for z, _ in found):
-        covered[:] = False
     kept, at = [], 0
     for z, tokens in found:
         if z == "main":
@@ -172,7 +176,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     headers, footers, sidebars, notices, adverts, forms and comments. All text outside the article forms the
     page's token stream. The suffixes of the streams of a host are ordered by their first ``LONG`` tokens: equal
     neighbours from ``LEAST_PAGES`` distinct pages are repeated substrings, and open text (which structure says
-    nothing about) that they cover goes, unless the page consists of little else. Article text is never cut.
+    nothing about) that they cover goes, however little is left. Article text is never cut. Pages without an article that are equal but for tokens
+    without letters (numbers, dates) are copies and count as one page, so what only copies share isn't boilerplate.
 
     Suffixes of one host and beginning are counted by a partial aggregation, so a host that holds most pages is
     spread over all tasks. A null page counts as empty, a null url as no host; rows that repeat a page wholly
@@ -185,19 +190,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for page, host, text in zip(b.column("page").to_pylist(), b.column("host").to_pylist(), b.column("html").to_pylist()):
-                starts, near = suffixes(text)
+                starts, near, content = runs(text)
                 out[0].append(np.full(len(starts), host))
                 out[1].append(starts)
                 out[2].append(np.full(len(starts), page))
                 out[3].append(np.arange(len(starts), dtype=np.int32))
                 out[4].append(near)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else []).cast(t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()))], ["host", "start", "page", "place", "open"])
+                out[5].append(np.full(len(starts), page if content is None else content))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else []).cast(t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()))], ["host", "start", "page", "place", "open", "content"])
 
-    suffix = scratch.put(map_arrow(rows.select("page", "host", "html"), cut, "host bigint, start bigint, page bigint, place int, open boolean"), "suffixes")
+    suffix = scratch.put(map_arrow(rows.select("page", "host", "html"), cut, "host bigint, start bigint, page bigint, place int, open boolean, content bigint"), "runs")
     # Distinct pages, at least: bits that their numbers set in two maps of 64.
-    bit = lambda shift: F.expr(f"bit_or(shiftleft(1L, cast(shiftright(page, {shift}) & 63 as int)))")
+    bit = lambda shift: F.expr(f"bit_or(shiftleft(1L, cast(shiftright(content, {shift}) & 63 as int)))")
     groups = suffix.groupBy("host", "start").agg(bit(0).alias("low"), bit(6).alias("high"), F.max("open").alias("open"))
     repeated = groups.filter(F.col("open") & (F.greatest(F.bit_count("low"), F.bit_count("high")) >= LEAST_PAGES)).select("host", "start")
     repeated = scratch.put(repeated, "repeated")

@@ -43,6 +43,14 @@ def test_open_text_that_repeats_on_a_host_goes(spark):
     assert got[5]["text"] == f"{bar} {prose(40, 9)}"  # once on its host
 
 
+def test_boilerplate_goes_from_pages_of_little_else(spark):
+    bar = prose(150, 1)
+    rows = [(f"https://a.example/{k}", f"<div>{bar}</div><p>{k} {prose(n, 100 + k)}</p>") for k, n in enumerate((30, 70, 3, 30))]
+    rows += [rows[0]]  # read twice
+    got = extract(spark, rows)
+    assert [got[k]["text"] for k in range(5)] == [f"{k} {prose(n, 100 + k)}" for k, n in [*enumerate((30, 70, 3, 30)), (0, 30)]]
+
+
 def test_article_text_and_copies_stay(spark):
     same = prose(50, 3)
     rows = [("https://a.example/", f"<article>{same}</article>")] * 2
