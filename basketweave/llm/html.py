@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, map_arrow
 from .shingles import combine, hashed_words
 
-#: Tokens of the shortest repeated substring, and distinct pages of the host that must hold it.
-LONG, LEAST_PAGES = 8, 3
+#: Tokens of the shortest repeated substring. Three distinct pages of the host must hold it.
+LONG = 8
 
 TAG = re.compile(r"""<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|$)|</?[a-zA-Z][^>]*$""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
@@ -174,12 +174,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Structure says which blocks are the article (article, main, or elements named so) and which are menus,
     headers, footers, sidebars, notices, adverts, forms and comments. All text outside the article forms the
-    page's token stream. The suffixes of the streams of a host are ordered by their first ``LONG`` tokens: equal
-    neighbours from ``LEAST_PAGES`` distinct pages are repeated substrings, and open text (which structure says
+    page's token stream. Each ``LONG`` tokens in a row are hashed, and the distinct pages of the host that hold them
+    are counted exactly: runs in three pages or more are repeated substrings, and open text (which structure says
     nothing about) that they cover goes, however little is left. Article text is never cut. Pages without an article that are equal but for tokens
     without letters (numbers, dates) are copies and count as one page, so what only copies share isn't boilerplate.
 
-    Suffixes of one host and beginning are counted by a partial aggregation, so a host that holds most pages is
+    No suffix array is built: the repeats of a fixed length that it would show are those of the hashed runs, but for
+    clashes of 64 bits. Runs of one host and hash are counted by a partial aggregation, so a host that holds most pages is
     spread over all tasks. A null page counts as empty, a null url as no host; rows that repeat a page wholly
     count as one page; an empty table gives no rows.
     """
@@ -202,12 +203,13 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v) if v else []).cast(t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64()))], ["host", "start", "page", "place", "open", "content"])
 
     suffix = scratch.put(map_arrow(rows.select("page", "host", "html"), cut, "host bigint, start bigint, page bigint, place int, open boolean, content bigint"), "runs")
-    # Distinct pages, at least: bits that their numbers set in two maps of 64.
-    bit = lambda shift: F.expr(f"bit_or(shiftleft(1L, cast(shiftright(content, {shift}) & 63 as int)))")
-    groups = suffix.groupBy("host", "start").agg(bit(0).alias("low"), bit(6).alias("high"), F.max("open").alias("open"))
-    repeated = groups.filter(F.col("open") & (F.greatest(F.bit_count("low"), F.bit_count("high")) >= LEAST_PAGES)).select("host", "start")
-    repeated = scratch.put(repeated, "repeated")
-    places = suffix.filter("open").join(repeated, ["host", "start"]).groupBy("page").agg(F.collect_set("place").alias("places"))
+    # Exactly three contents or more: the least, the largest, and one that is neither.
+    groups = suffix.groupBy("host", "start").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.max("open").alias("open"))
+    twice = groups.filter(F.col("open") & (F.col("low") != F.col("high"))).drop("open")
+    shared = scratch.put(suffix.join(twice, ["host", "start"]), "shared-runs")
+    between = (F.col("content") != F.col("low")) & (F.col("content") != F.col("high"))
+    repeated = scratch.put(shared.filter(between).select("host", "start").distinct(), "repeated")
+    places = shared.filter("open").join(repeated, ["host", "start"]).groupBy("page").agg(F.collect_set("place").alias("places"))
     places = scratch.put(places, "places")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -51,6 +51,24 @@ def test_boilerplate_goes_from_pages_of_little_else(spark):
     assert [got[k]["text"] for k in range(5)] == [f"{k} {prose(n, 100 + k)}" for k, n in [*enumerate((30, 70, 3, 30)), (0, 30)]]
 
 
+def test_three_pages_are_counted_exactly(spark, monkeypatch):
+    """Three pages whose numbers agree in the bits that an approximate count would look at."""
+    hashed, made = html.runs, {}
+
+    def numbered(page):
+        starts, near, content = hashed(page)
+        return starts, near, None if content is None else made.setdefault(content, len(made) << 20)
+
+    bar = "Follow us on all channels and read our weekly letter today"
+    monkeypatch.setattr(html, "runs", numbered)
+    rows = [(f"https://a.example/{k}", f"<div>{bar}</div><p>{prose(20, k)}</p>") for k in range(3)]
+    rows += [(f"https://b.example/{k}", f"<div>{bar}</div><p>{prose(20, 10 + k)}</p>") for k in range(2)]
+    df = spark.createDataFrame([(i, u, h, "x", 1) for i, (u, h) in enumerate(rows)], PAGES).coalesce(1)
+    got = {r["page_id"]: r["text"] for r in html.extract(df).collect()}
+    assert [got[k] for k in range(3)] == [prose(20, k) for k in range(3)]
+    assert [got[3 + k] for k in range(2)] == [f"{bar} {prose(20, 10 + k)}" for k in range(2)]
+
+
 def test_article_text_and_copies_stay(spark):
     same = prose(50, 3)
     rows = [("https://a.example/", f"<article>{same}</article>")] * 2
