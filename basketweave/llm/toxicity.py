@@ -52,9 +52,9 @@ def _tables() -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
 
 SYMBOL, KIND, TO_WORDS, TO_BASE = _tables()
 SIGNS = re.escape("".join(LEET) + WILD)
-SIGNED = re.compile(rf"[a-z{SIGNS}]*[{SIGNS}][a-z][a-z{SIGNS}]*")
+SIGNED = re.compile(rf"[a-z]+[{SIGNS}][a-z{SIGNS}]*|[{SIGNS}]+[a-z][a-z{SIGNS}]*")
 REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
-SPACED = re.compile(rf"(?<![a-z{SIGNS}])[a-z{SIGNS}](?:[ ._\-/][a-z{SIGNS}]){{3,}}(?![a-z{SIGNS}])")
+SPACED = re.compile(rf"(?<![a-z{SIGNS}])[a-z{SIGNS}](?:[\s._\-/]+[a-z{SIGNS}]){{2,}}(?![a-z{SIGNS}])")
 TRAIL = re.compile(r"([!*$+|@])\1+$")
 
 
@@ -63,20 +63,26 @@ def latin(text: str) -> bytes:
 
 
 def suspicious(raw: bytes) -> bool:
-    """Whether the text holds a sign before a letter, a letter three times, or four single characters in a row."""
+    """Whether the text holds a sign beside a letter, a letter three times, or three single characters in a row.
+
+    Stars that end a word two or more at a time are marks, no signs.
+    """
     b = np.frombuffer(raw, np.uint8)
     if len(b) < 3:
         return False
     kind = KIND[b]
     letter = kind == 1
-    if ((kind[:-1] == 2) & letter[1:]).any():
+    sign, star = kind == 2, np.concatenate((b == ord(WILD), [False]))
+    if (sign[:-1] & letter[1:]).any() or (letter[:-1] & sign[1:] & ~(star[1:-1] & star[2:])).any():
         return True
     same = b[1:] == b[:-1]
     if (same[1:] & same[:-1] & letter[2:]).any():
         return True
     some = np.concatenate(([False], kind > 0, [False]))
     alone = some[1:-1] & ~some[:-2] & ~some[2:]
-    return len(b) > 6 and bool((alone[:-6] & alone[2:-4] & alone[4:-2] & alone[6:]).any())
+    # Number of each single character among all characters of the model: three in a row have no other between.
+    place = np.cumsum(some[1:-1])[alone]
+    return bool((place[2:] - place[:-2] == 2).any())
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -84,7 +90,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     out, i = [], 0
     while i < len(token):
         c, n = token[i], 1
-        while "a" <= c <= "z" and token[i + n : i + n + 1] == c:
+        apart = lambda x: not ("a" <= x <= "z" or x in LEET or x == WILD)
+        while i + n < len(token) and (token[i + n] == c if "a" <= c <= "z" else apart(c) and apart(token[i + n])):
             n += 1
         if "a" <= c <= "z":
             out.append([(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, PAIR_COST)] if n == 2 else [(c, RUN_COST), (c * 2, RUN_COST)])
@@ -126,11 +133,11 @@ class Restorer:
         self.cost, self.held = cost, {}
 
     def decode(self, token: str) -> str:
-        token = TRAIL.sub("", token)
+        """The best reading of the token, and before it that without repeated marks at the end, if it has such."""
         if token not in self.held:
             if len(self.held) >= HELD:
                 self.held.clear()
-            self.held[token] = viterbi(lattice(token), self.cost)
+            self.held[token] = " ".join(viterbi(lattice(t), self.cost) for t in dict.fromkeys((TRAIL.sub("", token), token)) if t)
         return self.held[token]
 
     def restored(self, raw: bytes) -> list[str]:

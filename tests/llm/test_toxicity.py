@@ -44,6 +44,24 @@ def test_disguised_words_are_decoded_and_scored(trained, text, word):
     assert scorer.score(text) == scorer.score(f"{text} {word}") > scorer.score("")
 
 
+@pytest.mark.parametrize("text, word", [("idio7", "idiot"), ("you tra5h", "trash"), ("s c u m", "scum"), ("s  c -- u m", "scum"), ("l0$er$ idio7", "idiot"), ("an i\nd  i . o t", "idiot")])
+def test_signs_at_the_end_and_any_separators_are_decoded(trained, text, word):
+    assert word in " ".join(toxicity.Restorer(trained[2].cost).restored(toxicity.latin(text))).split()
+
+
+@pytest.mark.parametrize("text", ["a$$", "dumba55", "d i e", "ab4"])
+def test_lattices_for_signs_at_the_end_and_three_single_characters(text):
+    """The language model decides; here it knows these words only."""
+    cost = toxicity.array("f", [9.0]) * (1 << toxicity.BITS * toxicity.ORDER)
+    word = {"a$$": "ass", "dumba55": "dumbass", "d i e": "die", "ab4": "ab"}[text]
+    at = 0
+    for c in word + " ":
+        packed = at << toxicity.BITS | (0 if c == " " else ord(c) - 96)
+        cost[packed], at = 0.1, packed & 0x7FFF
+    assert toxicity.suspicious(toxicity.latin(text))
+    assert word in " ".join(toxicity.Restorer(cost).restored(toxicity.latin(text))).split()
+
+
 def test_viterbi_finds_the_cheapest_reading(trained):
     """Against all readings of short tokens."""
     import itertools
