@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +49,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
             symbol[c], kind[c], words[c], base[c] = ord(letter) - 96, 1, c, ord(letter)
         elif chr(c) in LEET or chr(c) == WILD:
             kind[c] = 2
+        elif chr(c).isalpha():
+            words[c] = c
     return symbol, kind, bytes(words), bytes(base)
 
 
@@ -58,8 +62,58 @@ SPACED = re.compile(rf"(?<![a-z{SIGNS}])[a-z{SIGNS}](?:[\s._\-/]+[a-z{SIGNS}]){{
 TRAIL = re.compile(r"([!*$+|@])\1+$")
 
 
+# Letters that look like a-z, Latin letters that have no decomposition, and scripts without spaces.
+ALIKE = str.maketrans("авсԁеɡһіјкӏмոорԛгѕтυѵԝхуᴢαβεικνορτχωγ", "abcdeghijklmnopqrstuvwxyzabeikvoptxwy")
+PLAIN = str.maketrans({"ł": "l", "đ": "d", "ı": "i", "œ": "oe", "ħ": "h", "ŧ": "t", "ŋ": "n", "ſ": "s", "ɑ": "a", "’": "'", "‘": "'"})
+DENSE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]+")
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff]")
+
+
+@lru_cache(1)
+def _word() -> re.Pattern:
+    """Letters and the marks on them, in a row."""
+    marks = "".join(map(re.escape, filter(lambda c: unicodedata.category(c)[0] == "M", map(chr, range(0x300, 0x1F000)))))
+    return re.compile(rf"[^\W\d_](?:[^\W\d_]|[{marks}])*")
+
+
+def composed(text: str) -> str:
+    """Small letters in their compatibility forms, without characters that don't show."""
+    return HIDDEN.sub("", unicodedata.normalize("NFKC", HIDDEN.sub("", text).lower()).lower())
+
+
+def _alike(text: str) -> str:
+    """``text`` with letters that look like a-z as these: in words with Latin letters, or anywhere in a text of mostly Latin ones."""
+    mostly = 2 * sum("a" <= c <= "z" for c in text) >= sum(map(str.isalpha, text))
+
+    def one(m: re.Match) -> str:
+        folded = m[0].translate(ALIKE)
+        return folded if mostly and folded.isascii() or re.search("[a-z]", m[0]) else m[0]
+
+    return _word().sub(one, text)
+
+
 def latin(text: str) -> bytes:
-    return text.lower().encode("latin-1", "replace")
+    """Small letters in Latin-1, for the language model and the lattice: other Latin letters by their base, all else as '?'."""
+    small = text.lower()
+    try:
+        return small.encode("latin-1")
+    except UnicodeEncodeError:
+        pass
+    folded = _alike(composed(text)).translate(PLAIN)
+    bare = "".join(c if c < "\u0100" else unicodedata.normalize("NFD", c)[0] for c in folded)
+    return bare.encode("latin-1", "replace")
+
+
+def all_words(text: str) -> list[bytes]:
+    """The words of the text in small letters (UTF-8), of any script; pairs of characters where a script has no spaces."""
+    small = text.lower()
+    try:
+        return small.encode("latin-1").translate(TO_WORDS, b"\xad").decode("latin-1").encode().split()
+    except UnicodeEncodeError:
+        pass
+    found = _word().findall(composed(text))
+    pairs = [run[i : i + 2] for w in found for run in DENSE.findall(w) for i in range(len(run) - 1)]
+    return [w.encode("utf-8", "surrogatepass") for w in found + pairs]
 
 
 def suspicious(raw: bytes) -> bool:
@@ -147,14 +201,19 @@ class Restorer:
         return [self.decode(m.group()) for p in (SIGNED, REPEATED, SPACED) for m in p.finditer(base)]
 
     def words(self, text: str) -> list[bytes]:
-        """The words of the text (Latin-1, small letters), then those of its decoded tokens."""
-        raw = latin(text)
-        return raw.translate(TO_WORDS).split() + " ".join(self.restored(raw)).encode().split()
+        """The words of the text, those that look alike in Latin letters, then those of its decoded tokens."""
+        raw, found = latin(text), all_words(text)
+        if not text.isascii() and (folded := raw.translate(TO_WORDS, b"\xad").decode("latin-1").encode().split()) != found:
+            found = found + folded
+        return found + " ".join(self.restored(raw)).encode().split()
 
 
 def features(word: bytes) -> list[bytes]:
     """The word itself and its proper beginnings, marked by a hyphen."""
-    return [word] + [word[:k] + b"-" for k in PREFIXES if len(word) > k]
+    if word.isascii():
+        return [word] + [word[:k] + b"-" for k in PREFIXES if len(word) > k]
+    letters = word.decode("utf-8", "surrogatepass")
+    return [word] + [letters[:k].encode("utf-8", "surrogatepass") + b"-" for k in PREFIXES if len(letters) > k]
 
 
 @dataclass
@@ -265,7 +324,7 @@ def _feature_counts(rows: DataFrame, cost) -> DataFrame:
             for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
                 counts[y > 0].update({f for w in set(restorer.words(t)) for f in features(w)})
         found = sorted(counts[0].keys() | counts[1].keys())
-        columns = {"feature": [f.decode("latin-1") for f in found], "t": [counts[1][f] for f in found], "c": [counts[0][f] for f in found]}
+        columns = {"feature": [f.decode("utf-8", "replace") for f in found], "t": [counts[1][f] for f in found], "c": [counts[0][f] for f in found]}
         yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("feature", pa.string()), ("t", pa.int64()), ("c", pa.int64())]))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -282,7 +341,7 @@ def _telling(counts: DataFrame, bad: int, good: int) -> list[bytes]:
     term = lambda seen, expected: F.when(seen > 0, seen * F.ln(seen / expected)).otherwise(0.0)
     g = 2 * (term(t, share * all_t) + term(c, share * all_c) + term(all_t - t, (1 - share) * all_t) + term(all_c - c, (1 - share) * all_c))
     chosen = counts.filter((t >= LEAST_DOCS) & (t / all_t > 2 * c / all_c)).select("feature", g.alias("g")).filter(F.col("g") >= LEAST_G)
-    return [r["feature"].encode("latin-1") for r in chosen.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect()]
+    return [r["feature"].encode() for r in chosen.orderBy(F.desc("g"), "feature").limit(MOST_FEATURES).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:

@@ -98,6 +98,23 @@ def test_labels_of_held_out_documents_are_not_used(spark):
     assert all(r["predicted"] == ("vile" in rows[r["doc_id"]][1]) and r["held_out"] == is_held_out(r["doc_id"]) for r in got)
 
 
+@pytest.mark.parametrize("word", ["мерзкий", "βλάκας", "غبي", "सड़ा", "笨蛋", "gówniarz", "sœur"])
+def test_words_of_any_script_are_learned(spark, word):
+    r, glue = random.Random(2), "" if word == "笨蛋" else " "
+    other = ["хороший", "день", "你好", "ещё", "łąka"]
+    texts = [glue.join([r.choice(other), *([word] if k % 3 == 0 else []), r.choice(other)]) for k in range(300)]
+    docs = spark.createDataFrame([(k, t, "xx", "a", 1) for k, t in enumerate(texts)], SCHEMA)
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0), t) for k, t in enumerate(texts)], LABELS)
+    got = toxicity.score_documents(docs, labels).collect()
+    assert all(row["predicted"] == (row["doc_id"] % 3 == 0) for row in got)
+
+
+@pytest.mark.parametrize("text", ["you idіоt", "you ｉｄｉｏｔ", "you id\u200biot", "you 𝐢𝐝𝐢𝐨𝐭", "you іd1оt"])
+def test_letters_that_look_alike(trained, text):
+    assert b"idiot" in toxicity.Restorer(trained[2].cost).words(text)
+    assert toxicity.latin("łąka œuf") == b"laka oeuf" and b"\xd1" not in toxicity.latin("мерзкий")
+
+
 def test_odd_rows(spark):
     docs = odd_docs(spark)
     labels = spark.createDataFrame([(None, 1, 1, ""), (4, None, None, None), (5, 1, 1, ""), (5, 1, 0, ""), (99, 1, 0, "")], LABELS)
