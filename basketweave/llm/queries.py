@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, dedup, html, neardup, packing, pii, secrets, sharding, tokens, toxicity
+from . import alignment, decontaminate, dedup, html, neardup, packing, pii, ranking, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Pseudonyms of the test tables only; callers pass a secret of their own.
@@ -58,6 +58,15 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), *files)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,10 +80,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html,
         op9_decontamination,
         op10_toxicity,
+        op12_alignment,
+        op13_ranked_search,
     )
 }
 
 ORACLES: dict[str, str] = {
     "op5_exact_dedup": dedup.EXACT_SQL.format(docs="documents"),
     "op7_sharding": sharding.shard_sql(),
+    "op13_ranked_search": ranking.RANK_SQL,
 }
