@@ -168,11 +168,11 @@ class Aligner:
         return out
 
 
-def _some_texts(column: pa.Array) -> Iterator[list[str]]:
+def _some_texts(column: pa.Array, chars: int) -> Iterator[list[str]]:
     some, size = [], 0
     for t in column:
         text = t.as_py()
-        if some and size + len(text) > CHARS:
+        if some and size + len(text) > chars:
             yield some
             some, size = [], 0
         some.append(text)
@@ -185,7 +185,7 @@ def _lists(values: np.ndarray, to: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], to)), pa.int32()), pa.array(values))
 
 
-def align(docs: DataFrame, json_path: str, ranks_path: str | None, piece_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, json_path: str, ranks_path: str | None, piece_path: str, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:
     """One row per document: doc_id, a_ids, b_ids and the groups as a_ends, b_ends (tokens up to each group's end).
 
     With ``digest`` the row holds doc_id, n_a, n_b, n_groups, groups_sha256 and links instead. Tokens hold at least a
@@ -198,7 +198,7 @@ def align(docs: DataFrame, json_path: str, ranks_path: str | None, piece_path: s
         width = np.int64(len(own.b.bytes))
         for b in batches:
             at = 0
-            for texts in _some_texts(b.column("text")):
+            for texts in _some_texts(b.column("text"), chars):
                 x = own.aligned(texts)
                 ids, at = b.column("doc_id").slice(at, len(texts)), at + len(texts)
                 groups, g_to = x["groups"], x["g_to"]
@@ -238,7 +238,7 @@ def link_counts(aligned: DataFrame) -> DataFrame:
     return map_arrow(aligned.select("links"), run, "link bigint, n bigint").groupBy("link").agg(F.sum("n").alias("n"))
 
 
-def alignment_counts(docs: DataFrame, json_path: str, ranks_path: str | None, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alignment_counts(docs: DataFrame, json_path: str, ranks_path: str | None, piece_path: str, id_col: str = "doc_id", text_col: str = "text", chars: int = CHARS) -> DataFrame:
     """One row per document: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256.
 
     Texts are encoded once; digests and links are written to the shared folder, the links are counted, and the counts
@@ -247,7 +247,7 @@ def alignment_counts(docs: DataFrame, json_path: str, ranks_path: str | None, pi
     and an empty digest; repeated rows count each; an empty table gives no rows. Other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    aligned = scratch.put(align(docs, json_path, ranks_path, piece_path, True, id_col, text_col), "alignment")
+    aligned = scratch.put(align(docs, json_path, ranks_path, piece_path, True, id_col, text_col, chars), "alignment")
     table = link_counts(aligned).orderBy("link").toArrow()
     keys, counts = (table[c].to_numpy().astype(np.int64) for c in ("link", "n"))
     width = len(Pieces(piece_path).bytes)

@@ -33,9 +33,9 @@ def salt(column: str | Column, salts: int = SALTS) -> Column:
 _SHIPPED: set[str] = set()
 
 
-def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``rows.mapInArrow``, after this package was given to the session's Python workers (once)."""
-    context = rows.sparkSession.sparkContext
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the session's Python workers (once)."""
+    context = spark.sparkContext
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent.parent
         path = Path(tempfile.mkdtemp()) / f"{package.name}.zip"
@@ -44,6 +44,11 @@ def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
                 z.write(f, f.relative_to(package.parent))
         context.addPyFile(str(path))  # the driver serves it to the executors
         _SHIPPED.add(context.applicationId)
+
+
+def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``rows.mapInArrow``, with this package given to the workers."""
+    ship_package(rows.sparkSession)
     return rows.mapInArrow(run, schema)
 
 
@@ -61,8 +66,3 @@ class Scratch:
     def drop(self, *names: str) -> None:
         for name in names:
             drop_stage(self.spark, self.paths.pop(name))
-
-
-def broadcast_if_small(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """A broadcast hint only where the counted rows are few; Spark otherwise shuffles both sides."""
-    return F.broadcast(df) if rows <= most else df

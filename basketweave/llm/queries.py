@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, dedup, html, neardup, packing, pii, ranking, secrets, sharding, tokens, toxicity
+from . import alignment, decontaminate, dedup, html, language_model, neardup, packing, pii, ranking, secrets, sharding, tokens, toxicity
 from .common import table
 
 #: Pseudonyms of the test tables only; callers pass a secret of their own.
@@ -58,6 +58,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score_texts(table(spark, sf_dir, "documents"), language_model.held_out_tenth())
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = map(public_tokenizers.path, ("byte_bpe_50k.json", "byte_bpe_50k.tiktoken", "piece_bpe_32k.model"))
     return alignment.alignment_counts(table(spark, sf_dir, "documents"), *files)
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html,
         op9_decontamination,
         op10_toxicity,
+        op11_language_model,
         op12_alignment,
         op13_ranked_search,
     )

@@ -173,7 +173,7 @@ def weight(df: int, n_docs: int) -> int:
     return math.floor(WEIGHT_SCALE * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def _best(postings: DataFrame, plan: Plan, weights: list[int], n_docs: int, n_terms: int, top: int) -> DataFrame:
+def _best(postings: DataFrame, plan: Plan, weights: list[int], n_docs: int, n_terms: int, top: int, together: int) -> DataFrame:
     """item (place in the plan), doc_id, score: the ``top`` best documents of each task."""
     shared = postings.sparkSession.sparkContext.broadcast((plan, weights))
 
@@ -183,8 +183,8 @@ def _best(postings: DataFrame, plan: Plan, weights: list[int], n_docs: int, n_te
         kind = pa.null()
         for whole in batches:
             kind = whole.schema.field("doc_id").type
-            for at in range(0, whole.num_rows, DOCS):
-                b = whole.slice(at, DOCS)
+            for at in range(0, whole.num_rows, together):
+                b = whole.slice(at, together)
                 ids = b.column("doc_id").to_pylist()
                 held, tf = b.column("terms"), b.column("tfs").flatten().to_numpy().astype(np.int64)
                 doc = np.repeat(np.arange(len(ids)), np.diff(held.offsets.to_numpy()))
@@ -225,7 +225,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
-def rank_documents(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def rank_documents(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", together: int = DOCS) -> DataFrame:
     """item_id, rank (from 1), doc_id, score: the ``top`` documents of each item with the highest score above 0.
 
     The documents are read once for each block of items: one pass cuts them into terms and keeps those that items hold,
@@ -251,7 +251,7 @@ def rank_documents(docs: DataFrame, items: DataFrame, top: int = 10, id_col: str
         df = [0] * len(held)  # at most the terms of a block of items
         for r in postings.select(F.explode("terms").alias("term")).groupBy("term").count().toLocalIterator():
             df[r["term"]] = r["count"]
-        found = scratch.put(_best(postings, plan, [weight(x, n_docs) for x in df], n_docs, n_terms, top), "ranking-best")
+        found = scratch.put(_best(postings, plan, [weight(x, n_docs) for x in df], n_docs, n_terms, top, together), "ranking-best")
         scratch.drop("ranking-postings")
         named = spark.createDataFrame([(i, item) for i, (item, _) in enumerate(block)], f"item int, item_id {item_type}")
         order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))

@@ -57,14 +57,13 @@ def got(df):
 
 
 @pytest.mark.parametrize("ranks", [FILES[1], None])
-def test_counts_match_brute_force(spark, ranks, monkeypatch):
+def test_counts_match_brute_force(spark, ranks):
     r = random.Random(4)
     texts = [t for t in HARD if t != "▁ underscore"] + ["▁ underscore", None] + [prose(60, k) for k in range(6)] + [prose(60, 1)] * 3
     texts += ["".join(r.choices("ab's 1.\n\t\xa0éß日🙂 ", k=r.randint(1, 60))) for _ in range(80)]
-    monkeypatch.setattr(alignment, "CHARS", 500)
     docs = make_docs(spark, texts).repartition(4)
     want = brute_force(texts)
-    assert got(alignment.alignment_counts(docs, FILES[0], ranks, FILES[2])) == want
+    assert got(alignment.alignment_counts(docs, FILES[0], ranks, FILES[2], chars=500)) == want
     assert sum(w[3] > 0 for w in want) > 80
 
 

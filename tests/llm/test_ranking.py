@@ -58,8 +58,7 @@ def test_scores_match_brute_force(spark, monkeypatch):
     want = brute_force(pool, items)
     assert got(ranking.rank_documents(docs, make_items(spark, items))) == want
     monkeypatch.setattr(ranking, "BLOCK_ITEMS", 5)  # several scans give the same
-    monkeypatch.setattr(ranking, "DOCS", 7)
-    assert got(ranking.rank_documents(docs, make_items(spark, items))) == want
+    assert got(ranking.rank_documents(docs, make_items(spark, items), together=7)) == want
     assert got(ranking.rank_documents(docs, make_items(spark, items), top=3)) == brute_force(pool, items, 3)
 
 
