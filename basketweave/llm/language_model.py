@@ -34,7 +34,7 @@ from ..session import drop_stage, shared_dir
 from .common import Scratch, map_arrow, ship_package, text_or_empty
 
 #: Bytes of text in a block (a longer text is a block of its own), tokens and words for which one more bucket is made.
-BLOCK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 16 << 20, 2_000_000, 1_000_000
+BLOCK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 8 << 20, 2_000_000, 1_000_000
 #: Tokens for which a context is dealt over one more bucket.
 SPLIT = 1 << 20
 #: Customers up to which the seatings of a word are summed up exactly; above, they are taken by their saddle point.
@@ -58,6 +58,16 @@ class Params:
     seed: int = 11
 
 
+@dataclass(frozen=True)
+class Discounts:
+    """Discounts and strengths of the contexts and of their parent."""
+
+    context: float
+    strength: float
+    root: float
+    root_strength: float
+
+
 # --- packed arrays ------------------------------------------------------------------------------------------
 
 
@@ -327,8 +337,10 @@ class _ManyCustomers:
     summed up by the binomial series; above, it is taken at the saddle point and joined on at FEW.
     """
 
-    def __init__(self, c: np.ndarray, p: np.ndarray, others: np.ndarray, discount: float, strength: float):
-        self.c, self.log_p, self.d, self.rest = c.astype(float), np.log(p), discount, strength / discount + others
+    def __init__(self, c: np.ndarray, others: np.ndarray, words: np.ndarray, tables: np.ndarray, discounts: Discounts):
+        discount = discounts.context
+        self.c, self.d, self.rest = c.astype(float), discount, discounts.strength / discount + others
+        self.words, self.tables = words - discounts.root, discounts.root_strength + tables
         powers = np.zeros((FEW + 1, len(c)))  # coefficients of z^c in (1 - z)^(d j)
         for j in range(1, FEW + 1):
             if (discount * j) % 1:
@@ -369,19 +381,19 @@ class _ManyCustomers:
         """log P(t | all else), up to what doesn't depend on t."""
         place = np.minimum(t, FEW).astype(np.int64) - 1
         ways = np.where(t <= FEW, self.few[np.arange(len(t)), place], self._saddle(t) + self.joint)
-        return ways + t * self.log_p - _log_gamma(t + 1.0) + _log_gamma(self.rest + t)
+        return ways - _log_gamma(t + 1.0) + _log_gamma(self.rest + t) + _log_gamma(self.words + t) - _log_gamma(self.tables + t)
 
-    def draw(self, rng, steps: int = 6) -> np.ndarray:
+    def draw(self, rng, steps: int = 10) -> np.ndarray:
         """Metropolis steps from the mode with normal proposals around it."""
         def over(u: np.ndarray) -> np.ndarray:
             _, log_phi, psi = self._at(u)
             t = self.c / psi
-            return log_phi + self.log_p + np.log(self.rest + t) - np.log(t) > 0
+            return log_phi + np.log((self.rest + t) * np.maximum(self.words + t, 1e-3) / (t * (self.tables + t))) > 0
 
         u = self._solve(over)
         _, _, psi = self._at(u)
         mode = np.clip(self.c / psi, 1.0, self.c - 1)
-        bend = psi**2 / np.maximum(self._curvature(u, psi), 1e-12) / mode + 1 / mode - 1 / (self.rest + mode)
+        bend = psi**2 / np.maximum(self._curvature(u, psi), 1e-12) / mode + 1 / mode - 1 / (self.rest + mode) - 1 / np.maximum(self.words + mode, 0.5) + 1 / (self.tables + mode)
         wide = np.maximum(1.0, 1.2 / np.sqrt(np.maximum(bend, 1e-12)))
         t = np.rint(mode)
         now = self.log_chance(t) + 0.5 * ((t - mode) / wide) ** 2
@@ -395,27 +407,27 @@ class _ManyCustomers:
         return t.astype(np.int64)
 
 
-def draw_tables(c: np.ndarray, p: np.ndarray, others: np.ndarray, discount: float, strength: float, seatings: np.ndarray, rng) -> np.ndarray:
-    """New table counts for (context, word) with ``c`` customers, given the parent's probability ``p`` of the word and the
-    ``others`` tables of the context.
+def draw_tables(c: np.ndarray, others: np.ndarray, words: np.ndarray, tables: np.ndarray, discounts: Discounts, seatings: np.ndarray, rng) -> np.ndarray:
+    """New table counts for (context, word) with ``c`` customers, beside ``others`` tables of the context and, in the parent,
+    ``words`` tables of the word among ``tables`` of all.
 
-    All customers of a word are seated anew in one draw from the conditional: P(t) is in proportion to
-    seatings(c, t) p^t (s + d others) (s + d (others + 1)) ..., summed up to EXACT customers; ``_ManyCustomers`` makes Metropolis steps above.
+    All customers of a word are seated anew in one draw from the conditional: P(t) is in proportion to seatings(c, t) times
+    the factors s + d (others + k) of the context and (words - d' + k) / (s' + tables + k) of the parent, k = 0 ... t - 1.
+    It is summed up to EXACT customers; ``_ManyCustomers`` makes Metropolis steps above.
     """
     t = np.ones(len(c), np.int64)
-    open_ = p > 0  # a word that the parent has from this context alone needs its one table
-    with np.errstate(divide="ignore"):
-        log_p = np.log(p)
-    for n in np.unique(c[open_ & (c <= EXACT) & (c > 1)]).tolist():
-        mine = np.flatnonzero(open_ & (c == n))
+    d, s, root_d, root_s = discounts.context, discounts.strength, discounts.root, discounts.root_strength
+    for n in np.unique(c[(c <= EXACT) & (c > 1)]).tolist():
+        mine = np.flatnonzero(c == n)
         for rows in np.array_split(mine, max(1, len(mine) * n // 2_000_000)):
-            k = np.arange(n)
-            chance = np.cumsum(np.log(strength + discount * (others[rows, None] + k)) + log_p[rows, None], axis=1) + seatings[n, 1 : n + 1]
+            k = np.arange(1, n)  # the first table is there whatever the draw
+            own = (s + d * (others[rows, None] + k)) * (words[rows, None] - root_d + k) / (root_s + tables[rows, None] + k)
+            chance = np.concatenate((np.zeros((len(rows), 1)), np.cumsum(np.log(own), axis=1)), axis=1) + seatings[n, 1 : n + 1]
             chance = np.cumsum(np.exp(chance - chance.max(axis=1, keepdims=True)), axis=1)
             t[rows] = 1 + (chance < rng.random((len(rows), 1)) * chance[:, -1:]).sum(axis=1)
-    rows = np.flatnonzero(open_ & (c > EXACT))
+    rows = np.flatnonzero(c > EXACT)
     if len(rows):
-        t[rows] = _ManyCustomers(c[rows], p[rows], others[rows], discount, strength).draw(rng)
+        t[rows] = _ManyCustomers(c[rows], others[rows], words[rows], tables[rows], discounts).draw(rng)
     return t
 
 
@@ -445,23 +457,23 @@ class _Restaurants:
         by = lambda at, n: np.bincount(at, t, n).astype(np.int64)
         return np.concatenate((by(self.pw, len(self.w)), by(self.pu, len(self.u))))
 
-    def sample(self, rest: np.ndarray, rest_tables: int, root_discount: float, discount: float, params: Params, keep: int, rng) -> list[np.ndarray]:
+    def sample(self, rest: np.ndarray, rest_tables: int, discounts: Discounts, sweeps: int, keep: int, rng) -> list[np.ndarray]:
         """Table counts after each of the last ``keep`` sweeps, beside the tables of all other buckets in the exchange before."""
         t = (self.c > 0).astype(np.int64)
         many = np.flatnonzero(self.c > 1)
         c, u, w = self.c[many], self.pu[many], self.pw[many]
-        seatings, found = log_seatings(discount), []
-        for sweep in range(params.sweeps):
+        seatings, found = log_seatings(discounts.context), []
+        for sweep in range(sweeps):
             now = rest + self.values(t)
             words, contexts = now[: len(self.w)], now[len(self.w) :]
-            parent = np.maximum(words[w] - t[many] - root_discount, 0.0) / (params.root_strength + rest_tables + t.sum())
-            t[many] = draw_tables(c, parent, contexts[u] - t[many], discount, params.strength, seatings, rng)
-            if sweep >= params.sweeps - keep:
+            own = t[many]
+            t[many] = draw_tables(c, contexts[u] - own, words[w] - own, rest_tables + t.sum() - own, discounts, seatings, rng)
+            if sweep >= sweeps - keep:
                 found.append(t.copy())
         return found
 
 
-def _bucket_step(params: Params, round_: int, all_tables: int, root_discount: float, discount: float, word_parts: int) -> Callable:
+def _bucket_step(params: Params, round_: int, all_tables: int, discounts: Discounts, word_parts: int) -> Callable:
     """What a bucket does in a round: seat, then send its tables to the parents; in the last one answer the blocks as well."""
     last = round_ == params.rounds
 
@@ -475,7 +487,7 @@ def _bucket_step(params: Params, round_: int, all_tables: int, root_discount: fl
         if round_:
             got = _received(replies.to_pylist(), keys, word_parts)
             rng = np.random.default_rng([params.seed, round_, bucket])
-            samples = own.sample(got.others[0], all_tables - got.sent, root_discount, discount, params, params.samples if last else 1, rng)
+            samples = own.sample(got.others[0], all_tables - got.sent, discounts, params.sweeps, params.samples if last else 1, rng)
         out = _asks("give" if last else "ask", bucket, keys, [own.values(t) for t in samples], word_parts)
         if last:
             tables, at = np.sum(samples, axis=0), 0
@@ -514,7 +526,7 @@ def score_texts(
     """
     spark, scratch, stored = docs.sparkSession, Scratch(docs.sparkSession), _Stored(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    files = max(8, min(4096, 4 * spark.sparkContext.defaultParallelism))
+    files = max(8, 2 * docs.rdd.getNumPartitions())  # so that what a task reads doesn't grow with the table
     blocks = stored.put(_blocks(docs, held_out, id_col, text_col, block_bytes), "block", files)
     tokens = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
     buckets, parts = 1 + tokens // bucket_tokens, 1 + tokens // (8 * bucket_words)
@@ -548,10 +560,11 @@ def score_texts(
         return _frame(out, pa.schema([("bucket", pa.int64()), ("sender", pa.int64()), ("a", pa.binary())]))
 
     pairs = _with(blocks, "block", words, ask_pairs, "bucket bigint, sender bigint, a binary")
-    pairs = stored.put(pairs.repartition(min(buckets, 4096), "bucket"), "bucket", min(buckets, 4096))
+    pairs = stored.put(pairs.repartition(buckets, "bucket"), "bucket", buckets)
     replies, all_tables, discount, root_discount = spark.createDataFrame([], REPLY), 0, 0.5, 0.5
     for round_ in range(params.rounds + 1):
-        step = _bucket_step(params, round_, all_tables, root_discount, discount, parts)
+        discounts = Discounts(discount, params.strength, root_discount, params.root_strength)
+        step = _bucket_step(params, round_, all_tables, discounts, parts)
         sent = scratch.put(_with(pairs, "bucket", replies, step, MESSAGE), f"lm-sent-{round_}")
         if not round_:
             discount = _discount(*(x or 0 for x in sent.filter("kind = 'sums'").agg(F.sum("ones"), F.sum("twos")).first()))

@@ -86,26 +86,28 @@ def partitions(n):
             yield p[:k] + [p[k] + 1] + p[k + 1 :]
 
 
-@pytest.mark.parametrize("d, s, others, p", [(0.7, 1.0, 3, 0.2), (0.3, 0.5, 0, 0.02), (0.9, 2.0, 40, 0.4)])
-def test_tables_follow_their_conditional(d, s, others, p):
-    want = np.zeros(8)
+@pytest.mark.parametrize("d, s, others, words, tables", [(0.7, 1.0, 3, 20, 100), (0.3, 0.5, 0, 1, 40), (0.9, 2.0, 40, 0, 50)])
+def test_tables_follow_their_conditional(d, s, others, words, tables):
+    own, want = lm.Discounts(d, s, 0.6, 1.5), np.zeros(8)
     for sizes in partitions(7):
         weight = math.prod(math.prod(k - d for k in range(1, n)) for n in sizes)
-        want[len(sizes)] += weight * p ** len(sizes) * math.prod(s + d * (others + k) for k in range(len(sizes)))
+        weight *= math.prod((s + d * (others + k)) * (words - 0.6 + k) / (1.5 + tables + k) for k in range(1, len(sizes)))
+        want[len(sizes)] += weight
     want /= want.sum()
     n, full = 40_000, lambda x: np.full(40_000, x)
-    t = lm.draw_tables(full(7), full(p), full(others), d, s, lm.log_seatings(d), np.random.default_rng(2))
+    t = lm.draw_tables(full(7), full(others), full(words), full(tables), own, lm.log_seatings(d), np.random.default_rng(2))
     assert np.abs(np.bincount(t, minlength=8) / n - want).max() < 0.01
-    assert set(lm.draw_tables(full(7), full(0.0), full(others), d, s, lm.log_seatings(d), np.random.default_rng(2))) == {1}
 
 
-@pytest.mark.parametrize("d, others, p, c", [(0.6, 200, 0.05, 180), (0.8, 5000, 0.01, 180), (0.8, 50, 0.001, 180), (0.7, 20, 0.3, 400), (0.8, 20, 0.01, 1000)])
-def test_many_customers_follow_it_nearly(d, others, p, c):
-    k = np.arange(c)
-    log = lm.log_seatings(d, c)[c, 1:] + np.cumsum(np.log(1.0 + d * (others + k)) + np.log(p))
+@pytest.mark.parametrize("d, others, words, tables, c", [(0.6, 200, 5000, 100_000, 180), (0.8, 5000, 100, 10_000, 180), (0.8, 50, 0, 1000, 180), (0.7, 20, 300, 1000, 400), (0.8, 20, 1, 100, 1000)])
+def test_many_customers_follow_it_nearly(d, others, words, tables, c):
+    k, own = np.arange(1, c), lm.Discounts(d, 1.0, 0.6, 1.5)
+    log = lm.log_seatings(d, c)[c, 1:].copy()
+    log[1:] += np.cumsum(np.log((1.0 + d * (others + k)) * (words - 0.6 + k) / (1.5 + tables + k)))
     chance = np.exp(log - log.max())
-    mean = (chance / chance.sum() * (k + 1)).sum()
-    t = lm.draw_tables(np.full(4000, c), np.full(4000, p), np.full(4000, others), d, 1.0, lm.log_seatings(d), np.random.default_rng(3))
+    mean = (chance / chance.sum() * np.arange(1, c + 1)).sum()
+    full = lambda x: np.full(4000, x)
+    t = lm.draw_tables(full(c), full(others), full(words), full(tables), own, lm.log_seatings(d), np.random.default_rng(3))
     assert abs(t.mean() / mean - 1) < 0.06
 
 
