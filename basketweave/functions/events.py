@@ -69,12 +69,11 @@ def safe_rate(num: str | Column, den: str | Column) -> Column:
     )
 
 
-def hash_bucket(seed: int, buckets: int, session: str = "session", aid: str | None = None) -> Column:
+def hash_bucket(seed: int, buckets: int, session: str | Column = "session", aid: str | Column | None = None) -> Column:
     """A reproducible pseudo-random bucket of a session or (session, aid) key.
 
-    Plain integer arithmetic, so any SQL engine gives the same bucket. Ids are reduced first, so that no id overflows.
+    The first 60 bits of the MD5 of ``seed:session[:aid]``: well mixed also for ids in steps, and any SQL engine can repeat it.
     """
-    mixed = F.pmod(F.col(session).cast("long"), F.lit(buckets)) * F.lit(7919)
-    if aid is not None:
-        mixed = mixed + F.pmod(F.col(aid).cast("long"), F.lit(buckets)) * F.lit(104_729)
-    return F.pmod(mixed + F.lit(seed), F.lit(buckets))
+    keys = [F.col(k) if isinstance(k, str) else k for k in (session, aid) if k is not None]
+    text = F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint") % F.lit(buckets)

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import hash_bucket
+from basketweave.operators.rank_rounds import fit_rounds
 from basketweave.operators.sampling import (
     HASH_RANGE,
     downsample_negatives,
@@ -21,7 +22,7 @@ from basketweave.operators.sampling import (
     negative_share,
     semi_positive_sessions,
 )
-from basketweave.session import drop_stage, ensure_checkpoint_dir, stage, write_stage
+from basketweave.session import ensure_checkpoint_dir, stage
 
 KEYS = ("session", "aid")
 NOT_FEATURES = (*KEYS, "type", "target", "fold", "candidate_pos")
@@ -31,11 +32,23 @@ def feature_columns(frame: DataFrame) -> list[str]:
     return [c for c in frame.columns if c not in NOT_FEATURES]
 
 
-def attach(left: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join on ``keys``; the key of the right side must be unique. Missing features become 0."""
+def attach(left: DataFrame, features: DataFrame, keys: Sequence[str], flag: str | None = None, flagged: Sequence[str] = ()) -> DataFrame:
+    """Left join on ``keys``; the key of the right side must be unique. Missing features become 0.
+
+    MLlib's trees have no branch for missing values, so a zero alone can't be told from a real one. ``flag`` names a column
+    that is 1 where the right side has no row, and each column in ``flagged`` gets a ``<column>_missing`` that is 1
+    where its value is missing for any reason; a tree then splits on the flag before the value.
+    """
     new = [c for c in features.columns if c not in keys]
+    found = "_found"
+    while found in left.columns or found in new:
+        found += "_"
+    if flag:
+        features = features.withColumn(found, F.lit(True))
     joined = left.join(features, list(keys), "left")
-    return joined.select(*left.columns, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in new])
+    flags = [F.col(found).isNull().cast("double").alias(flag)] if flag else []
+    flags += [F.col(c).isNull().cast("double").alias(f"{c}_missing") for c in new if c in flagged]
+    return joined.select(*left.columns, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in new], *flags)
 
 
 def assemble_features(
@@ -43,20 +56,24 @@ def assemble_features(
     item: Sequence[DataFrame] = (),
     session: Sequence[DataFrame] = (),
     pair: Sequence[DataFrame] = (),
+    flags: bool = False,
+    flagged: Sequence[str] = (),
 ) -> DataFrame:
     """All feature tables on the candidates.
 
     Tables of one key are joined among themselves first. Candidates then pass the item and the session join
-    while they are narrow, and the pair join last, so the wide rows are shuffled once.
+    while they are narrow, and the pair join last, so the wide rows are shuffled once. With ``flags`` the frame
+    tells rows without item, session or pair features apart (``item_missing`` and so on), and the columns in ``flagged``
+    tell their missing values apart.
     """
     out = candidates
-    for tables, keys in ((item, ("aid",)), (session, ("session",)), (pair, KEYS)):
+    for name, tables, keys in (("item", item, ("aid",)), ("session", session, ("session",)), ("pair", pair, KEYS)):
         if not tables:
             continue
         wide = tables[0]
         for t in tables[1:]:
             wide = wide.join(t, list(keys), "full_outer") if keys != KEYS else wide.join(t, list(keys), "left")
-        out = attach(out, wide, keys)
+        out = attach(out, wide, keys, f"{name}_missing" if flags else None, flagged)
     return out
 
 
@@ -301,50 +318,19 @@ def pair_gradients(pairs: DataFrame) -> DataFrame:
 
 
 def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> GBTRegressionModel:
-    spark = vectors.sparkSession
-    base, base_path = write_stage(
-        semi_positive_sessions(vectors).select(
-            *KEYS, "target", (F.col("fold") == fold).alias("valid"), "features"
-        ),
-        "rank-rows",
-    )
-    if base.where((F.col("target") == 1) & ~F.col("valid")).isEmpty():
+    rows = semi_positive_sessions(vectors).select(*KEYS, "target", (F.col("fold") == fold).alias("valid"), "features")
+    if rows.where((F.col("target") == 1) & ~F.col("valid")).isEmpty():
         raise ValueError(f"no positives outside fold {fold}")
-    scores, scores_path = base.select(*KEYS, "target", "valid", F.lit(0.0).alias("score")), None
-    trees, best, best_at = [], float("inf"), -1
-    for r in range(params.rounds):
-        pairs = sample_pairs(scores.where(~F.col("valid")), params.pairs_per_positive, params.seed + r)
-        learner = RandomForestRegressor(
-            numTrees=1,
-            bootstrap=False,
-            weightCol="weight",
-            maxDepth=params.maxDepth,
-            subsamplingRate=params.subsamplingRate,
-            featureSubsetStrategy=params.featureSubsetStrategy,
-            minInstancesPerNode=params.minInstancesPerNode,
-            seed=params.seed + r,
-        )
-        rows = base.select(*KEYS, "features").join(pair_gradients(pairs), list(KEYS))
-        tree = learner.fit(rows.select("features", "label", "weight")).trees[0]
-        trees.append(tree)
-        step = score_rows(tree, base.select(*KEYS, "features"), "step").select(*KEYS, "step")
-        moved = scores.join(step, list(KEYS)).select(
-            *KEYS, "target", "valid", (F.col("score") + F.lit(params.stepSize) * F.col("step")).alias("score")
-        )
-        # Keys and scores are rewritten per round; rows that took part in a pair are joined with their gradient.
-        old_path = scores_path
-        scores, scores_path = write_stage(moved, "rank-scores")
-        if old_path:
-            drop_stage(spark, old_path)
-        loss = pair_loss(all_pairs(scores.where("valid")))
-        if loss is None or loss < best:  # without validation pairs every round is kept
-            best, best_at = best if loss is None else loss, r
-        elif r - best_at >= params.early_stopping_rounds:
-            break
-    for path in (base_path, scores_path):
-        if path:
-            drop_stage(spark, path)
-    return tree_sum(spark, trees[: best_at + 1], params.stepSize)
+    learner = RandomForestRegressor(
+        numTrees=1,
+        bootstrap=False,
+        weightCol="weight",
+        maxDepth=params.maxDepth,
+        subsamplingRate=params.subsamplingRate,
+        featureSubsetStrategy=params.featureSubsetStrategy,
+        minInstancesPerNode=params.minInstancesPerNode,
+    )
+    return tree_sum(vectors.sparkSession, fit_rounds(rows, learner, params), params.stepSize)
 
 
 def train_ranker(
@@ -352,8 +338,9 @@ def train_ranker(
 ) -> list[GBTRegressionModel]:
     """One pairwise ranker per fold: boosted regression trees on the gradient of the pairwise logistic loss.
 
-    Only sessions with a positive take part. Each round samples negatives for the positives, fits one tree to
-    the gradients and writes the new scores, so the plan of a round does not grow with the number of rounds.
+    Only sessions with a positive take part. They are grouped once, one row per session (a session has a bounded number
+    of candidates); each round samples negatives for the positives inside the rows, fits one tree to the gradients and
+    writes the new scores, so a round exchanges no features and its plan does not grow with the rounds.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     return [_fit_ranker(vectors, k, params) for k in range(folds)]

@@ -136,9 +136,9 @@ def build_pair_features(events_recent: DataFrame, root: str, phase: str, limits:
 
 
 def load_frame(
-    spark: SparkSession, root: str, phase: str, type_id: int, labels: DataFrame | None = None
+    spark: SparkSession, root: str, phase: str, type_id: int, labels: DataFrame | None = None, flags: bool = False
 ) -> DataFrame:
-    """Candidates of one type with target and all features."""
+    """Candidates of one type with target and all features; with ``flags`` also what is missing (see ``learn.attach``)."""
     base = load_candidates(spark, root, phase, type_id, ("session", "aid", "candidate_pos")).select(
         "session", "aid", ft.candidates_rank()
     )
@@ -148,6 +148,7 @@ def load_frame(
         item=[table[t] for t in ITEM],
         session=[table[t] for t in SESSION],
         pair=[table[t] for t in PAIR],
+        flags=flags,
     )
 
 

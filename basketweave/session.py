@@ -91,3 +91,21 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     if "/stage/" not in path:
         raise ValueError(f"not a staged table: {path}")
     delete_folder(spark, path)
+
+
+def write_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> tuple[DataFrame, tuple[str, str]]:
+    """Write ``df`` to the shared folder in ``buckets`` files by ``key``; returns the table and what ``drop_bucketed`` takes.
+
+    Tables with the same buckets join on ``key`` without an exchange of either.
+    """
+    spark = df.sparkSession
+    table, path = re.sub(r"\W", "_", name), f"{shared_dir(spark).rstrip('/')}/stage/{name}"
+    dealt = df.repartition(buckets, key)
+    dealt.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    return spark.table(table), (table, path)
+
+
+def drop_bucketed(spark: SparkSession, made: tuple[str, str]) -> None:
+    table, path = made
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    drop_stage(spark, path)

@@ -37,12 +37,13 @@ EXACT_LIMITS = phases.Limits(edges_per_item=K_EDGES, additional=N_ADDITIONAL, ca
 
 # --- folds and sampling ------------------------------------------------------------------------------------
 
-def _pmod(x, n):
-    return f"((({x}) % {n} + {n}) % {n})"
+def _bucket(buckets, *keys, seed=42):
+    text = " || ':' || ".join([f"'{seed}'", *(f"CAST({k} AS VARCHAR)" for k in keys)])
+    return f"(CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT) % {buckets})"
 
 
-FOLD = f"CAST({_pmod(_pmod('session', 5) + ' * 7919 + 42', 5)} AS INTEGER)"
-HASH = _pmod(f"{_pmod('session', 1000003)} * 7919 + {_pmod('aid', 1000003)} * 104729 + 42", 1000003)
+FOLD = f"CAST({_bucket(5, 'session')} AS INTEGER)"
+HASH = _bucket(1000003, "session", "aid")
 query("group_kfold", sql(f"SELECT session, aid, target, {FOLD} AS fold FROM labelled"))(
     lambda s, d: sampling.group_kfold(labelled(s, d).select("session", "aid", "target"))
 )
@@ -234,7 +235,7 @@ def mean_importance(spark, sf):
     return mean.join(by_hand, "feature").select("feature", (F.abs(F.col("importance") - F.col("value")) < 1e-9).alias("mean"))
 
 
-FOLD_OF_TWO = f"CAST({_pmod(_pmod('session', 2) + ' * 7919 + 42', 2)} AS INTEGER)"
+FOLD_OF_TWO = f"CAST({_bucket(2, 'session')} AS INTEGER)"
 
 
 @query("predict_oof", sql(f"SELECT session, aid, {FOLD_OF_TWO} AS fold, true AS is_probability, true AS by_other_fold FROM labelled"))
@@ -267,6 +268,58 @@ def train_ranker(spark, sf):
     return scores.select("session", "aid", (F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < 1e300)).alias("finite"))
 
 
+# Planted targets, so that the answer is known: a constant model turns these rows red.
+PLANTED = _bucket(10, "session", "aid", seed=7)
+
+
+def planted_vectors(spark, sf, from_):
+    """Candidates with a feature of ten values, on which alone the target rests, and one of noise."""
+    value = hash_bucket(7, 10, aid="aid").cast("double")
+    noise = hash_bucket(8, 1000, aid="aid").cast("double")
+    rows = labelled(spark, sf).select("session", "aid", (value >= from_).cast("int").alias("target"), value.alias("value"), noise.alias("noise"))
+    return learn.to_vectors(rows, ["value", "noise"], 2)
+
+
+PLAIN = dict(maxDepth=3, minInstancesPerNode=5, featureSubsetStrategy="all", stepSize=0.3)
+
+
+@query("train_classifier_planted", sql(f"SELECT session, aid, CAST({PLANTED} >= 7 AS INTEGER) AS predicted FROM labelled"))
+def train_classifier_planted(spark, sf):
+    vectors = planted_vectors(spark, sf, 7)
+    scores = learn.predict_oof(vectors, learn.train_classifier(vectors, 2, params=learn.BoostedParams(max_trees=3, early_stopping_rounds=2, **PLAIN)))
+    return scores.select("session", "aid", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query(
+    "train_ranker_planted",
+    sql(f"""SELECT session, min(v) FILTER (WHERE v >= 7) AS least_positive, max(v) FILTER (WHERE v < 7) AS most_negative, true AS ordered
+      FROM (SELECT session, {PLANTED} AS v FROM labelled) GROUP BY session
+      HAVING count(*) FILTER (WHERE v >= 7) > 0 AND count(*) FILTER (WHERE v < 7) > 0"""),
+)
+def train_ranker_planted(spark, sf):
+    vectors = planted_vectors(spark, sf, 7)
+    scores = learn.predict_oof(vectors, learn.train_ranker(vectors, 2, learn.RankerParams(rounds=3, **PLAIN)))
+    value, up = hash_bucket(7, 10, aid="aid"), hash_bucket(7, 10, aid="aid") >= 7
+    best = scores.groupBy("session").agg(
+        F.min(F.when(up, value)).alias("least_positive"),
+        F.max(F.when(~up, value)).alias("most_negative"),
+        (F.min(F.when(up, F.col("score"))) > F.max(F.when(~up, F.col("score")))).alias("ordered"),
+    )
+    return best.where(F.col("least_positive").isNotNull() & F.col("most_negative").isNotNull())
+
+
+@query(
+    "feature_attach_flags",
+    sql("""SELECT l.session, l.aid, coalesce(p.n, 0) AS n, CAST(p.n IS NULL AS INTEGER) AS pair_missing
+      FROM labelled l LEFT JOIN (SELECT session, aid, CAST(count(*) AS DOUBLE) AS n FROM fx_observed GROUP BY session, aid) p
+      ON p.session = l.session AND p.aid = l.aid"""),
+)
+def feature_attach_flags(spark, sf):
+    counts = fx.fx_observed(spark, sf).groupBy("session", "aid").agg(F.count(F.lit(1)).alias("n"))
+    frame = learn.assemble_features(labelled(spark, sf).select("session", "aid"), pair=[counts], flags=True)
+    return frame.withColumn("pair_missing", F.col("pair_missing").cast("int"))
+
+
 @query(
     "recall_of_oof_scores",
     sql(f"SELECT sum(least(len(ground_truth), {K_RECALL})) AS gt_count, true AS hits_fit FROM fx_labels WHERE type = 'orders'"),

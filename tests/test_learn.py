@@ -1,12 +1,15 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.regression import GBTRegressionModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressor
 from pyspark.sql import functions as F
 
-from basketweave.operators import learn, sampling
+from basketweave.functions.events import hash_bucket
+from basketweave.operators import learn, rank_rounds, sampling
 from basketweave.operators.vectors import item_sequences, reduce_vectors, train_item_vectors
 from tests.conftest import rows
 from tests.test_covisit import random_log
@@ -108,6 +111,86 @@ def test_boosting_waits_for_a_later_gain(vectors):
     assert first_worse < 23 and (best > first_worse or best + 1 == len(kept))
 
 
+def test_pairs_inside_the_rows_are_those_of_the_join(frame):
+    scored = frame.withColumn("score", F.col("signal"))
+    grouped = scored.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("aid", "target", "score"))).alias("e"))
+    grouped = grouped.select("session", *[F.transform("e", rank_rounds._field(c)).alias(n) for c, n in (("aid", "aids"), ("target", "targets"), ("score", "scores"))])
+    paired = rank_rounds.session_pairs_sampled(grouped, 3, 7).select("session", "aids", F.inline("pairs"))
+    got = paired.select("session", F.get("aids", "pos"), F.get("aids", "neg"), F.round("margin", 9))
+    want = learn.sample_pairs(scored, 3, 7).select("session", "aid_pos", "aid_neg", F.round("margin", 9))
+    assert rows(got) == rows(want)
+    total, n = rank_rounds.session_loss()
+    sums = grouped.agg(F.sum(total), F.sum(n)).first()
+    assert math.isclose(sums[0] / sums[1], learn.pair_loss(learn.all_pairs(scored)))
+
+
+def test_trees_as_expressions_predict_alike(vectors):
+    rows_ = vectors.select("features", F.col("target").cast("double").alias("label"))
+    tree = RandomForestRegressor(numTrees=1, maxDepth=5, seed=1).fit(rows_).trees[0]
+    both = tree.transform(vectors).withColumn("x", vector_to_array("features")).withColumn("own", F.expr(rank_rounds.tree_sql(tree, "x")))
+    assert both.where("own <> prediction").count() == 0 and both.select("prediction").distinct().count() > 3
+
+
+def test_a_round_exchanges_no_features(vectors):
+    state = rank_rounds.SessionRows(vectors.withColumn("valid", F.col("fold") == 0))
+    for df in (state.scored(), state.training_rows(2, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+    state.drop()
+
+
+def test_ranker_orders_sessions_better_than_the_classifier(spark):
+    """The chance of a positive rests on the session's level; only the weak feature orders a session."""
+    rng = np.random.default_rng(3)
+    data = []
+    for s in range(300):
+        level = rng.normal()
+        for a in range(8):
+            weak = rng.normal()
+            data.append((s, a, int(2.5 * level + 0.8 * weak + 0.3 * rng.normal() > 1.5), float(level), float(weak)))
+    frame = spark.createDataFrame(data, "session BIGINT, aid INT, target INT, level DOUBLE, weak DOUBLE")
+    vectors = learn.to_vectors(frame, ["level", "weak"], 2)
+    shared = dict(maxDepth=1, stepSize=0.3, minInstancesPerNode=5, featureSubsetStrategy="all")
+    classifiers = learn.train_classifier(vectors, 2, params=learn.BoostedParams(max_trees=3, **shared))
+    rankers = learn.train_ranker(vectors, 2, learn.RankerParams(rounds=3, **shared))
+
+    def ordered(models):
+        scored = learn.predict_oof(vectors, models).join(frame, ["session", "aid"]).select("session", "target", "score")
+        return learn.all_pairs(scored).agg(F.avg(F.when(F.col("margin") > 0, 1.0).when(F.col("margin") == 0, 0.5).otherwise(0.0))).first()[0]
+
+    assert ordered(rankers) > ordered(classifiers) + 0.05
+    assert ordered(rankers) > 0.75
+
+
+def test_missing_values_are_told_from_zeros(spark):
+    """The target rests on whether the feature is there; where it is, it is zero half of the time."""
+    keys = [(s, a) for s in range(120) for a in range(8)]
+    here = {k for k in keys if hash(k) % 3 == 0}
+    candidates = spark.createDataFrame([(s, a, int((s, a) in here)) for s, a in keys], "session BIGINT, aid INT, target INT")
+    values = spark.createDataFrame([(s, a, float(s % 2), None if a % 2 else 1.0) for s, a in here], "session BIGINT, aid INT, v DOUBLE, w DOUBLE")
+    frame = learn.assemble_features(candidates, pair=[values], flags=True, flagged=["w"])
+    assert rows(frame.where("pair_missing = 1 and (v <> 0 or w_missing <> 1)")) == []
+    assert frame.where("pair_missing = 0 and aid % 2 = 1 and w_missing = 0").count() == 0
+    assert rows(learn.attach(candidates, values, ["session", "aid"]), "session", "aid", "v") == rows(frame, "session", "aid", "v")
+
+    def found(names):
+        vectors = learn.to_vectors(frame, names, 2)
+        params = learn.BoostedParams(max_trees=2, maxDepth=2, minInstancesPerNode=5, featureSubsetStrategy="all")
+        return auc(learn.predict_oof(vectors, learn.train_classifier(vectors, 2, params=params)), frame)
+
+    assert found(["v"]) < 0.8 < 0.999 < found(["v", "pair_missing"])
+
+
+def test_folds_and_samples_are_even_on_strided_ids(spark):
+    """Chi-square over buckets, for ids in steps that a linear hash would map to one bucket or a lattice."""
+    for step in (1, 5, 7, 1_000_003, 2**20):
+        ids = spark.range(0, 20_000).select((F.col("id") * step).alias("session"), F.lit(0).alias("target"), (F.col("id") % 9).alias("aid"))
+        counts = [r["count"] for r in sampling.group_kfold(ids).groupBy("fold").count().collect()]
+        assert len(counts) == 5 and sum((c - 4000) ** 2 / 4000 for c in counts) < 25
+        pairs = ids.select(F.pmod(hash_bucket(42, 1_000_003, aid="aid"), F.lit(64)).alias("b")).groupBy("b").count().collect()
+        assert len(pairs) == 64 and sum((r["count"] - 312.5) ** 2 / 312.5 for r in pairs) < 130
+
+
 def test_all_pairs_of_a_session(spark):
     scored = spark.createDataFrame([(1, 1, 0.5), (1, 0, 0.1), (1, 0, 0.2), (2, 1, 1.0), (3, 0, 1.0)], "session BIGINT, target INT, score DOUBLE")
     assert [(s, round(m, 6)) for s, m in rows(learn.all_pairs(scored))] == [(1, 0.3), (1, 0.4)]
@@ -118,7 +201,8 @@ def test_folds_of_ids_near_the_end_of_the_range(spark):
     ids = [0, 1, 2**63 - 1, -(2**63), 2 * 10**15]
     log = spark.createDataFrame([(s, a, 0) for s in ids for a in ids], "session BIGINT, aid BIGINT, target INT")
     got = {(r[0], r[1]): r[2] for r in rows(sampling.group_kfold(log), "session", "aid", "fold")}
-    assert got == {(s, a): (s * 7919 + 42) % 5 for s in ids for a in ids}
+    bucket = lambda s: int(hashlib.md5(f"42:{s}".encode()).hexdigest()[:15], 16) % 5
+    assert got == {(s, a): bucket(s) for s in ids for a in ids}
     sampling.downsample_negatives(log, 2, share=0.5).count()
     sampling.downsample_negatives_exact(log.withColumn("target", (F.col("aid") == 1).cast("int")), 1).count()
 
