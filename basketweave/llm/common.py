@@ -30,6 +30,14 @@ def salt(column: str | Column, salts: int = SALTS) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(salts)).cast("int")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as no column of ``df`` has it (Spark tells no letter case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _SHIPPED: set[str] = set()
 
 

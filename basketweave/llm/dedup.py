@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, WHITE, Scratch, salt, text_or_empty
+from .common import SALTS, WHITE, Scratch, free_name, salt, text_or_empty
 
 #: Leading characters of the normalised text that the sampled splitters are made of. Whole texts as
 #: splitters would pass the driver; texts alike this far are dealt by their hash and compared whole.
@@ -72,15 +72,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    sha = F.sha2(F.encode(F.regexp_replace(text_or_empty(text_col), WHITE, " "), "UTF-8"), 256)
+    sha, of, place, kept_id = (free_name(docs, c) for c in ("text_sha", "kept_sha", "kept_place", "kept_id"))
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(of))
+    marked = docs.withColumn(sha, F.sha2(F.encode(F.regexp_replace(text_or_empty(text_col), WHITE, " "), "UTF-8"), 256))
     # Rows that repeat id and text are told apart by their other columns, then one is taken.
-    marked = docs.withColumn("__sha", sha)
-    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (marked["__sha"] == kept["__sha"]), "left_semi")
+    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(of)), "left_semi")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
     order = [F.xxhash64(*rest)] if rest else [F.lit(1)]
-    place = F.row_number().over(Window.partitionBy(id_col, "__sha").orderBy(*order))
-    return met.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(id_col, sha).orderBy(*order))
+    return met.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)
 
 
 EXACT_SQL = r"""

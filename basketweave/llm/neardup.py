@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, Scratch, map_arrow, salt, text_or_empty
+from .common import SALTS, Scratch, free_name, map_arrow, salt, text_or_empty
 from .components import components
 from .shingles import MASK, WORDS, mix, set_key, shingle_sets
 
@@ -336,10 +336,11 @@ def near_duplicates(
 def keep_first_of_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One row, with all columns, of each class of near duplicates: that of the smallest id (and least text key)."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    key, of, place, kept_id = (free_name(docs, c) for c in ("text_key", "kept_key", "kept_place", "kept_id"))
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("first_key")))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__kept"))
-    marked = docs.withColumn("__key", F.xxhash64(text_or_empty(text_col)))
-    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__kept")), "left_semi")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("text_key").alias(of))
+    marked = docs.withColumn(key, F.xxhash64(text_or_empty(text_col)))
+    met = marked.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(of)), "left_semi")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    place = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy(F.xxhash64(*rest) if rest else F.lit(1)))
-    return met.withColumn("__place", place).filter("__place = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(id_col, key).orderBy(F.xxhash64(*rest) if rest else F.lit(1)))
+    return met.withColumn(place, first).filter(F.col(place) == 1).select(*docs.columns)

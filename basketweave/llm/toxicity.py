@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, map_arrow, text_or_empty
+from .common import Scratch, free_name, map_arrow, text_or_empty
 
 #: Labelled rows that the word weights are learned from, taken in hash order of their id. Also the bound of the broadcast.
 TRAIN_ROWS = 20_000
@@ -27,8 +27,10 @@ PREFIXES, MOST_COUNTED = range(3, 8), 5
 REGULARISATION = 1e-4
 #: Symbols of the language model: 0 stands between words, 1 to 26 for letters; contexts of three symbols.
 BITS, ORDER = 5, 4
-#: Decoded tokens that a worker keeps.
-HELD = 200_000
+#: Decoded tokens, words or pieces that a worker keeps of each, and the longest piece that is kept.
+HELD, LONGEST_HELD = 100_000, 64
+#: Rows that a worker holds as Python texts at a time.
+ROWS = 256
 
 # Accented Latin-1 small letters by their base letters, and what signs may stand for.
 ACCENTS = dict(zip("àáâãäåçèéêëìíîïñòóôõöøùúûüýÿß", "aaaaaaceeeeiiiinoooooouuuuyys"))
@@ -56,8 +58,10 @@ def _tables() -> tuple[np.ndarray, np.ndarray, bytes, bytes]:
 
 SYMBOL, KIND, TO_WORDS, TO_BASE = _tables()
 SIGNS = re.escape("".join(LEET) + WILD)
-SIGNED = re.compile(rf"[a-z]+[{SIGNS}][a-z{SIGNS}]*|[{SIGNS}]+[a-z][a-z{SIGNS}]*")
-REPEATED = re.compile(r"[a-z]*([a-z])\1\1[a-z]*")
+SIGNED = re.compile(rf"[a-z]++[{SIGNS}][a-z{SIGNS}]*|[{SIGNS}]++[a-z][a-z{SIGNS}]*")
+REPEATED = re.compile(r"(?<![a-z])[a-z]*?([a-z])\1\1[a-z]*")
+#: What a piece needs for a match of either.
+DISGUISED = re.compile(rf"[{SIGNS}]|([a-z])\1\1".encode())
 SPACED = re.compile(rf"(?<![a-z{SIGNS}])[a-z{SIGNS}](?:[\s._\-/]+[a-z{SIGNS}]){{2,}}(?![a-z{SIGNS}])")
 TRAIL = re.compile(r"([!*$+|@])\1+$")
 
@@ -117,26 +121,30 @@ def all_words(text: str) -> list[bytes]:
 
 
 def suspicious(raw: bytes) -> bool:
-    """Whether the text holds a sign beside a letter, a letter three times, or three single characters in a row.
+    """Whether the text holds a sign beside a letter, a letter three times, or three single characters in a row."""
+    return any(suspicions(raw))
+
+
+def suspicions(raw: bytes) -> tuple[bool, bool]:
+    """Whether the text holds a sign beside a letter or a letter three times; and whether three single characters in a row.
 
     Stars that end a word two or more at a time are marks, no signs.
     """
     b = np.frombuffer(raw, np.uint8)
     if len(b) < 3:
-        return False
+        return False, False
     kind = KIND[b]
     letter = kind == 1
     sign, star = kind == 2, np.concatenate((b == ord(WILD), [False]))
-    if (sign[:-1] & letter[1:]).any() or (letter[:-1] & sign[1:] & ~(star[1:-1] & star[2:])).any():
-        return True
-    same = b[1:] == b[:-1]
-    if (same[1:] & same[:-1] & letter[2:]).any():
-        return True
+    inside = bool((sign[:-1] & letter[1:]).any() or (letter[:-1] & sign[1:] & ~(star[1:-1] & star[2:])).any())
+    if not inside:
+        same = b[1:] == b[:-1]
+        inside = bool((same[1:] & same[:-1] & letter[2:]).any())
     some = np.concatenate(([False], kind > 0, [False]))
     alone = some[1:-1] & ~some[:-2] & ~some[2:]
     # Number of each single character among all characters of the model: three in a row have no other between.
     place = np.cumsum(some[1:-1])[alone]
-    return bool((place[2:] - place[:-2] == 2).any())
+    return inside, bool((place[2:] - place[:-2] == 2).any())
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -159,12 +167,33 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+def _wild_step(states: dict[int, tuple[float, tuple]], cost: np.ndarray, mask: int) -> dict[int, tuple[float, tuple]]:
+    """Any letter or none after each state; one state is kept for each context."""
+    contexts, totals = np.array(list(states)), np.array([s[0] for s in states.values()])
+    packed = contexts[:, None] << BITS | np.arange(1, 27)
+    at = np.concatenate((contexts[:, None], packed & mask), axis=1).ravel()
+    total = np.concatenate(((totals + DROP_COST)[:, None], (totals + WILD_COST)[:, None] + cost[packed]), axis=1).ravel()
+    order = np.lexsort((total, at))
+    first = order[np.flatnonzero(np.diff(at[order], prepend=-1))]
+    if len(first) > BEAM:
+        first = first[np.argsort(total[first], kind="stable")[:BEAM]]
+    texts = [s[1] for s in states.values()]
+    return {int(at[k]): (float(total[k]), (texts[k // 27], chr(96 + k % 27)) if k % 27 else texts[k // 27]) for k in first.tolist()}
+
+
 def viterbi(options: list[list[tuple[str, float]]], cost: array) -> str:
-    """The cheapest reading under channel and language model; ``cost`` has -log P(symbol | three before) by packed symbols."""
+    """The cheapest reading under channel and language model; ``cost`` has -log P(symbol | three before) by packed symbols.
+
+    Readings are kept as links to what they continue, so the work grows with the token's length only.
+    """
     mask = (1 << BITS * (ORDER - 1)) - 1
-    states = {0: (0.0, "")}
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
+    table = np.frombuffer(cost, np.float32)
     for choices in options + [[(" ", 0.0)]]:
-        new: dict[int, tuple[float, str]] = {}
+        if len(choices) == 27 and len(states) > 4:
+            states = _wild_step(states, table, mask)
+            continue
+        new: dict[int, tuple[float, tuple]] = {}
         for context, (so_far, text) in states.items():
             for letters, extra in choices:
                 at, total = context, so_far + extra
@@ -173,11 +202,20 @@ def viterbi(options: list[list[tuple[str, float]]], cost: array) -> str:
                     total += cost[packed]
                     at = packed & mask
                 if at not in new or total < new[at][0]:
-                    new[at] = total, text + letters
+                    new[at] = total, (text, letters)
         if len(new) > BEAM:
             new = dict(sorted(new.items(), key=lambda s: s[1][0])[:BEAM])
         states = new
-    return min(states.values())[1].strip()
+    least = min(s[0] for s in states.values())
+    return min(_spelt(link) for total, link in states.values() if total == least).strip()
+
+
+def _spelt(link: tuple) -> str:
+    letters = []
+    while link:
+        link, some = link
+        letters.append(some)
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -191,7 +229,10 @@ class Restorer:
         if token not in self.held:
             if len(self.held) >= HELD:
                 self.held.clear()
-            self.held[token] = " ".join(viterbi(lattice(t), self.cost) for t in dict.fromkeys((TRAIL.sub("", token), token)) if t)
+            found = " ".join(viterbi(lattice(t), self.cost) for t in dict.fromkeys((TRAIL.sub("", token), token)) if t)
+            if len(token) > LONGEST_HELD:
+                return found
+            self.held[token] = found
         return self.held[token]
 
     def restored(self, raw: bytes) -> list[str]:
@@ -227,21 +268,78 @@ class Model:
 
 
 class Scorer:
-    """A model in a worker, with the features of the words met so far in bounded memory."""
+    """A model in a worker, with the features of the pieces of text met so far in bounded memory.
 
-    def __init__(self, model: Model):
-        self.model, self.restorer, self.held = model, Restorer(model.cost), {}
+    Words and disguised words don't cross white space, so what a piece between white space adds to a text is worked out once:
+    its words with known features, and, for texts in which something is disguised, those of its decoded tokens.
+    """
 
-    def counts(self, text: str) -> dict[int, int]:
-        """How many distinct words have each known feature, at most MOST_COUNTED."""
-        out: dict[int, int] = {}
-        held, places = self.held, self.model.places
-        for w in set(self.restorer.words(text)):
+    def __init__(self, model: Model):
+        self.model, self.restorer = model, Restorer(model.cost)
+        self.heads = {f[:3] for f in model.places}  # a word and its beginnings share their first three bytes
+        self.held: dict[bytes, tuple] = {}
+        self.plain: dict[bytes, tuple] = {}
+        self.decoded: dict[bytes, tuple] = {}
+
+    def _known(self, words) -> tuple:
+        """The words with known features, and these."""
+        out, held, places = [], self.held, self.model.places
+        for w in words:
+            if w[:3] not in self.heads:
+                continue
             own = held.get(w)
             if own is None:
                 if len(held) >= HELD:
                     held.clear()
                 own = held[w] = tuple(places[f] for f in features(w) if f in places)
+            if own:
+                out.append((w, own))
+        return tuple(out)
+
+    def _plain(self, piece: bytes) -> tuple:
+        return self._known(piece.translate(TO_WORDS, b"\xad").decode("latin-1").encode().split())
+
+    def _decoded(self, piece: bytes) -> tuple:
+        base = piece.translate(TO_BASE)
+        if not DISGUISED.search(base):
+            return ()
+        base = base.decode("latin-1")
+        found = [self.restorer.decode(m.group()) for p in (SIGNED, REPEATED) for m in p.finditer(base)]
+        return self._known(" ".join(found).encode().split()) if found else ()
+
+    def _of_pieces(self, pieces: set[bytes], held: dict[bytes, tuple], make) -> dict[bytes, tuple]:
+        if len(held) + len(pieces) > HELD:
+            held.clear()
+        found: dict[bytes, tuple] = {}
+        for piece in pieces:
+            own = held.get(piece)
+            if own is None:
+                own = make(piece)
+                if len(piece) <= LONGEST_HELD:
+                    held[piece] = own
+            if own:
+                found.update(own)
+        return found
+
+    def known_words(self, text: str) -> dict[bytes, tuple]:
+        try:
+            raw = text.lower().encode("latin-1")
+        except UnicodeEncodeError:
+            return dict(self._known(set(self.restorer.words(text))))
+        pieces = set(raw.split())
+        found = self._of_pieces(pieces, self.plain, self._plain)
+        inside, apart = suspicions(raw)
+        if inside or apart:
+            found.update(self._of_pieces(pieces, self.decoded, self._decoded))
+        if apart:
+            base = raw.translate(TO_BASE).decode("latin-1")
+            found.update(self._known(" ".join(self.restorer.decode(m.group()) for m in SPACED.finditer(base)).encode().split()))
+        return found
+
+    def counts(self, text: str) -> dict[int, int]:
+        """How many distinct words have each known feature, at most MOST_COUNTED."""
+        out: dict[int, int] = {}
+        for own in self.known_words(text).values():
             for i in own:
                 out[i] = min(MOST_COUNTED, out.get(i, 0) + 1)
         return out
@@ -313,24 +411,27 @@ def _feature_counts(rows: DataFrame, cost) -> DataFrame:
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(cost.value)
-        for b in batches:
-            found = [_sketch(restorer.words(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(found, pa.int64()), b.column("toxic"), b.column("text")], ["doc_id", "sketch", "toxic", "text"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                words = [restorer.words(t) for t in b.column("text").to_pylist()]
+                found = pa.array([_sketch(w) for w in words], pa.int64())
+                restored = pa.array([b" ".join(w).decode() for w in words], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), found, b.column("toxic"), restored], ["doc_id", "sketch", "toxic", "words"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer = Restorer(cost.value)
         counts = Counter(), Counter()
         for b in batches:
-            for t, y in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                counts[y > 0].update({f for w in set(restorer.words(t)) for f in features(w)})
+            for t, y in zip(b.column("words"), b.column("toxic").to_pylist()):
+                counts[y > 0].update({f for w in set(t.as_py().encode().split()) for f in features(w)})
         found = sorted(counts[0].keys() | counts[1].keys())
         columns = {"feature": [f.decode("utf-8", "replace") for f in found], "t": [counts[1][f] for f in found], "c": [counts[0][f] for f in found]}
         yield pa.RecordBatch.from_pydict(columns, schema=pa.schema([("feature", pa.string()), ("t", pa.int64()), ("c", pa.int64())]))
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    marked = map_arrow(rows.select("doc_id", "toxic", "text"), sketches, f"doc_id {kind}, sketch bigint, toxic int, text string")
-    first = marked.groupBy("sketch", "toxic").agg(F.min_by("text", "doc_id").alias("text"))
-    counted = map_arrow(first.select("toxic", "text"), count, "feature string, t bigint, c bigint")
+    marked = map_arrow(rows.select("doc_id", "toxic", "text"), sketches, f"doc_id {kind}, sketch bigint, toxic int, words string")
+    first = marked.groupBy("sketch", "toxic").agg(F.min_by("words", "doc_id").alias("words"))
+    counted = map_arrow(first.select("toxic", "words"), count, "feature string, t bigint, c bigint")
     return counted.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
 
 
@@ -400,11 +501,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
-        for b in batches:
-            found = pa.array([scorer.score(t) for t in b.column("__text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), found], [*kept, score_col])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                b = whole.slice(at, ROWS)
+                found = pa.array([scorer.score(t) for t in b.column(len(kept)).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(len(kept))), found], [*kept, score_col])
 
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias("__text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], text_or_empty(text_col).alias(free_name(docs, "text_scored")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{score_col}` double"
     return map_arrow(rows, run, schema.lstrip(", "))
 

@@ -74,3 +74,18 @@ def test_packing_holds_every_token(spark, stages):
 def test_run_gives_the_last_stage(spark, stages):
     got = entry.queries()["pipeline"](spark, DATA)
     assert got.count() == len(stages[5]) and got.agg(F.sum("length")).first()[0] == stages[5].length.sum()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the stages name their own keep their values."""
+    from tests.llm.helpers import make_docs, prose
+
+    own = ["text_sha", "kept_sha", "kept_place", "kept_id", "text_key", "kept_key", "found_key", "found_id", "toxicity", "text_scored", "__sha", "__key", "__place"]
+    docs = make_docs(spark, [prose(30, 1), prose(30, 2), prose(30, 1), "an apple a day keeps doctors far away they say"])
+    for c in own:
+        docs = docs.withColumn(c, F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[c] == f"{c} of {r['doc_id']}" for c in own), name
