@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketweave.llm import decontaminate, dedup, neardup, packing, toxicity
-from basketweave.llm.common import Scratch, table
+from basketweave.llm.common import Scratch, free_name, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below 0.5; labels of documents that are gone aren't learned from."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score(docs, model, score_col="__toxicity")
-    return scored.filter(F.col("__toxicity") < 0.5).select(*docs.columns)
+    name = free_name(docs, "toxicity")
+    return toxicity.score(docs, model, score_col=name).filter(F.col(name) < 0.5).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
