@@ -12,7 +12,8 @@ ROUNDS = 8
 DATE_PARTS = (250, 292)
 
 # What may be personal data, by shape (Java syntax); ``_kind`` then validates each match.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}"
+# A host has at most 127 labels; the bound also keeps the matcher's stack small on any text.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}"
 IPV4 = r"(?:\d{1,3}\.){3}\d{1,3}(?![\w-]|\.\d)"
 DATE = r"(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([/.])\d{2}\2\d{4})(?![\w-]|[/.]\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\w-])"
@@ -29,6 +30,10 @@ LONGER = r"^\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}[ -]"
 WIDE = r"^\d{3,}+(?:[ -]\d{3,}+)*+$"
 #: Most digits of a value inside a run.
 MOST_DIGITS = 19
+# Beginnings and lengths of issued card numbers.
+ISSUED = r"^(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3[0689]\d{12,17}|35\d{14,17}|6\d{15,18})$"
+#: Other groups that may stand in one row with a value that only its digits tell (a check number, a date); more make a table.
+BESIDE = 2
 
 KINDS = ("email", "ip", "date", "ssn", "card", "phone")
 
@@ -140,7 +145,9 @@ def _parts(run: Column) -> Column:
 
     Every stretch of whole groups is tried, so a valid value is found whatever numbers stand beside it. Where valid
     stretches overlap, these go first: cards in their usual groups (first those of 16 digits or fewer groups that begin with 3 to 6), the run as
-    a whole, other kinds, cards in groups of three digits or more, cards in any groups at an end of the run.
+    a whole, other kinds, cards in groups of three digits or more, cards in any groups at an end of the run. Beside more than
+    ``BESIDE`` other groups the row is taken for a table of numbers: cards there need their usual groups and an issuer's
+    beginning and length, and blanks alone make no telephone number.
     """
     groups = F.regexp_extract_all(run, F.lit(r"[ -]?\d+"), F.lit(0))
     none = "array<struct<rank:int,start:int,size:int,raw:string,digits:string,kind:string>>"
@@ -162,8 +169,11 @@ def _parts(run: Column) -> Column:
         def rank(x: Column) -> Column:
             usual, whole = x["raw"].rlike(USUAL), x["size"] == n
             at_end = (x["start"] == 1) | (x["start"] + x["size"] - 1 == n)
-            card = F.when(usual & x["digits"].rlike("^[3-6]") & ~x["raw"].rlike(LONGER), 0).when(usual, 1).when(whole, 2).when(x["raw"].rlike(WIDE), 4).when(at_end, 5)
-            return F.when(x["kind"] == "card", card).when(whole, 2).otherwise(3)
+            few, issued = n - x["size"] <= BESIDE, x["digits"].rlike(ISSUED)
+            card = F.when(usual & x["digits"].rlike("^[3-6]") & ~x["raw"].rlike(LONGER) & (few | issued), 0).when(usual & (few | issued), 1).when(whole, 2)
+            card = card.when(few & issued & x["raw"].rlike(WIDE), 4).when(few & issued & at_end, 5)
+            table = ~few & x["raw"].rlike("^[0-9 ]+$")
+            return F.when(x["kind"] == "card", card).when(whole, 2).when(~table, 3)
 
         # Longest first among those of one rank and start.
         ranked = F.transform(each, lambda x: F.struct(rank(x).alias("rank"), x["start"].alias("start"), (-x["size"]).alias("size"), x["raw"].alias("raw"), x["digits"].alias("digits"), x["kind"].alias("kind")))

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -98,3 +99,21 @@ def test_odd_rows_and_counts(spark):
 def test_no_python_in_the_plan(spark):
     plan = pii.pseudonymise(make_docs(spark, ["a"]), "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_long_hosts_and_rows_do_not_break_the_matcher(spark):
+    """Hosts of any length, long digits and long words end; what is no address stays."""
+    texts = ["a@" + "a." * 3000 + "com", "a@" + "a." * 100_000 + "com", "a@" + "b" * 200_000 + ".com x", "7" * 3000, "a@b." * 20_000, "@" * 100_000]
+    got = {r["doc_id"]: r for r in pii.pseudonymise(make_docs(spark, texts), "k").collect()}
+    assert [got[k]["n_email"] for k in range(6)] == [0, 0, 1, 0, 0, 0]
+    assert all(got[k]["text"] == t for k, t in enumerate(texts) if k != 2) and len(got[2]["text"]) == len(texts[2])
+
+
+def test_tables_of_numbers_stay(spark):
+    r = random.Random(8)
+    texts = [" ".join(str(r.randint(0, 10 ** r.randint(1, 4) - 1)) for _ in range(100)) for _ in range(10)]
+    texts.append("paid with 4111 1111 1111 1111 123 today, call 555-123-4567 555-765-4321 555-222-3333")
+    got = {x["doc_id"]: x for x in pii.pseudonymise(make_docs(spark, texts), "k").collect()}
+    changed = sum(got[k]["n_card"] + got[k]["n_phone"] for k in range(10))
+    assert changed <= 1  # of 1,000 numbers: four groups of four that an issuer might have given
+    assert (got[10]["n_card"], got[10]["n_phone"]) == (1, 3)
