@@ -34,7 +34,7 @@ from ..session import drop_stage, shared_dir
 from .common import Scratch, map_arrow, ship_package, text_or_empty
 
 #: Bytes of text in a block (a longer text is a block of its own), tokens and words for which one more bucket is made.
-BLOCK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 16 << 20, 2_000_000, 1_000_000
+BLOCK_BYTES, BUCKET_TOKENS, BUCKET_WORDS = 12 << 20, 2_000_000, 1_000_000
 #: Tokens for which a context is dealt over one more bucket.
 SPLIT = 1 << 20
 #: Customers up to which the seatings of a word are summed up exactly; above, they are taken by their saddle point.
@@ -619,8 +619,9 @@ def _scorer(params: Params, word_ids: Callable, parts: int, buckets: int, split:
             backing = (params.strength + discount * as_context) / (params.strength + counts)
             at, before = own.token_places(), np.concatenate(([END], tokens[:-1]))
             chance = np.maximum(c[at] - discount * tables[at] / len(totals), 0.0) / (params.strength + counts[before])
+            del own, answers, at, c, tables
             for s in range(len(totals)):
-                chance = chance + backing[s][before] * parent[s][tokens] / len(totals)
+                chance += backing[s][before] * parent[s][tokens] / len(totals)
             base = np.log10((counts + 0.1) / (train_tokens + 0.1 * (known + 1)))[tokens]
             starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
             score = np.add.reduceat(np.log10(chance), starts)
