@@ -2,70 +2,103 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SALTS, WHITE, Scratch, free_name, salt, text_or_empty
+from .common import WHITE, Scratch, free_name, text_or_empty
 
 #: Leading characters of the normalised text that the sampled splitters are made of. Whole texts as
-#: splitters would pass the driver; texts alike this far are dealt by their hash and compared whole.
+#: splitters would pass the driver; texts alike this far are ordered by their hash and compared whole.
 SPLIT_CHARS = 48
+#: A text is hot if its copies are more than this part of all rows (and at least ``LEAST_HOT``), so there are fewer hot texts than this.
+HOT_PARTS = 65_536
+LEAST_HOT = 1_000
 
 
-def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def normalised(text_col: str) -> Column:
+    return F.regexp_replace(text_or_empty(text_col), WHITE, " ")
+
+
+def hot_texts(docs: DataFrame, text_col: str = "text", least: int = LEAST_HOT) -> DataFrame:
+    """``(h, runs)``: hash of each hot text, and the number of runs its copies are dealt over, about ``limit`` rows in each.
+
+    ``limit`` is ``least`` or the ``HOT_PARTS``-th part of all rows, whichever is more: at most ``HOT_PARTS`` rows come out,
+    whose runs together are at most twice as many. Only hashes are shuffled, as partial counts.
+    """
+    limit = max(least, docs.count() // HOT_PARTS)
+    counts = docs.select(F.xxhash64(normalised(text_col)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return counts.filter(F.col("n") > limit).select("h", F.ceil(F.col("n") / limit).cast("long").alias("runs"))
+
+
+def content_sort(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: DataFrame | None = None) -> DataFrame:
     """One narrow row per input row: id, sha256 of the normalised text, and its place among its copies.
 
     The normalised texts are range-partitioned by sampled splitters and sorted inside the partitions
-    (externally where they don't fit), so equal texts are neighbours, and a running window compares each
-    text with the one before. Copies of a frequent text are dealt over ``salts`` runs, each sorted on its
-    own; ``resolve_runs`` puts the runs together. Columns: id, text_sha256, run (salt), run_first (smallest
-    id in the run), run_place (1 for the first row of the run). Null texts count as empty, null ids sort last.
+    (externally where they don't fit), so equal texts are neighbours, and a window compares each whole
+    text with the one before. All copies of a text are in one run (0), except those of the texts in ``hot``
+    (``hot_texts``), which are dealt over several by id, each sorted on its own; ``join_runs`` puts these together. Columns: id,
+    text_sha256, run, dealt (whether the text has several runs), run_first (smallest id in the run), run_size,
+    run_place (1 for the first row of the run), edge (the text, in the first row of a dealt run). Null texts count
+    as empty, null ids sort last.
     """
-    norm = docs.select(F.col(id_col).alias("id"), F.regexp_replace(text_or_empty(text_col), WHITE, " ").alias("norm"))
-    keyed = norm.select(
-        "id", "norm", F.substring("norm", 1, SPLIT_CHARS).alias("lead"), F.xxhash64("norm").alias("h"), salt("id", salts).alias("run")
+    keyed = docs.select(F.col(id_col).alias("id"), normalised(text_col).alias("norm")).withColumn("h", F.xxhash64("norm"))
+    if hot is None:
+        runs, run = F.lit(1).cast("long"), F.lit(0).cast("long")
+    else:  # at most HOT_PARTS rows of two numbers
+        keyed = keyed.join(F.broadcast(hot), "h", "left")
+        runs = F.coalesce("runs", F.lit(1).cast("long"))
+        run = F.pmod(F.xxhash64("id"), runs)
+    keyed = keyed.select("id", "norm", "h", F.substring("norm", 1, SPLIT_CHARS).alias("lead"), run.alias("run"), (runs > 1).alias("dealt"))
+    order = ["lead", "h"] if hot is None else ["lead", "h", "run"]
+    ranged = keyed.repartitionByRange(*order)
+    same = Window.partitionBy(*order, "norm")
+    by = same.orderBy(F.col("id").asc_nulls_last())
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    placed = ranged.select(
+        "*", F.first("id").over(whole).alias("run_first"), F.count(F.lit(1)).over(whole).alias("run_size"), F.row_number().over(by).alias("run_place")
     )
-    dealt = keyed.repartitionByRange("lead", "h", "run")
-    by = Window.partitionBy("lead", "h", "run", "norm").orderBy(F.col("id").asc_nulls_last())
-    return dealt.select(
+    return placed.select(
         "id",
         "run",
+        "dealt",
         F.sha2(F.encode("norm", "UTF-8"), 256).alias("text_sha256"),
-        F.first("id").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("run_first"),
-        F.row_number().over(by).alias("run_place"),
+        "run_first",
+        "run_size",
+        "run_place",
+        F.when(F.col("dealt") & (F.col("run_place") == 1), F.col("norm")).alias("edge"),
     )
 
 
-def resolve_runs(rows: DataFrame) -> DataFrame:
-    """Merge the runs of each text: the smallest first id stays, the run lengths add up.
+def join_runs(rows: DataFrame) -> DataFrame:
+    """The runs of each hot text put together: whole texts at the runs' edges are compared, the smallest first id stays, sizes add up.
 
-    At most ``salts`` rows per text meet in one task.
+    One row per dealt run, so at most twice ``HOT_PARTS``.
     """
-    runs = rows.groupBy("text_sha256", "run").agg(F.min("run_first").alias("run_first"), F.count(F.lit(1)).alias("n"))
-    same = Window.partitionBy("text_sha256")
+    same = Window.partitionBy("text_sha256", "edge")
     first = same.orderBy(F.col("run_first").asc_nulls_last(), "run")
-    return runs.select(
+    return rows.filter(F.col("edge").isNotNull()).select(
         "text_sha256",
         "run",
-        F.first("run_first").over(first).alias("keep_id"),
-        F.sum("n").over(same).alias("group_size"),
+        F.first("run_first").over(first).alias("all_first"),
+        F.sum("run_size").over(same).alias("all_size"),
         (F.row_number().over(first) == 1).alias("leads"),
     )
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_hot: int = LEAST_HOT) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after each run of ASCII white space became one space. Of rows that
     repeat both text and id exactly one is kept. An empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.put(content_sort(docs, id_col, text_col, salts), "content-sort")
-    return rows.join(resolve_runs(rows), ["text_sha256", "run"]).select(
+    rows = scratch.put(content_sort(docs, id_col, text_col, hot_texts(docs, text_col, least_hot)), "content-sort")
+    together = F.broadcast(join_runs(rows))  # at most 2 * HOT_PARTS rows of a digest and three numbers
+    return rows.drop("edge").join(together, ["text_sha256", "run"], "left").select(
         F.col("id").alias("doc_id"),
-        "keep_id",
-        "group_size",
-        (F.col("leads") & (F.col("run_place") == 1)).alias("kept"),
+        F.when(F.col("dealt"), F.col("all_first")).otherwise(F.col("run_first")).alias("keep_id"),
+        F.when(F.col("dealt"), F.col("all_size")).otherwise(F.col("run_size")).alias("group_size"),
+        (F.coalesce("leads", F.lit(True)) & (F.col("run_place") == 1)).alias("kept"),
         "text_sha256",
     )
 
@@ -74,7 +107,7 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of ``docs``, with all their columns, that ``exact_duplicates`` keeps."""
     sha, of, place, kept_id = (free_name(docs, c) for c in ("text_sha", "kept_sha", "kept_place", "kept_id"))
     kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias(kept_id), F.col("text_sha256").alias(of))
-    marked = docs.withColumn(sha, F.sha2(F.encode(F.regexp_replace(text_or_empty(text_col), WHITE, " "), "UTF-8"), 256))
+    marked = docs.withColumn(sha, F.sha2(F.encode(normalised(text_col), "UTF-8"), 256))
     # Rows that repeat id and text are told apart by their other columns, then one is taken.
     met = marked.join(kept, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(sha) == F.col(of)), "left_semi")
     rest = [c for c in docs.columns if c not in (id_col, text_col)]

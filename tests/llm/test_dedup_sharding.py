@@ -43,6 +43,28 @@ def test_empty_table(spark):
     assert dedup.keep_first_copies(spark.createDataFrame([], SCHEMA)).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_neighbours_in_the_sort_find_all_copies(spark):
+    texts = [f"hot  {'text' * 20} {k % 7}" for k in range(400)] + [prose(20, k % 40) for k in range(100)] + [None, "", " ", "\t"]
+    docs = make_docs(spark, texts)
+    groups = {sha: (first, n) for (_, first, n, sha) in brute_force(docs.collect())}
+    rows = dedup.content_sort(docs).collect()
+    assert all((r["run_first"], r["run_size"]) == groups[r["text_sha256"]] and not r["dealt"] for r in rows)
+    assert sum(r["run_place"] > 1 for r in rows) == len(texts) - len(groups)
+
+
+def test_runs_of_hot_texts_are_put_together(spark):
+    texts = ["hot  text"] * 300 + ["warm text"] * 50 + [prose(20, k % 40) for k in range(100)] + ["hot text\n"] * 3 + [(None, "hot text")] * 30
+    docs = make_docs(spark, texts)
+    hot = dedup.hot_texts(docs, least=40).collect()
+    assert sorted(r["runs"] for r in hot) == [2, 9]  # the line feed becomes a space, so "hot text " is another text
+    sizes = [r["run_size"] for r in dedup.content_sort(docs, hot=dedup.hot_texts(docs, least=40)).filter("dealt and run_place = 1").collect()]
+    assert sum(sizes) == 380 and max(sizes) < 100
+    got = dedup.exact_duplicates(docs, least_hot=40).collect()
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == brute_force(docs.collect())
+    assert sum(r["kept"] for r in got) == len({r["text_sha256"] for r in got})
+    assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got if r["doc_id"] is not None)
+
+
 def test_one_exchange_moves_the_texts_and_no_python_runs(spark):
     plan = dedup.content_sort(make_docs(spark, ["a", "b"]))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "rangepartitioning" in plan and "Python" not in plan and "Arrow" not in plan
