@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from basketweave.functions.events import hash_bucket
+from basketweave.operators import boost_rounds
 from basketweave.operators.rank_rounds import fit_rounds
 from basketweave.operators.sampling import (
     HASH_RANGE,
@@ -132,12 +133,46 @@ def boost(train: DataFrame, valid: DataFrame | None, params: BoostedParams) -> G
         n *= 2
 
 
+def tree_learner(params, **more) -> RandomForestRegressor:
+    """One regression tree a fit, drawn as ``params`` say."""
+    return RandomForestRegressor(
+        numTrees=1,
+        bootstrap=False,
+        maxDepth=params.maxDepth,
+        subsamplingRate=params.subsamplingRate,
+        featureSubsetStrategy=params.featureSubsetStrategy,
+        minInstancesPerNode=params.minInstancesPerNode,
+        **more,
+    )
+
+
+def boost_on(train: DataFrame, valid: DataFrame, params: BoostedParams) -> GBTClassificationModel:
+    """As ``boost`` without ``max_trees``, but no tree is grown twice: boosting goes on from the trees it has.
+
+    As many trees are grown as are kept, and ``early_stopping_rounds`` more. Rows and features of tree k are drawn by seed + k.
+    """
+    spark = train.sparkSession
+    trees, weights, _ = boost_rounds.fit_rounds(
+        train,
+        valid,
+        tree_learner(params),
+        params.stepSize,
+        params.early_stopping_rounds,
+        params.seed,
+        lambda trees, weights: weighted_trees(spark, trees, weights),
+    )
+    jvm = spark._jvm.org.apache.spark.ml.classification
+    uid = f"GBTClassifier_{uuid.uuid4().hex[:12]}"
+    return GBTClassificationModel(jvm.GBTClassificationModel(uid, *java_trees(spark, trees, weights), trees[0].numFeatures, 2))
+
+
 def train_classifier(
     vectors: DataFrame, folds: int = 5, negative_rate: float = 20, params: BoostedParams = BoostedParams()
 ) -> list[GBTClassificationModel]:
     """One boosted-tree classifier per fold of ``to_vectors``.
 
-    Train and validation parts are down-sampled separately; ``boost`` decides on the number of trees.
+    Train and validation parts are down-sampled separately. ``boost_on`` decides on the number of trees, or ``boost`` where
+    ``max_trees`` bounds it or nothing is there to validate with.
     """
     ensure_checkpoint_dir(vectors.sparkSession)
     counts = fold_counts(vectors)
@@ -154,7 +189,8 @@ def train_classifier(
         if not train_pos:
             raise ValueError(f"no positives outside fold {k}")
         label = F.col("target").cast("double").alias("label")
-        models.append(boost(train.select("features", label), valid.select("features", label) if valid_pos else None, params))
+        fit = boost if params.max_trees or not valid_pos else boost_on
+        models.append(fit(train.select("features", label), valid.select("features", label) if valid_pos else None, params))
     return models
 
 
@@ -241,19 +277,28 @@ class RankerParams:
     seed: int = 3655
 
 
-def tree_sum(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], step: float) -> GBTRegressionModel:
-    """One ensemble model whose prediction is ``step`` times the sum of the trees.
+def java_trees(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], weights: Sequence[float]) -> tuple:
+    """The trees and their weights as arrays that MLlib's ensemble models are made of."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    of_trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, len(trees))
+    of_weights = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights, strict=True)):
+        of_trees[i], of_weights[i] = tree._java_obj, float(weight)
+    return of_trees, of_weights
+
+
+def weighted_trees(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], weights: Sequence[float]) -> GBTRegressionModel:
+    """One ensemble model whose prediction is the weighted sum of the trees.
 
     It scores in a single pass however many trees there are, and saves and loads like any model.
     """
-    jvm, gateway = spark._jvm, spark.sparkContext._gateway
-    tree_class = jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel
-    java_trees = gateway.new_array(tree_class, len(trees))
-    weights = gateway.new_array(gateway.jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        java_trees[i], weights[i] = tree._java_obj, float(step)
-    uid = f"PairwiseRanker_{uuid.uuid4().hex[:12]}"
-    return GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, java_trees, weights))
+    uid = f"BoostedTrees_{uuid.uuid4().hex[:12]}"
+    return GBTRegressionModel(spark._jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, *java_trees(spark, trees, weights)))
+
+
+def tree_sum(spark: SparkSession, trees: Sequence[DecisionTreeRegressionModel], step: float) -> GBTRegressionModel:
+    """One ensemble model whose prediction is ``step`` times the sum of the trees."""
+    return weighted_trees(spark, trees, [step] * len(trees))
 
 
 def sample_pairs(scored: DataFrame, pairs_per_positive: int = 1, seed: int = 42) -> DataFrame:
@@ -321,15 +366,7 @@ def _fit_ranker(vectors: DataFrame, fold: int, params: RankerParams) -> GBTRegre
     rows = semi_positive_sessions(vectors).select(*KEYS, "target", (F.col("fold") == fold).alias("valid"), "features")
     if rows.where((F.col("target") == 1) & ~F.col("valid")).isEmpty():
         raise ValueError(f"no positives outside fold {fold}")
-    learner = RandomForestRegressor(
-        numTrees=1,
-        bootstrap=False,
-        weightCol="weight",
-        maxDepth=params.maxDepth,
-        subsamplingRate=params.subsamplingRate,
-        featureSubsetStrategy=params.featureSubsetStrategy,
-        minInstancesPerNode=params.minInstancesPerNode,
-    )
+    learner = tree_learner(params, weightCol="weight")
     return tree_sum(vectors.sparkSession, fit_rounds(rows, learner, params), params.stepSize)
 
 

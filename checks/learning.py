@@ -290,6 +290,16 @@ def train_classifier_planted(spark, sf):
     return scores.select("session", "aid", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("train_classifier_patience", sql(f"SELECT session, aid, CAST({PLANTED} >= 7 AS INTEGER) AS predicted FROM labelled"))
+def train_classifier_patience(spark, sf):
+    """With no bound on the trees. One label in eight is turned, so that patience ends it; leaves hold too many rows to follow single labels."""
+    vectors = planted_vectors(spark, sf, 7)
+    turned = F.when(hash_bucket(9, 8, session="session", aid="aid") == 0, 1 - F.col("target")).otherwise(F.col("target"))
+    params = learn.BoostedParams(early_stopping_rounds=2, **PLAIN | {"minInstancesPerNode": 100})
+    scores = learn.predict_oof(vectors, learn.train_classifier(vectors.withColumn("target", turned), 2, params=params))
+    return scores.select("session", "aid", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query(
     "train_ranker_planted",
     sql(f"""SELECT session, min(v) FILTER (WHERE v >= 7) AS least_positive, max(v) FILTER (WHERE v < 7) AS most_negative, true AS ordered

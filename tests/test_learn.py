@@ -111,6 +111,24 @@ def test_boosting_waits_for_a_later_gain(vectors):
     assert first_worse < 23 and (best > first_worse or best + 1 == len(kept))
 
 
+def test_boosting_goes_on_from_its_trees(vectors, frame, monkeypatch, tmp_path):
+    """Trees grown = trees kept + patience, the losses on the way are the model's own, and margins stored anew change nothing."""
+    noisy = vectors.withColumn("label", F.when(F.xxhash64("session", "aid") % 4 == 0, 1.0 - F.col("target")).otherwise(F.col("target").cast("double")))
+    train, valid = (noisy.where(F.col("fold") == k).select("features", "label") for k in (0, 1))
+    params = learn.BoostedParams(early_stopping_rounds=3, stepSize=0.05, maxDepth=3, minInstancesPerNode=20, featureSubsetStrategy="all")
+    seen, fit = [], learn.boost_rounds.fit_rounds
+    monkeypatch.setattr(learn.boost_rounds, "STORE_EVERY", 2)
+    monkeypatch.setattr(learn.boost_rounds, "fit_rounds", lambda *a: seen.append(fit(*a)) or seen[0])
+    model = learn.boost_on(train, valid, params)
+    trees, weights, losses = seen[0]
+    assert len(trees) > 2 and len(losses) == len(trees) + 3 and losses[len(trees) - 1] == min(losses) and weights == model.treeWeights
+    assert model.evaluateEachIteration(valid) == pytest.approx(losses[: len(trees)])
+    assert model.numFeatures == len(vectors.first()["features"])
+    learn.save_models([model], str(tmp_path))
+    assert rows(learn.predict_ensemble(vectors, learn.load_models(str(tmp_path), 1))) == rows(learn.predict_ensemble(vectors, [model]))
+    assert auc(learn.predict_ensemble(vectors, [model]), frame) > 0.9
+
+
 def test_pairs_inside_the_rows_are_those_of_the_join(frame):
     scored = frame.withColumn("score", F.col("signal"))
     grouped = scored.groupBy("session").agg(F.sort_array(F.collect_list(F.struct("aid", "target", "score"))).alias("e"))
