@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ def features_vector_session(events: DataFrame, vectors: DataFrame) -> DataFrame:
     Events are first counted per (session, aid), so an item's vector is joined once however often it occurs.
     Means skip events without a vector; the last vector is that of the newest of the last five events that
     has one. A session without any vector gets zeros.
+
+    A vector travels as one column, and one weighted sum per mean adds it up: the plan doesn't grow with the dimensions.
     """
     dims, none = dimensions(vectors), F.lit(None).cast("int")
     tagged = events.select("session", "aid", F.lit(1).alias("n_all"), F.lit(0).alias("n_last"), none.alias("recency"))
@@ -40,25 +44,40 @@ def features_vector_session(events: DataFrame, vectors: DataFrame) -> DataFrame:
         .groupBy("session", "aid")
         .agg(F.sum("n_all").alias("n_all"), F.sum("n_last").alias("n_last"), F.min("recency").alias("recency"))
     )
-    known = F.col("svd_0").isNotNull()
-    aggs = [F.sum(F.when(known, F.col(n))).alias(f"w_{n}") for n in ("n_all", "n_last")]
-    for i in range(dims):
-        value = F.col(f"svd_{i}").cast("double")
-        aggs += [F.sum(value * F.col(n)).alias(f"{n}_{i}") for n in ("n_all", "n_last")]
-        aggs.append(F.min_by(value, F.when(known, F.col("recency"))).alias(f"newest_{i}"))
-    sums = counts.join(vectors, "aid", "left").groupBy("session").agg(*aggs)
+    packed = vectors.select(
+        "aid", F.array(*[F.coalesce(F.col(f"svd_{i}").cast("double"), F.lit(0.0)) for i in range(dims)]).alias("svd"), F.col("svd_0").isNotNull().alias("known")
+    )
+    zeros = F.array(*[F.lit(0.0)] * dims)
+    joined = counts.join(packed, "aid", "left").select(
+        "session", "n_all", "n_last", "recency", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("svd", zeros).alias("svd")
+    )
+    # Unknown vectors enter the sums as zeros with their full weight: a sum needs some weight in every group.
+    rows = joined.withColumn("row", array_to_vector("svd"))
+    sums = rows.groupBy("session").agg(
+        *[F.sum(F.when(F.col("known"), F.col(n))).alias(f"w_{n}") for n in ("n_all", "n_last")],
+        *[Summarizer.sum(F.col("row"), F.col(n).cast("double")).alias(f"sum_{n}") for n in ("n_all", "n_last")],
+        F.min_by("svd", F.when(F.col("known"), F.col("recency"))).alias("newest"),
+    )
+    arrays = sums.select(
+        "session", "w_n_all", "w_n_last", "newest", *[vector_to_array(f"sum_{n}").alias(f"sum_{n}") for n in ("n_all", "n_last")]
+    )
 
     def mean(n: str, i: int):
-        return F.when(F.col(f"w_{n}") > 0, F.col(f"{n}_{i}") / F.col(f"w_{n}")).otherwise(F.lit(0.0))
+        return F.when(F.col(f"w_{n}") > 0, F.col(f"sum_{n}")[i] / F.col(f"w_{n}")).otherwise(F.lit(0.0))
 
-    return sums.select(
+    return arrays.select(
         "session",
-        *[F.coalesce(F.col(f"newest_{i}"), F.lit(0.0)).alias(f"svd_{i}_last1") for i in range(dims)],
+        *[F.coalesce(F.col("newest")[i], F.lit(0.0)).alias(f"svd_{i}_last1") for i in range(dims)],
         *[mean("n_last", i).alias(f"svd_{i}_last{LAST}") for i in range(dims)],
         *[mean("n_all", i).alias(f"svd_{i}_all") for i in range(dims)],
     )
 
 
+def l1_norm(column: str):
+    """Sum of the absolute values of an array."""
+    return F.aggregate(column, F.lit(0.0), lambda total, x: total + F.abs(x))
+
+
 def l1_distance(a: list[str], b: list[str]):
     """Sum of absolute differences of two lists of columns."""
     pairs = [F.abs(F.col(x) - F.col(y)) for x, y in zip(a, b, strict=True)]
@@ -76,17 +95,22 @@ def features_vector_pair(
     ``item_vectors`` comes from ``features_vector_item`` and ``session_vectors`` from
     ``features_vector_session``. All variants are computed in one pass over the candidates.
     """
-    joined = (
-        candidates.select("session", "aid")
-        .join(item_vectors, "aid", "left")
-        .join(session_vectors, "session", "left")
-    )
-    filled = joined.select("session", "aid", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in joined.columns if c not in ("session", "aid")])
     dims = dimensions(item_vectors, "_candidates")
-    item = [f"svd_{i}_candidates" for i in range(dims)]
+
+    def packed(names: list[str], name: str):
+        return F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names]).alias(name)
+
+    items = item_vectors.select("aid", packed([f"svd_{i}_candidates" for i in range(dims)], "item"))
+    sessions = session_vectors.select("session", *[packed([f"svd_{i}_{v}" for i in range(dims)], v) for v in variants])
+    zeros = F.array(*[F.lit(0.0)] * dims)
+    joined = candidates.select("session", "aid").join(items, "aid", "left").join(sessions, "session", "left")
+    diffs = joined.select(
+        "session",
+        "aid",
+        *[F.zip_with(F.coalesce("item", zeros), F.coalesce(v, zeros), lambda x, y: x - y).alias(v) for v in variants],
+    )
     out = []
     for v in variants:
-        own = [f"svd_{i}_{v}" for i in range(dims)]
-        out += [(F.col(x) - F.col(y)).alias(f"svd_{i}_diff_candidates_{v}") for i, (x, y) in enumerate(zip(item, own, strict=True))]
-        out.append(l1_distance(item, own).alias(f"svd_total_diff_candidates_{v}"))
-    return filled.select("session", "aid", *out)
+        out += [F.col(v)[i].alias(f"svd_{i}_diff_candidates_{v}") for i in range(dims)]
+        out.append(l1_norm(v).alias(f"svd_total_diff_candidates_{v}"))
+    return diffs.select("session", "aid", *out)
