@@ -30,6 +30,29 @@ def item_sequences(events: DataFrame, max_length: int = 1000) -> DataFrame:
     )
 
 
+def overlapping_chunks(positioned: DataFrame, columns: list[str], length: int, margin: int) -> DataFrame:
+    """Sessions cut into chunks that know their neighbours: ``(session, chunk, items, skip, core)``.
+
+    ``items`` are structs of ``position`` and ``columns`` in time order. The ``core`` items after the first ``skip``
+    belong to this chunk alone; up to ``margin`` (at most ``length``) items of the session on either side come with
+    them, so a window of that reach around each core item is whole and no pair is lost or made twice.
+    ``positioned`` comes from ``with_positions``.
+    """
+    at, last = F.col("position"), F.floor((F.col("session_length") - 1) / length)
+    first = F.floor(F.greatest(at - margin, F.lit(0)) / length)
+    chunk = F.explode(F.sequence(first, F.least(F.floor((at + margin) / length), last))).alias("chunk")
+    own = F.when(F.floor(at / length) == F.col("chunk"), 1)
+    return (
+        positioned.select("session", "position", chunk, *columns)
+        .groupBy("session", "chunk")
+        .agg(
+            F.array_sort(F.collect_list(F.struct("position", *columns))).alias("items"),
+            F.count(F.when(at < F.col("chunk") * length, 1)).cast("int").alias("skip"),
+            F.count(own).cast("int").alias("core"),
+        )
+    )
+
+
 def train_item_vectors(
     sequences: DataFrame,
     size: int = 50,
@@ -41,7 +64,7 @@ def train_item_vectors(
     """Skip-gram vectors ``(aid, vector)`` of every item in ``sequences``.
 
     The vocabulary is the item catalogue. Its size is checked first, because the learner holds the model in
-    each JVM.
+    each JVM; ``skipgram.train_skipgram`` takes any catalogue.
     """
     spark = sequences.sparkSession
     items = sequences.select(F.explode("sentence").alias("aid")).distinct().count()

@@ -18,7 +18,8 @@ from basketweave.operators import matrix_features as mx
 from basketweave.operators import vector_features as vec
 from basketweave.operators.learn import assemble_features
 from basketweave.operators.recency import with_positions
-from basketweave.operators.vectors import item_sequences, reduce_vectors, train_item_vectors
+from basketweave.operators.skipgram import train_skipgram
+from basketweave.operators.vectors import reduce_vectors
 from basketweave.session import stage
 from basketweave.sources.tables import (
     EDGE_KINDS,
@@ -91,7 +92,7 @@ def build_candidates(events_recent: DataFrame, root: str, phase: str, limits: Li
 
 
 def build_item_vectors(events: DataFrame, root: str, phase: str, limits: Limits = Limits()) -> None:
-    vectors = train_item_vectors(stage(item_sequences(events), "sequences"), limits.vector_size)
+    vectors = train_skipgram(events, limits.vector_size)
     save_parquet(reduce_vectors(stage(vectors, "vectors"), limits.vector_dims), f"{root}/item_vectors/phase={phase}")
 
 

@@ -12,6 +12,7 @@ from basketweave.operators import features as ft
 from basketweave.operators import learn, quality, sampling
 from basketweave.operators import recommend as rec
 from basketweave.operators import vectors as vect
+from basketweave.operators.skipgram import train_skipgram as train_skipgram_vectors
 from basketweave.operators.candidates import label_candidates
 from basketweave.plans import phases
 from basketweave.session import shared_dir, stage
@@ -117,6 +118,23 @@ def train_item_vectors(spark, sf):
     return flat.select("aid", F.lit(len(flat.columns) - 1).alias("dimensions"), finite.alias("finite"))
 
 
+CLUSTERS = 4
+
+
+# A planted answer: sessions of one class hold that class's items alone, so items lie nearest to their own class's mean.
+@query("train_skipgram", sql(f"SELECT DISTINCT session % {CLUSTERS} AS class, true AS found FROM fx_known"))
+def train_skipgram(spark, sf):
+    owner = F.col("session") % CLUSTERS
+    planted = fx.fx_known(spark, sf).withColumn("aid", (owner * 1000 + F.col("aid") % 20).cast("long"))
+    trained = stage(train_skipgram_vectors(planted, size=8, rate=0.2, sample=0, block_items=30), "skipgram")
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x))
+    unit = trained.select((F.col("aid") / 1000).cast("long").alias("class"), F.transform("vector", lambda x: x / norm).alias("vector"))
+    means = unit.groupBy("class").agg(*[F.avg(F.col("vector")[k]).alias(f"m{k}") for k in range(8)]).orderBy("class").collect()
+    close = F.array(*[sum(F.col("vector")[k] * F.lit(row[f"m{k}"]) for k in range(8)) for row in means])
+    nearest = F.array(*[F.lit(row["class"]) for row in means])[(F.array_position(close, F.array_max(close)) - 1).cast("int")]
+    return unit.groupBy("class").agg((F.avg((nearest == F.col("class")).cast("double")) >= 0.9).alias("found"))
+
+
 # The reduction is a projection: no vector gets longer, the columns are orthogonal and fall in length.
 @query("reduce_vectors", sql("SELECT vec_id AS aid, true AS no_longer, true AS orthogonal, true AS descending FROM embeddings"))
 def reduce_vectors(spark, sf):
