@@ -41,7 +41,10 @@ def with_positions(events: DataFrame) -> DataFrame:
     A running sum over the sizes of a session's runs gives the offset of each run: as many rows as the session
     has ranges.
     """
-    runs = ranked_runs(events)
+    # All columns but the keys travel as one, so that none of them meets a name used here.
+    keys = ["session", "ts", "event_id"]
+    rest = [c for c in events.columns if c not in keys]
+    runs = ranked_runs(events.select(*keys, *([F.struct(*rest).alias("rest")] if rest else [])))
     sizes = runs.groupBy("session", "run").agg(F.max("place").alias("n"))
     by_session = Window.partitionBy("session")
     before = by_session.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,4 +55,6 @@ def with_positions(events: DataFrame) -> DataFrame:
         F.sum("n").over(by_session).cast("long").alias("session_length"),
     )
     position = (F.col("offset") + F.col("place") - 1).cast("long").alias("position")
-    return runs.join(offsets, ["session", "run"]).select(*events.columns, position, "session_length")
+    return runs.join(offsets, ["session", "run"]).select(
+        *[F.col(f"rest.`{c}`") if c in rest else F.col(c) for c in events.columns], position, "session_length"
+    )

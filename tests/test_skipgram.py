@@ -22,6 +22,16 @@ def test_chunks_give_each_context_pair_once(events, length):
     assert sorted(found) == sorted(wanted)
 
 
+def test_positions_keep_columns_of_any_name(events):
+    log = events([(1, 5, 3, 0), (1, 6, 1, 0), (2, 7, 1, 0)])
+    for name in ("place", "run", "offset", "n", "rest"):
+        log = log.withColumn(name, F.col("aid") * 10)
+    out = with_positions(log)
+    assert out.columns == [*log.columns, "position", "session_length"]
+    assert sorted((r["aid"], r["position"], r["session_length"]) for r in out.collect()) == [(5, 1, 2), (6, 0, 2), (7, 0, 1)]
+    assert all(r[name] == r["aid"] * 10 for r in out.collect() for name in ("place", "run", "offset", "n", "rest"))
+
+
 def test_pairs_do_not_depend_on_chunks_or_blocks(events, spark):
     log = events([(s, (s * 7 + k * k) % 50, k, 0) for s in range(20) for k in range(s)])
 
