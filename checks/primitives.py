@@ -240,9 +240,7 @@ query(
         WHERE NOT EXISTS (SELECT 1 FROM fx_observed o WHERE o.session = s.session AND o.aid = t.aid))
       WHERE k <= {N_CANDIDATES}"""),
 )(
-    lambda s, d: cand.additional_clicks(
-        fx.fx_observed(s, d), edges(s, d, "clicks").where(F.col("aid_x") < 0), N_CANDIDATES
-    )
+    lambda s, d: cand.top_fillers(fx.fx_observed(s, d), 0, N_CANDIDATES)
 )
 query(
     "feature_attach",

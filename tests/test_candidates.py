@@ -122,3 +122,11 @@ def test_submission_text_is_cut_and_sorted(spark):
         ("1_carts", "9"), ("1_clicks", "9"), ("1_orders", "9"),
         ("2_carts", "1234"), ("2_clicks", "1234 5678"), ("2_orders", "1234"),
     ]
+
+
+def test_fillers_reach_sessions_with_many_items(events):
+    """A session that holds as many items as are asked for still gets the top items it lacks."""
+    log = [(1, a, 10 + a, 0) for a in (1, 2, 3)] + [(2, a, 20 + a, 0) for a in (1, 4)] + [(3, 9, 30, 2)]
+    got = rows(cand.top_fillers(events(log), 0, 3))  # top clicks: 1 (twice), then 2, 3
+    assert got == [(2, 2, -1), (2, 3, -2), (3, 1, -1), (3, 2, -2), (3, 3, -3)]
+    assert rows(cand.top_fillers(events(log + [(4, 9, 40, 0), (5, 9, 40, 0), (6, 9, 40, 0)]), 0, 3))[0] == (1, 9, -1)
