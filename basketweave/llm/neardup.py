@@ -170,6 +170,40 @@ def spanning_edges(near: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]
     return out
 
 
+def joining_edges(near: np.ndarray, own: np.ndarray, nodes: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that join what ``near`` connects within each of two blocks: one for each two parts that meet.
+
+    The blocks' own cells give the spanning forests of the parts, so a group of many blocks has but a few edges for each pair of blocks.
+    """
+    place = {int(v): k for k, v in enumerate(nodes)}
+    inside = spanning_edges(near & (own[:, None] == own[None, :]), nodes)
+    part = np.arange(len(nodes))
+
+    def top(k: int) -> int:
+        while part[k] != k:
+            part[k] = part[part[k]]
+            k = part[k]
+        return int(k)
+
+    for a, b in inside:
+        part[top(place[b])] = top(place[a])
+    part = np.array([top(k) for k in range(len(nodes))])
+    first = np.flatnonzero(own == own[0])
+    other = np.flatnonzero(own != own[0])
+    a, b = np.nonzero(near[np.ix_(first, other)])
+    out = []
+    for code in np.unique(part[first][a] * len(nodes) + part[other][b]).tolist():
+        x, y = divmod(code, len(nodes))
+        if top(x) != top(y):
+            part[top(y)] = top(x)
+            out.append((int(nodes[x]), int(nodes[y])))
+    return out
+
+
+def _forest(near: np.ndarray, own: np.ndarray, i: int, j: int, nodes: np.ndarray) -> list[tuple[int, int]]:
+    return spanning_edges(near, nodes) if i == j else joining_edges(near, own, nodes)
+
+
 def _to_compare(own: np.ndarray, i: int, j: int) -> np.ndarray:
     """Which pairs of rows the cell (i, j) stands for."""
     pairs = own[:, None] != own[None, :] if i != j else np.ones((len(own), len(own)), bool)
@@ -180,7 +214,7 @@ def _to_compare(own: np.ndarray, i: int, j: int) -> np.ndarray:
 def like_sketches(threshold: float) -> Callable:
     def work(own, i, j, node, n, sketches) -> list[tuple]:
         s = np.frombuffer(b"".join(sketches), np.uint16).reshape(-1, BINS)
-        near = _to_compare(own, i, j)
+        near = ~np.eye(len(own), dtype=bool)
         near &= np.minimum.outer(n, n) >= threshold * np.maximum.outer(n, n)
         empty = s == 0
         for a in np.flatnonzero(near.any(axis=1)):
@@ -188,7 +222,7 @@ def like_sketches(threshold: float) -> Callable:
             used = BINS - (empty[b] & empty[a]).sum(axis=1)
             same = ((s[b] == s[a]) & ~empty[a]).sum(axis=1)
             near[a, b] = same >= threshold * used - DEVIATIONS * np.sqrt(threshold * (1 - threshold) * used)
-        return spanning_edges(near, node)
+        return _forest(near, own, i, j, node)
 
     return work
 
@@ -212,9 +246,9 @@ def exact_links(threshold: float) -> Callable:
             block[row[a:b], column[a:b] - at] = 1
             shared += block @ block.T
         union = n[:, None] + n[None, :] - shared
-        near = _to_compare(own, i, j) & (shared >= threshold * union - 1e-9)
-        links = near @ copies
-        return [(int(v), -1, int(k)) for v, k in zip(node, links) if k] + [(a, b, 0) for a, b in spanning_edges(near, node)]
+        near = (shared >= threshold * union - 1e-9) & ~np.eye(len(n), dtype=bool)
+        links = (near & _to_compare(own, i, j)) @ copies
+        return [(int(v), -1, int(k)) for v, k in zip(node, links) if k] + [(a, b, 0) for a, b in _forest(near, own, i, j, node)]
 
     return work
 

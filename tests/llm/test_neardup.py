@@ -104,3 +104,25 @@ def test_shingles_depend_on_their_words_alone():
     assert set(sets[1]) <= set(sets[0]) and len(sets[0]) == 3 and len(sets[2]) == 0
     assert list(sets[3]) == list(sets[4]) != list(sets[5])
     assert shingles.set_key(sets[3]) == shingles.set_key(sets[4]) != shingles.set_key(sets[5])
+
+
+def test_cells_of_two_blocks_give_one_edge_for_parts_that_meet():
+    """The edges of a group of many blocks grow with its members, not with members times blocks."""
+    size, blocks = 30, 6
+    names = np.arange(size * blocks).reshape(blocks, size)
+    sets = [np.arange(200, dtype=np.uint64).tobytes()] * 2 * size
+    same = [neardup.sketch(np.arange(200, dtype=np.uint64))] * 2 * size
+    found = {"sketches": [], "sets": []}
+    for i in range(blocks):
+        for j in range(i, blocks):
+            own = np.repeat([i, j], size) if i != j else np.repeat(i, size)
+            node, k = names[[i, j]].ravel() if i != j else names[i], len(own)
+            found["sketches"] += neardup.like_sketches(0.8)(own, i, j, node, np.full(k, 200), same[:k])
+            exact = neardup.exact_links(0.8)(own, i, j, node, np.ones(k, np.int64), sets[:k])
+            found["sets"] += [(a, b) for a, b, links in exact if not links]
+    for edges in found.values():
+        assert len(edges) == blocks * (size - 1) + blocks * (blocks - 1) // 2
+        reached = {0}
+        for _ in range(blocks + 1):
+            reached |= {x for e in edges if reached & set(e) for x in e}
+        assert len(reached) == size * blocks
