@@ -16,10 +16,8 @@ from .shingles import combine, hashed_words
 
 #: Terms are words hashed to so many features; a passage for the term statistics has so many words.
 FEATURES, PASSAGE = 1 << 15, 32
-#: Dimensions of the latent space, and of the random sketch beyond them.
+#: Dimensions of the latent space, and of the random sketch beyond them. The space is fitted on all passages and items.
 RANK, OVERSAMPLE = 96, 16
-#: Documents (in hash order of their id) whose passages, with all benchmark items, span the latent space.
-FIT_DOCS = 2_000
 #: Windows begin every STEP words and are so many steps long; each item is compared with windows of about its length.
 STEP, LENGTHS = 8, (1, 2, 4, 7)
 #: Items of fewer words than SHORT are also compared with windows of just their length at every word; items of more than
@@ -132,74 +130,100 @@ class Space:
         return sums, rows
 
 
-def _passage_matrix(words: np.ndarray, borders: np.ndarray, idf: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF passages times ``right``, as (product, feature of each word, passage of each word); rows have length 1."""
+def _passages(words: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Passage, feature and count of each distinct feature of a passage, by passage; and the number of passages."""
     n = np.diff(borders)
     local = np.arange(len(words)) - np.repeat(borders[:-1], n)
     first = np.concatenate(([0], np.cumsum(-(-n // PASSAGE))))
-    where = np.repeat(first[:-1], n) + local // PASSAGE
-    feature = (words % np.uint64(FEATURES)).astype(np.int64)
-    pairs, count = np.unique(where * FEATURES + feature, return_counts=True)
-    row, col = pairs // FEATURES, pairs % FEATURES
-    value = count * idf[col]
-    norm = np.sqrt(np.bincount(row, value**2, minlength=int(first[-1])))
-    value = value / np.maximum(norm[row], 1e-9)
-    product = np.zeros((int(first[-1]), right.shape[1]), np.float32)
-    starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1]))) if len(row) else []
-    if len(row):
-        product[row[starts]] = np.add.reduceat(value[:, None].astype(np.float32) * right[col], starts, axis=0)
-    return product, (row, col), value
-
-
-def fit_space(sample: DataFrame, items: list[Item], idf: np.ndarray, rank: int = RANK) -> Space:
-    """Randomised SVD of the TF-IDF passages of ``sample`` and of the items.
-
-    The first pass sums A'(A G) over the tasks for a random G (features x sketch); its orthonormal basis Q spans
-    the range. The second pass sums (A Q)'(A Q), whose eigenvectors turn Q to the right singular vectors. What
-    reaches the driver is one features x sketch and one sketch x sketch matrix.
+    pairs = (np.repeat(first[:-1], n) + local // PASSAGE) * FEATURES + (words % np.uint64(FEATURES)).astype(np.int64)
+    pairs, count = np.unique(pairs.astype(np.int32) if first[-1] < 1 << 16 else pairs, return_counts=True)
+    return pairs // FEATURES, pairs % FEATURES, count, int(first[-1])
+
+
+class _Sketch:
+    """Sums A'(A G) over TF-IDF passages A, whose rows have length 1, for a G with one sign in each row.
+
+    A G takes one addition for each feature of a passage, so only the product with A' has ``width`` columns to add.
+    """
+
+    def __init__(self, idf: np.ndarray, column: np.ndarray, sign: np.ndarray, width: int):
+        self.idf, self.column, self.sign, self.width = idf, column, sign, width
+        self.total = np.zeros((FEATURES, width), np.float32)
+
+    def add(self, words: np.ndarray, borders: np.ndarray) -> None:
+        row, feature, count, passages = _passages(words, borders)
+        value = count * self.idf[feature]
+        value /= np.maximum(np.sqrt(np.bincount(row, value**2, minlength=passages))[row], 1e-9)
+        cell = row.astype(np.int64) * self.width + self.column[feature]
+        product = np.bincount(cell, value * self.sign[feature], minlength=passages * self.width).astype(np.float32).reshape(passages, self.width)
+        order = np.argsort(feature.astype(np.uint16), kind="stable")
+        for at in range(0, len(order), 1 << 15):
+            some = order[at : at + (1 << 15)]
+            part = product[row[some]]
+            part *= value[some, None].astype(np.float32)
+            first = np.flatnonzero(np.diff(feature[some], prepend=-1))
+            self.total[feature[some][first]] += np.add.reduceat(part, first, axis=0)
+
+
+def corpus_sketch(docs: DataFrame, idf: np.ndarray, rank: int = RANK, text_col: str = "text") -> np.ndarray:
+    """A'(A G) over the passages of all rows, in one pass; G as ``_signs`` gives it.
+
+    A task adds up what it has read, and there are twice as many tasks as cores, so the partial sums don't grow with the input.
+    What reaches the driver is one features x sketch matrix.
+    """
+    context, width = docs.sparkSession.sparkContext, rank + OVERSAMPLE
+    shared = context.broadcast((idf, *_signs(width)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketch = _Sketch(*shared.value, width)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                for _, words, borders in hashed_words(_texts(b.slice(at, 512)), BETWEEN):
+                    sketch.add(words, borders)
+        used = np.flatnonzero(np.abs(sketch.total).sum(axis=1))
+        kind, ends = pa.list_(pa.float32()), np.arange(len(used) + 1, dtype=np.int32) * width
+        rows = pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch.total[used].ravel(), pa.float32()))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), rows.cast(kind)], ["i", "row"])
+
+    texts = docs.select(text_or_empty(text_col).alias("text")).coalesce(2 * context.defaultParallelism)
+    parts = map_arrow(texts, run, "i int, row array<float>")
+    rows = parts.groupBy("i").agg(*[F.sum(F.col("row")[k]).alias(f"c{k}") for k in range(width)]).toArrow()
+    shared.unpersist()
+    out, at = np.zeros((FEATURES, width)), rows["i"].to_numpy()
+    for k in range(width):
+        out[at, k] = rows[f"c{k}"].to_numpy()
+    return out
+
+
+def _signs(width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature its column of G and its sign there."""
+    r = np.random.Generator(np.random.PCG64(7))
+    return r.integers(0, width, FEATURES), r.choice([-1.0, 1.0], FEATURES)
+
+
+def fit_space(corpus: np.ndarray, items: list[Item], idf: np.ndarray, rank: int = RANK) -> Space:
+    """The right singular vectors of the TF-IDF passages of all documents (their ``corpus_sketch``) and of the items.
+
+    Of Y = A'A G the Nystroem form Y (G'Y)^-1 Y' stands for A'A; a small multiple of G is added to Y and taken off the
+    eigenvalues again, so that few passages do no harm.
     """
-    context, width = sample.sparkSession.sparkContext, rank + OVERSAMPLE
-    items_rows = (np.concatenate([i.words for i in items]), np.cumsum([0] + [len(i.words) for i in items]))
-
-    def first(words, borders, right) -> np.ndarray:
-        product, (row, col), value = _passage_matrix(words, borders, idf, right)
-        out, order = np.zeros((FEATURES, width), np.float32), np.argsort(col, kind="stable")
-        if len(col):
-            at = np.flatnonzero(np.concatenate(([True], np.diff(col[order]) > 0)))
-            out[col[order][at]] = np.add.reduceat(value[order, None].astype(np.float32) * product[row[order]], at, axis=0)
-        return out
-
-    def second(words, borders, right) -> np.ndarray:
-        product = _passage_matrix(words, borders, idf, right)[0].astype(np.float64)
-        return product.T @ product
-
-    def summed(part, right: np.ndarray) -> np.ndarray:
-        shared = context.broadcast(right)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = None
-            for b in batches:
-                for _, words, borders in hashed_words(_texts(b), BETWEEN):
-                    one = part(words, borders, shared.value)
-                    total = one if total is None else total + one
-            if total is not None:
-                used = np.flatnonzero(np.abs(total).sum(axis=1))
-                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([r.astype(np.float64) for r in total[used]], pa.list_(pa.float64()))], ["i", "row"])
-
-        parts = map_arrow(sample.select("text"), run, "i int, row array<double>")
-        rows = parts.groupBy("i").agg(*[F.sum(F.col("row")[k]).alias(f"c{k}") for k in range(width)]).toArrow()
-        out, at = part(*items_rows, right).astype(np.float64), rows["i"].to_numpy()
-        for k in range(width):
-            out[at, k] += rows[f"c{k}"].to_numpy()
-        return out
-
-    start = np.random.Generator(np.random.PCG64(7)).standard_normal((FEATURES, width)).astype(np.float32)
-    basis, _ = np.linalg.qr(summed(first, start))
-    gram = summed(second, basis.astype(np.float32))
-    values, turn = np.linalg.eigh(gram)
-    values, turn = values[::-1][:rank], turn[:, ::-1][:, :rank]
+    width = rank + OVERSAMPLE
+    column, sign = _signs(width)
+    own = _Sketch(idf, column, sign, width)
+    own.add(np.concatenate([i.words for i in items]), np.cumsum([0] + [len(i.words) for i in items]))
+    shift = 1e-6 * max(float(np.linalg.norm(corpus + own.total)), 1e-9)
+    y = corpus + own.total
+    y[np.arange(FEATURES), column] += shift * sign
+    core = np.zeros((width, width))
+    np.add.at(core, column, y * sign[:, None])
+    core = (core + core.T) / 2
+    turned, turn = np.linalg.eigh(core)
+    keep = turned > 1e-9 * turned[-1]
+    left, singular, _ = np.linalg.svd(y @ (turn[:, keep] / np.sqrt(turned[keep])), full_matrices=False)
+    values = np.maximum(singular[:rank] ** 2 - shift, 0.0)
     known = values > 1e-3 * values[0]  # few passages span fewer directions
-    right = basis @ turn * np.where(known, 1 / np.sqrt(np.maximum(values, 1e-3 * values[0])), 0.0)
+    right = left[:, :rank] * np.where(known, 1 / np.sqrt(np.maximum(values, 1e-3 * values[0])), 0.0)
+    right = np.pad(right, ((0, 0), (0, rank - right.shape[1])))
     return Space(np.concatenate((idf[:, None] * right, np.zeros((1, rank)))).astype(np.float32))
 
 
@@ -347,8 +371,7 @@ def _scan(docs: DataFrame, items: list[Item], space: Space, kind: str) -> DataFr
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, item_id, cosine, lcs_share, text_key: a row for each item that a document holds, in words or nearly so.
 
-    The term statistics cover all passages of all documents; the latent space is fitted on ``FIT_DOCS`` documents
-    and all items; every window of every document is then compared with the items (in blocks of ``ITEM_BLOCK``),
+    The term statistics and the latent space cover all passages of all documents, the space all items too; every window of every document is then compared with the items (in blocks of ``ITEM_BLOCK``),
     and windows of cosine ``LEAST_COSINE`` or more go to the comparison by words: the longest common subsequence
     holds ``LEAST_LCS`` of the item's words, or ``LEAST_LCS_WITH_ANSWER`` of them where all words of its last
     sentence (its answer) are there too. Items of any length are found: those above ``MOST`` words by their pieces (the
@@ -368,17 +391,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = listed.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, -(-2 * count // ITEM_BLOCK)))))
     frequency, passages = term_statistics(rows)
     idf = np.log((passages + 1) / (frequency + 1)) + 0.05
-    taken = rows.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_DOCS)
-    sample = scratch.put(rows.join(F.broadcast(taken), "doc_id").select("text"), "latent-sample")
+    corpus = corpus_sketch(rows, idf)
     out = spark.createDataFrame([], shape)
     for k in range(max(1, -(-2 * count // ITEM_BLOCK))):
         items = read_items(blocks.filter(F.col("block") == k).select("item_id", "text").orderBy("item_id", "text").collect())
         if items:
-            out = out.unionByName(_scan(rows, items, fit_space(sample, items, idf), kind))
+            out = out.unionByName(_scan(rows, items, fit_space(corpus, items, idf), kind))
     best = out.groupBy("doc_id", "text_key", "item_id").agg(F.max("cosine").alias("cosine"), F.max("lcs_share").alias("lcs_share"))
-    best = scratch.put(best, "contaminated")
-    scratch.drop("latent-sample")
-    return best
+    return scratch.put(best, "contaminated")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from basketweave.llm import decontaminate
 from tests.llm.helpers import SCHEMA, make_docs, odd_docs, prose, words
 
@@ -83,3 +85,24 @@ def test_common_subsequence():
     for _ in range(200):
         a, b = (r.choices(range(5), k=r.randint(0, 30)) for _ in range(2))
         assert decontaminate.common_subsequence(a, b) == slow(a, b)
+
+
+def test_the_latent_space_is_that_of_all_passages(spark):
+    """Against the singular vectors of the whole matrix: 3,000 documents with words of their own, more than a sample would hold."""
+    r = np.random.default_rng(3)
+    topics = [words(40, 50 + k, 4000) for k in range(12)]
+    texts = [" ".join(r.choice(topics[k % 12], 32)) for k in range(3000)]
+    docs, items = make_docs(spark, texts), decontaminate.read_items([(0, " ".join(topics[0][:20]))])
+    rows = docs.select("doc_id", "text")
+    frequency, passages = decontaminate.term_statistics(rows)
+    idf = np.log((passages + 1) / (frequency + 1)) + 0.05
+    space = decontaminate.fit_space(decontaminate.corpus_sketch(rows, idf), items, idf)
+    whole = np.zeros((len(texts) + 1, decontaminate.FEATURES), np.float32)
+    for at, h, borders in decontaminate.hashed_words([t.lower() for t in texts] + [" ".join(topics[0][:20])], decontaminate.BETWEEN):
+        for d in range(len(borders) - 1):
+            np.add.at(whole[at + d], (h[borders[d] : borders[d + 1]] % np.uint64(decontaminate.FEATURES)).astype(int), 1)
+    whole *= idf
+    whole /= np.linalg.norm(whole, axis=1, keepdims=True)
+    exact = np.linalg.svd(whole[:, whole.any(axis=0)], full_matrices=False)[2][:12]
+    found = np.linalg.qr(space.directions[:-1][whole.any(axis=0)] / idf[whole.any(axis=0), None])[0]
+    assert np.linalg.norm(exact @ found, axis=1).min() > 0.95  # the leading directions lie in the space
