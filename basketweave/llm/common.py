@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import drop_stage, write_stage
+from .chunks import end_task
 
 #: The white space that text equality and shingling treat alike, as a Java and DuckDB pattern.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -55,9 +57,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def map_arrow(rows: DataFrame, run: Callable, schema: str) -> DataFrame:
-    """``rows.mapInArrow``, with this package given to the workers."""
+    """``rows.mapInArrow``, with this package given to the workers, which give their memory back when a task ends."""
     ship_package(rows.sparkSession)
-    return rows.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        end_task()
+
+    return rows.mapInArrow(whole, schema)
 
 
 class Scratch:
