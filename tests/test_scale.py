@@ -220,3 +220,11 @@ def test_unset_folder_is_an_error_on_a_cluster_only():
 
 def test_session_defaults_do_not_override_the_caller(spark):
     assert build_session().conf.get("spark.sql.shuffle.partitions") == spark.conf.get("spark.sql.shuffle.partitions")
+
+
+def test_small_parts_of_sessions_are_not_put_together_before_pairs(spark, log):
+    """The exchange that feeds the pairs keeps its number of parts, which adaptive execution would cut to the number of cores."""
+    pairs = cv.session_pairs(log, 1000)
+    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert re.search(rf"hashpartitioning\(session#\d+L?, {parts}\), REPARTITION_BY_NUM", plan(pairs))
+    assert pairs.rdd.getNumPartitions() == parts
