@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, text_or_empty
-from .secret_syntax import Assignment, Operand, assignments
+from .secret_syntax import Operand, assignments
+from .secret_values import Constants
 
 # Fixed patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -38,8 +38,6 @@ IDENTIFIER = re.compile(r"[A-Za-z]++(?:[_.:/-][A-Za-z]++)++$")
 #: A phrase of small words, as people choose them for a passphrase.
 PHRASE = re.compile(r"[a-z]{2,12}+(?:[ -][a-z]{2,12}+){3,7}+$")
 LEAST_SCORE = 5.0
-#: What a name may bring along by way of other names: literals, and their characters together.
-REACH, REACH_CHARS, ROUNDS = 64, 4096, 8
 
 
 def name_weight(name: str) -> int:
@@ -49,79 +47,31 @@ def name_weight(name: str) -> int:
     return max([SENSITIVE.get(p, 0) for p in parts + both], default=0)
 
 
-def literal_score(value: str, quoted: bool = False) -> float:
+def literal_score(value: str, quoted: bool = False, counts: dict[str, float] | None = None) -> float:
     """Bits per character, plus half a point per kind of character; 0 for placeholders, sentences and short values.
 
     Values of one kind of character count half unless they are quoted. A quoted phrase of four to eight small words scores as a word does.
+    ``counts`` are those of the whole value where ``value`` is the outline of a long one (``secret_values.Value``); that is no setting's name.
     """
-    if len(value) < 8 or PLACEHOLDER.match(value) or IDENTIFIER.match(value) and name_weight(value) > 1:
+    if len(value) < 8 or PLACEHOLDER.match(value) or counts is None and IDENTIFIER.match(value) and name_weight(value) > 1:
         return 0.0
     phrase = quoted and PHRASE.match(value)
     if re.search(r"\s", value) and not phrase:
         return 0.0
-    counts = Counter(value)
-    bits = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
+    counts = counts or Counter(value)
+    total = sum(counts.values())
+    bits = -sum(n / total * math.log2(n / total) for n in counts.values())
     kinds = sum(bool(re.search(p, value)) for p in (r"\d", r"[a-z]", r"[A-Z]", r"[^A-Za-z0-9]"))
     if kinds > 1 and not phrase:
         return bits + kinds / 2
     return bits if quoted else bits / 2
 
 
-class _Constants:
-    """What each assignment's value is made of: its literals, and those of the names it refers to.
-
-    A name stands for its latest assignment before the place, or for the first one after it. References are followed until
-    nothing changes, in at most ``ROUNDS`` passes. A value takes in literals of other names while they are at most ``REACH``
-    and ``REACH_CHARS`` long together; its own literals always count.
-    """
-
-    def __init__(self, text: str, found: list[Assignment]):
-        self.text, self.found = text, found
-        self.at: dict[str, list[int]] = {}
-        for k, one in enumerate(found):
-            self.at.setdefault(one.name, []).append(k)
-        self.values = [[list(filter(lambda o, k=k: self.target(o, k) < 0, v)) for v in one.values] for k, one in enumerate(found)]
-        for _ in range(ROUNDS):
-            changed = False
-            for k, one in enumerate(found):
-                if any(self.target(o, k) >= 0 for v in one.values for o in v):
-                    new = [self.joined(v, k) for v in one.values]
-                    changed, self.values[k] = changed or new != self.values[k], new
-            if not changed:
-                break
-
-    def target(self, operand: Operand, k: int) -> int:
-        """The assignment that a bare operand of assignment k refers to, or -1."""
-        if operand.quoted or operand.end - operand.start > 80:
-            return -1
-        places = self.at.get(self.text[operand.start : operand.end])
-        if not places:
-            return -1
-        before = bisect_left(places, k)
-        found = places[before - 1] if before else places[0]
-        return -1 if found == k else found
-
-    def joined(self, operands: list[Operand], k: int) -> list[Operand]:
-        out: dict[Operand, None] = {}
-        brought = chars = 0
-        for o in operands:
-            place = self.target(o, k)
-            if place < 0:
-                out[o] = None
-                continue
-            for v in self.values[place]:
-                for x in v:
-                    if x not in out and brought < REACH and chars + x.end - x.start <= REACH_CHARS:
-                        out[x] = None
-                        brought, chars = brought + 1, chars + x.end - x.start
-        return list(out)
-
-
 def assigned_literals(text: str) -> list[tuple[int, int]]:
     """Spans (code points) of literals that reach a sensitive name and look like secrets.
 
     The text is lexed and its assignments are read (``secret_syntax``); then constants are followed through other names, also
-    those defined after their use. Joined operands make one value. A value scores by its
+    those defined after their use, however many names and literals that takes. Joined operands make one value. A value scores by its
     own look and by the weight of the name it is assigned to; where it came by way of other names, the spans
     are those of the literals, wherever they stand.
     """
@@ -129,12 +79,12 @@ def assigned_literals(text: str) -> list[tuple[int, int]]:
     weights = [name_weight(one.name) for one in read]
     if not any(weights):
         return []
-    constants, found = _Constants(text, read), set()
-    for weight, values in zip(weights, constants.values):
-        for operands in values if weight else ():
-            value = "".join(text[o.start : o.end] for o in operands)
-            if literal_score(value, weight >= 3 and any(o.quoted for o in operands)) + weight >= LEAST_SCORE:
-                found.update((o.start, o.end) for o in operands if o.end > o.start)
+    constants, places, found = Constants(text, read), set(), set()
+    for k, parts, value in constants.resolved({k for k, weight in enumerate(weights) if weight}):
+        if literal_score(value.outline(text), weights[k] >= 3 and value.quoted, value.counts) + weights[k] >= LEAST_SCORE:
+            places.update(p for p in parts if isinstance(p, int))
+            found.update((p.start, p.end) for p in parts if isinstance(p, Operand) and p.end > p.start)
+    found.update((o.start, o.end) for o in constants.literals(places) if o.end > o.start)
     return sorted(found)
 
 
