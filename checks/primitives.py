@@ -205,7 +205,7 @@ query(
           [CAST(x AS INTEGER) FOR x IN string_split(r.labels, ' ')][1:{K_RECALL}], []))) AS hits,
         least(len(l.ground_truth), {K_RECALL}) AS gt_count
       FROM fx_labels l LEFT JOIN recs r ON r.session_type = l.session || '_' || l.type"""),
-)(lambda s, d: rec._hits(Inputs(s, d).all_recommendations(), fx.fx_labels(s, d), K_RECALL))
+)(lambda s, d: rec._hits(*Inputs(s, d).recommended_and_labels(), K_RECALL))
 query(
     "l1_distance",
     sql("""SELECT vec_id AS aid, round(abs(svd_0 - svd_5) + abs(svd_1 - svd_6) + abs(svd_2 - svd_7), 6) AS distance
