@@ -126,32 +126,64 @@ def first_state(items: DataFrame, size: int, seed: int) -> DataFrame:
     return begun.unionByName(zeros)
 
 
+DRAWN = 4096  # pairs whose negatives are drawn, and whose rows are put in order, at once
+
+
+def runs(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each line of ``rows``: the order that brings equal ones together, where runs of them start in it, their values, and the line's end among these."""
+    order = np.argsort(rows, axis=1, kind="stable")
+    ordered = np.take_along_axis(rows, order, axis=1)
+    first = np.ones(rows.shape, dtype=bool)
+    np.not_equal(ordered[:, 1:], ordered[:, :-1], out=first[:, 1:])
+    return order, np.nonzero(first)[1], ordered[first], np.cumsum(first.sum(axis=1))
+
+
+def add_runs(matrix: np.ndarray, order: np.ndarray, first: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """Add ``values`` to the rows of ``matrix``, those of one row together (see ``runs``)."""
+    matrix[rows] += np.add.reduceat(values[order], first)
+
+
 def add_rows(matrix: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Add ``values`` to the given rows, which may repeat."""
-    order = np.argsort(rows, kind="stable")
-    ordered = rows[order]
-    starts = np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]])
-    matrix[ordered[starts]] += np.add.reduceat(values[order], starts)
+    order, first, found, _ = runs(rows[None])
+    add_runs(matrix, order[0], first, found, values)
 
 
 def learn_pairs(inner, outer, counts, centers, contexts, rate, last_rate, negatives, exponent, rng) -> None:
-    """One pass over the pairs in random order, in place; batches are small beside the number of contexts."""
+    """One pass over the pairs in random order, in place; batches are small beside the number of contexts.
+
+    What doesn't rest on the vectors is worked out for many batches at once: small blocks make millions of batches.
+    """
     weights = np.cumsum(counts.astype(np.float64) ** exponent)
     weights /= weights[-1]
     batch = int(np.clip(len(outer) // 4, 16, 4096))
+    size = outer.shape[1]
     order = rng.permutation(len(centers))
-    for at in range(0, len(order), batch):
-        taken = order[at : at + batch]
+    whole = len(order) // batch * batch
+    many = max(1, DRAWN // batch) * batch
+    for begin in (*range(0, whole, many), *([whole] if whole < len(order) else [])):
+        end = min(begin + many, whole) if begin < whole else len(order)
+        taken = order[begin:end]
         c, o = centers[taken], contexts[taken]
         drawn = np.minimum(np.searchsorted(weights, rng.random((len(c), negatives)), side="right"), len(outer) - 1)
         targets = np.concatenate([o[:, None], drawn], axis=1)
-        w, v = inner[c], outer[targets]
-        grad = -1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", w, v), -30, 30)))
-        grad[:, 0] += 1
-        grad[:, 1:][drawn == o[:, None]] = 0
-        grad = (grad * (rate + (last_rate - rate) * at / len(order))).astype(np.float32)
-        add_rows(outer, targets.ravel(), (grad[:, :, None] * w[:, None, :]).reshape(-1, outer.shape[1]))
-        add_rows(inner, c, np.einsum("bk,bkd->bd", grad, v))
+        struck = np.concatenate([np.zeros((len(c), 1), dtype=bool), drawn == o[:, None]], axis=1)
+        length = min(batch, len(c))
+        outer_order, outer_first, outer_rows, outer_end = runs(targets.reshape(len(c) // length, -1))
+        inner_order, inner_first, inner_rows, inner_end = runs(c.reshape(-1, length))
+        p = q = 0
+        for k in range(len(c) // length):
+            span = slice(k * length, (k + 1) * length)
+            w, v = inner[c[span]], outer[targets[span]]
+            grad = -1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", w, v), -30, 30)))
+            grad[:, 0] += 1
+            grad[struck[span]] = 0
+            grad = (grad * (rate + (last_rate - rate) * (begin + span.start) / len(order))).astype(np.float32)
+            moved = (grad[:, :, None] * w[:, None, :]).reshape(-1, size)
+            mine, theirs = slice(p, outer_end[k]), slice(q, inner_end[k])
+            add_runs(outer, outer_order[k], outer_first[mine], outer_rows[mine], moved)
+            add_runs(inner, inner_order[k], inner_first[theirs], inner_rows[theirs], np.einsum("bk,bkd->bd", grad, v))
+            p, q = mine.stop, theirs.stop
 
 
 def trainer(size: int, rate: float, last_rate: float, negatives: int, exponent: float, seed: tuple):
