@@ -157,12 +157,28 @@ class _Sketch:
         cell = row.astype(np.int64) * self.width + self.column[feature]
         product = np.bincount(cell, value * self.sign[feature], minlength=passages * self.width).astype(np.float32).reshape(passages, self.width)
         order = np.argsort(feature.astype(np.uint16), kind="stable")
-        for at in range(0, len(order), 1 << 15):
-            some = order[at : at + (1 << 15)]
-            part = product[row[some]]
-            part *= value[some, None].astype(np.float32)
-            first = np.flatnonzero(np.diff(feature[some], prepend=-1))
-            self.total[feature[some][first]] += np.add.reduceat(part, first, axis=0)
+        feature, row, value = feature[order], row[order], value[order].astype(np.float32)
+        first = np.flatnonzero(np.diff(feature, prepend=-1))
+        within = np.arange(len(feature)) - np.repeat(first, np.diff(np.append(first, len(feature))))
+        first = np.flatnonzero(within % (1 << 14) == 0)  # parts of this length are multiplied one by one
+        n = np.diff(np.append(first, len(feature)))
+        # Features of about as many passages are multiplied together, each padded with weights of 0: additions row by row take thrice as long.
+        size = np.where(n <= 8, n, np.where(n <= 64, -(-n // 8) * 8, 1 << np.ceil(np.log2(n)).astype(np.int64)))
+        for some in _alike(size, 1 << 14):
+            place = first[some, None] + np.arange(size[some[0]])
+            held = np.arange(size[some[0]]) < n[some, None]
+            place = np.where(held, place, 0)
+            weight = np.where(held, value[place], np.float32(0))
+            self.total[feature[first[some]]] += np.matmul(weight[:, None], product[row[place]])[:, 0]
+
+
+def _alike(size: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Places of equal sizes, as many at a time as add up to ``most`` (one at least)."""
+    order = np.argsort(size, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
+        step = max(1, most // int(size[own[0]])) if len(own) else 1
+        for at in range(0, len(own), step):
+            yield own[at : at + step]
 
 
 def corpus_sketch(docs: DataFrame, idf: np.ndarray, rank: int = RANK, text_col: str = "text") -> np.ndarray:

@@ -106,3 +106,36 @@ def test_the_latent_space_is_that_of_all_passages(spark):
     exact = np.linalg.svd(whole[:, whole.any(axis=0)], full_matrices=False)[2][:12]
     found = np.linalg.qr(space.directions[:-1][whole.any(axis=0)] / idf[whole.any(axis=0), None])[0]
     assert np.linalg.norm(exact @ found, axis=1).min() > 0.95  # the leading directions lie in the space
+
+
+def by_rows(idf, column, sign, width, words, borders):
+    """The sketch as sums of rows, feature by feature."""
+    row, feature, count, passages = decontaminate._passages(words, borders)
+    value = count * idf[feature]
+    value = value / np.sqrt(np.bincount(row, value**2, minlength=passages))[row]
+    product = np.bincount(row * width + column[feature], value * sign[feature], minlength=passages * width).reshape(passages, width).astype(np.float32)
+    order = np.argsort(feature.astype(np.uint16), kind="stable")
+    total = np.zeros((decontaminate.FEATURES, width), np.float32)
+    for at in range(0, len(order), 1 << 15):
+        some = order[at : at + (1 << 15)]
+        first = np.flatnonzero(np.diff(feature[some], prepend=-1))
+        total[feature[some][first]] += np.add.reduceat(product[row[some]] * value[some, None].astype(np.float32), first, axis=0)
+    return total
+
+
+def test_the_sketch_is_summed_in_products(monkeypatch):
+    """op9: sums row by row took half of the query's CPU seconds. Sums are the same, also of a word in more passages than one product takes."""
+    r, width = np.random.default_rng(3), 112
+    words = (3000 * r.random(700_000) ** 6).astype(np.uint64) + np.uint64(1)
+    words[::32] = 0  # once in each passage
+    borders = np.array([0, 640_000, 640_000, 640_005, 700_000])
+    args = 0.05 + r.random(decontaminate.FEATURES), *decontaminate._signs(width), width
+    want = by_rows(*args, words, borders)
+    sketch = decontaminate._Sketch(*args)
+    monkeypatch.setattr(decontaminate.np, "add", None)  # no sums but those of products
+    sketch.add(words, borders)
+    monkeypatch.undo()
+    assert np.abs(sketch.total - want).max() <= 1e-5 * np.abs(want).max()
+    empty = decontaminate._Sketch(*args)
+    empty.add(np.zeros(0, np.uint64), np.array([0, 0]))
+    assert not empty.total.any()
