@@ -34,7 +34,7 @@ from basketweave.sources.tables import (
 # Feature tables by key.
 ITEM = ("item", "vector_item")
 SESSION = ("session", "vector_session")
-PAIR = ("session_item", "matrix", "matrix_last", "vector_pair")
+PAIR = ("session_item", "matrix", "matrix_last")
 
 
 @dataclass(frozen=True)
@@ -114,7 +114,8 @@ def build_pair_features(events_recent: DataFrame, root: str, phase: str, limits:
     """Features of all candidate pairs.
 
     Click and buy candidates overlap, so a pair's features are computed once for both; only the rank differs
-    and is added by ``load_frame``.
+    and is added by ``load_frame``, which also takes the differences of item and session vectors: they follow from columns that
+    its rows have, and would be most of what is stored and shuffled here.
     """
     spark = events_recent.sparkSession
     clicks, buys = (load_candidates(spark, root, phase, t) for t in (0, 1))
@@ -126,11 +127,6 @@ def build_pair_features(events_recent: DataFrame, root: str, phase: str, limits:
         "session_item": ft.features_session_item(pairs, events_recent),
         "matrix": mx.features_matrix(pairs, events_recent, edges, limits.last_events, scale),
         "matrix_last": mx.features_matrix_last(pairs, events_recent, edges, scale),
-        "vector_pair": vec.features_vector_pair(
-            pairs,
-            spark.read.parquet(f"{features}/table=vector_item"),
-            spark.read.parquet(f"{features}/table=vector_session"),
-        ),
     }
     for name, df in tables.items():
         save_parquet(df, f"{features}/table={name}", checked=True)
@@ -144,13 +140,14 @@ def load_frame(
         "session", "aid", ft.candidates_rank()
     )
     table = {t: spark.read.parquet(f"{root}/features/phase={phase}/table={t}") for t in ITEM + SESSION + PAIR}
-    return assemble_features(
+    frame = assemble_features(
         cand.label_candidates(base, type_id, labels),
         item=[table[t] for t in ITEM],
         session=[table[t] for t in SESSION],
         pair=[table[t] for t in PAIR],
         flags=flags,
     )
+    return frame.select("*", *vec.pair_differences(vec.dimensions(table["vector_item"], "_candidates")))
 
 
 def build_phase(
